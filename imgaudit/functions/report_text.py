@@ -53,12 +53,3 @@ def classify_report(truth: ColumnLike, score: ColumnLike, analyzed: ColumnLike,
             .when((truth == "ai") & (score < flag), "borderline-miss")
             .when((truth == "real") & (score >= unsure), "unsure-on-real")
             .otherwise("consistent"))
-
-
-def classify_body(body: ColumnLike) -> Column:
-    """``struct(klass, score, truth)`` of a whole report body."""
-    body = F.coalesce(col(body), F.lit(""))
-    verdict = parse_verdict(extract_section(body, fixed.SAID_HEADING))
-    truth = parse_truth(extract_section(body, fixed.ACTUAL_HEADING))
-    klass = classify_report(truth, verdict["score"], verdict["analyzed"])
-    return F.struct(klass.alias("klass"), verdict["score"].alias("score"), truth.alias("truth"))

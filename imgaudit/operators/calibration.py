@@ -19,7 +19,8 @@ def quantile_grid(df: DataFrame, z: str = "z",
     """Exact linearly interpolated quantiles: (i, prob, quantile).
 
     Only the order statistics next to the asked positions are picked, out of running counts
-    of distinct values; no task sees more than a range of them.
+    of distinct values: first the ranges that hold them, then the values. No task sees more
+    than a range of the values.
     """
     counts = running_counts(drop_failures(df, z), z, {"n": F.count(F.lit(1))})
     last = F.sum("n") - 1
@@ -28,15 +29,18 @@ def quantile_grid(df: DataFrame, z: str = "z",
         "_at", F.col("prob") * F.col("_last"))
     asked = asked.withColumn("_low", F.floor("_at")).withColumn(
         "_high", F.least(F.col("_low") + 1, F.col("_last")))
-    wanted = asked.select(F.explode(F.array("_low", "_high")).alias("r")).agg(
-        F.array_sort(F.collect_set("r")).alias("ranks"))
-    size = 2 * len(probs) + 1
-    ranks = wanted.scalar()
-    picked = count_not_above(counts, ranks, F.col("n_before") - 1, size, "_from")
-    picked = count_not_above(picked, ranks, F.col("n_before") + F.col("n") - 1, size, "_to")
-    picked = picked.filter(F.col("_to") > F.col("_from")).select(
-        F.col(z).alias("_z"),
-        F.explode(F.slice(ranks, F.col("_from") + 1, F.col("_to") - F.col("_from"))).alias("_r"))
+    ranks = asked.select(F.explode(F.array("_low", "_high")).alias("r")).agg(
+        F.collect_set("r")).scalar()
+
+    def held(first, size):
+        return lambda r: (r >= F.col(first)) & (r < F.col(first) + F.col(size))
+
+    ranges = counts.groupBy("_range").agg(F.min("n_before").alias("_first"),
+                                          F.sum("n").alias("_size"))
+    ranges = ranges.withColumn("_all", ranks).select(
+        "_range", F.filter("_all", held("_first", "_size")).alias("_ranks"))
+    picked = counts.join(ranges.filter(F.size("_ranks") > 0), "_range").select(
+        F.col(z).alias("_z"), F.explode(F.filter("_ranks", held("n_before", "n"))).alias("_r"))
     low = picked.select(F.col("_r").alias("_low"), F.col("_z").alias("_a"))
     high = picked.select(F.col("_r").alias("_high"), F.col("_z").alias("_b"))
     between = F.col("_at") - F.col("_low")

@@ -62,7 +62,7 @@ def _walk(kinds: Collection[str] | None, key_type: pa.DataType):
         for batch in batches:
             rows = []
             for key, container, head in zip(*(batch.column(i) for i in range(3))):
-                data, name = memoryview(head.as_buffer()), container.as_py()
+                data, name = memoryview(head.as_buffer()).cast("B"), container.as_py()
                 for ord_, (kind, start, stop) in enumerate(_WALKERS[name](data)):
                     if kinds is None or kind in kinds:
                         rows.append((key.as_py(), ord_, name, kind, bytes(data[start:stop])))

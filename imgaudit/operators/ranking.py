@@ -104,7 +104,9 @@ def count_not_above(df: DataFrame, points: Column, value: ColumnLike, size: int,
                     name: str) -> DataFrame:
     """Add the number of sorted ``points`` (fewer than ``size``) that are <= value.
 
-    A binary search written as one projection per step, so it stays in generated code.
+    A binary search written as one projection per step, so it stays in generated code. Do not
+    filter on the result: the optimizer would move the filter down and copy every step into
+    the next, doubling each time. Group, join or window by it.
     """
     df = df.withColumn("_points", points).withColumn(name, F.lit(0))
     step = 1 << ((size - 1).bit_length() - 1)
@@ -141,7 +143,10 @@ def with_position(df: DataFrame, order, keys: Sequence[str] = (),
 
 def running_counts(df: DataFrame, value: str, counts: dict[str, Column],
                    keys: Sequence[str] = ()) -> DataFrame:
-    """Per distinct value: each count, and as ``<count>_before`` its total below the value."""
+    """Per distinct value: each count, and as ``<count>_before`` its total below the value.
+
+    ``_range`` stays: the even range of values each row was counted in.
+    """
     distinct = df.groupBy(*keys, value).agg(*[c.alias(n) for n, c in counts.items()])
     points = split_points(distinct, value)
     ranged = count_not_above(distinct, points, value, RANGES, "_range")
@@ -153,7 +158,7 @@ def running_counts(df: DataFrame, value: str, counts: dict[str, Column],
     starts = _range_starts(totals, keys, list(counts))
     joined = null_safe_join(local, starts, [*keys, "_range"])
     return joined.select(
-        *keys, value, *counts,
+        *keys, "_range", value, *counts,
         *[(F.col(f"_{n}_start") + F.col(f"_{n}_local")).alias(f"{n}_before") for n in counts])
 
 

@@ -7,7 +7,29 @@ from pyspark.sql import functions as F
 
 from imgaudit import fixed_values as fixed
 from imgaudit.functions.common import ColumnLike, col
-from imgaudit.functions.report_text import classify_body, extract_section
+from imgaudit.functions.report_text import (
+    classify_report,
+    extract_section,
+    parse_truth,
+    parse_verdict,
+)
+
+
+def classify_reports(issues: DataFrame) -> DataFrame:
+    """Add ``klass``, ``score`` and ``truth`` read from each body.
+
+    Sections, verdict and class are separate projections: one nested expression would
+    repeat the section patterns at every use of the score.
+    """
+    body = F.coalesce(F.col("body"), F.lit(""))
+    sections = issues.withColumns({"_said": extract_section(body, fixed.SAID_HEADING),
+                                   "_actually": extract_section(body, fixed.ACTUAL_HEADING)})
+    parsed = sections.withColumns({"_verdict": parse_verdict("_said"),
+                                   "truth": parse_truth("_actually")})
+    parsed = parsed.withColumns({"score": F.col("_verdict.score"),
+                                 "_analyzed": F.col("_verdict.analyzed")})
+    return parsed.withColumn("klass", classify_report("truth", "score", "_analyzed")).drop(
+        "_said", "_actually", "_verdict", "_analyzed")
 
 
 def mine_reports(issues: DataFrame) -> DataFrame:
@@ -15,9 +37,9 @@ def mine_reports(issues: DataFrame) -> DataFrame:
     body = F.coalesce(F.col("body"), F.lit(""))
     links = F.regexp_extract_all(body, F.lit(f"({fixed.ATTACHMENT})"), F.lit(1))
     evidence = F.coalesce(extract_section(body, fixed.EVIDENCE_HEADING), F.lit(""))
-    return issues.withColumn("_found", classify_body("body")).select(
+    return classify_reports(issues).select(
         F.col("number").alias("issue"), F.col("createdAt").alias("created"),
-        "_found.klass", "_found.score", "_found.truth",
+        "klass", "score", "truth",
         F.coalesce(extract_section(body, fixed.URL_HEADING), F.lit("")).alias("image_url"),
         F.array_join(links, " ").alias("attachments"),
         F.substring(evidence, 1, 300).alias("evidence"))
@@ -46,8 +68,6 @@ def reconcile_labels(issues: DataFrame) -> DataFrame:
 
 def label_changes(issues: DataFrame) -> DataFrame:
     """Classify issues and reconcile their labels: (number, klass, remove, add)."""
-    named = issues.withColumns({
-        "klass": classify_body("body")["klass"],
-        "current": F.transform("labels", lambda label: label["name"]),
-    })
+    named = classify_reports(issues).withColumn(
+        "current", F.transform("labels", lambda label: label["name"]))
     return reconcile_labels(named).select("number", "klass", "remove", "add")

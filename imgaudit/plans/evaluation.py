@@ -75,18 +75,20 @@ def sweep_curve(t: Tables) -> DataFrame:
         "view", "threshold", "tpr", "tnr"), "tpr", "tnr")
 
 
+# a score is rounded where ties matter, since exp differs in the last bit between engines
+_ROUNDED = _SCORED.replace(score_sql(), f"round({score_sql()}, 9)")
 _AUC = """pairs AS (SELECT f.view, avg(CASE WHEN f.score > r.score THEN 1e0
         WHEN f.score = r.score THEN 0.5e0 ELSE 0e0 END) AS auc
     FROM scored f JOIN scored r ON f.view = r.view AND f.label = 1 AND r.label = 0 GROUP BY f.view)"""
 
 
-@query(sql("scores", f"{_SCORED}, {_AUC} SELECT view, round(auc, 6) AS auc FROM pairs"))
+@query(sql("scores", f"{_ROUNDED}, {_AUC} SELECT view, round(auc, 6) AS auc FROM pairs"))
 def roc_auc(t: Tables) -> DataFrame:
-    return rounded(metrics.roc_auc(scored(t)), "auc")
+    return rounded(metrics.roc_auc(rounded(scored(t), "score", digits=9)), "auc")
 
 
 @query(sql("scores", f"""
-    {_SCORED}, rates AS (SELECT view, {_RATES} FROM scored GROUP BY view), {_AUC},
+    {_ROUNDED}, rates AS (SELECT view, {_RATES} FROM scored GROUP BY view), {_AUC},
     {_curve_sql(fixed.EVAL_GRID, "score", "view")}, {_best_sql()}
     SELECT view, round(r.tpr, 6) AS tpr, round(r.tnr, 6) AS tnr, n,
         round((r.tpr + r.tnr)/2, 6) AS balanced_acc, round(auc, 6) AS auc,
@@ -94,7 +96,7 @@ def roc_auc(t: Tables) -> DataFrame:
     FROM rates r JOIN pairs USING (view) JOIN best USING (view)"""))
 def metric_summary(t: Tables) -> DataFrame:
     """One row per view, written as JSON and read back."""
-    summary = metrics.metric_summary(scored(t))
+    summary = metrics.metric_summary(rounded(scored(t), "score", digits=9))
     path = f"{shared_dir(t.spark, 'summary')}/summary"
     sinks.write_summary(summary, path)
     back = t.spark.read.schema(summary.schema).json(path)
@@ -105,10 +107,10 @@ _PROBS = list_sql(fixed.QUANTILE_PROBS)
 _QUANTILES = f"""
     ordered AS (SELECT z, row_number() OVER (ORDER BY z) - 1 AS r, count(*) OVER () - 1 AS last
         FROM scores),
-    asked AS (SELECT i, prob, last, prob * last AS at, CAST(floor(prob * last) AS BIGINT) AS low
+    asked AS (SELECT i, prob, last, prob * last AS place, CAST(floor(prob * last) AS BIGINT) AS low
         FROM (SELECT unnest({_PROBS}) AS prob, unnest(range({len(fixed.QUANTILE_PROBS)})) AS i),
             (SELECT DISTINCT last FROM ordered)),
-    ends AS (SELECT i, prob, at - low AS t, a.z AS a, b.z AS b FROM asked
+    ends AS (SELECT i, prob, place - low AS t, a.z AS a, b.z AS b FROM asked
         JOIN ordered a ON a.r = low JOIN ordered b ON b.r = least(low + 1, asked.last)),
     quantiles AS (SELECT i, prob, CASE WHEN t >= 0.5e0 THEN b - (b - a)*(1e0 - t)
         ELSE a + (b - a)*t END AS quantile FROM ends)"""

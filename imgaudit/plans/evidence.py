@@ -84,10 +84,10 @@ def drop_hidden(t: Tables) -> DataFrame:
     return named.filter(~images.is_hidden("path"))
 
 
-_PAYLOAD = f"""CASE doc_id % 8 WHEN 0 THEN concat(encode('parameters'), '\\x00'::BLOB, encode(text))
-    WHEN 1 THEN concat(encode('prompt'), '\\x00'::BLOB, encode(concat('{{"', text)))
-    WHEN 2 THEN concat(encode('prompt'), '\\x00'::BLOB, encode(concat('-', text)))
-    WHEN 3 THEN concat(encode('workflow'), '\\x00'::BLOB, encode(text))
+_PAYLOAD = f"""CASE doc_id % 8 WHEN 0 THEN encode('parameters') || '\\x00'::BLOB || encode(text)
+    WHEN 1 THEN encode('prompt') || '\\x00'::BLOB || encode(concat('{{"', text))
+    WHEN 2 THEN encode('prompt') || '\\x00'::BLOB || encode(concat('-', text))
+    WHEN 3 THEN encode('workflow') || '\\x00'::BLOB || encode(text)
     WHEN 6 THEN encode(text) ELSE encode('JP {_URI}') END"""
 
 
