@@ -12,6 +12,7 @@ from imgaudit import fixed_values as fixed
 from imgaudit.operators.metrics import first_best, grid_rank, is_fake, is_real, sweep_counts
 from imgaudit.operators.ranking import count_not_above, running_counts
 from imgaudit.operators.sampling import drop_failures
+from imgaudit.session import stored
 
 
 def quantile_grid(df: DataFrame, z: str = "z",
@@ -22,7 +23,7 @@ def quantile_grid(df: DataFrame, z: str = "z",
     of distinct values: first the ranges that hold them, then the values. No task sees more
     than a range of the values.
     """
-    counts = running_counts(drop_failures(df, z), z, {"n": F.count(F.lit(1))})
+    counts = stored(running_counts(drop_failures(df, z), z, {"n": F.count(F.lit(1))}), "counts")
     last = F.sum("n") - 1
     asked = counts.agg(last.alias("_last")).select(
         "_last", F.posexplode(F.lit(list(probs))).alias("i", "prob")).withColumn(
@@ -63,7 +64,7 @@ def fit_bias(logits: DataFrame, target: float = fixed.FLAG_THRESHOLD, z: str = "
     is tested as ``z >= z_star``, which is the same and free of rounding.
     """
     kept = drop_failures(logits, z)
-    candidates = _candidates(quantile_grid(kept, z, probs))
+    candidates = _candidates(stored(quantile_grid(kept, z, probs), "quantiles"))
     ranked = count_not_above(kept.select(view, "label", z), candidates, z,
                              len(probs) + 1, "_reached")
     best = first_best(sweep_counts(ranked, "_reached", candidates, ()))

@@ -108,13 +108,12 @@ def count_not_above(df: DataFrame, points: Column, value: ColumnLike, size: int,
     filter on the result: the optimizer would move the filter down and copy every step into
     the next, doubling each time. Group, join or window by it.
     """
-    df = df.withColumn("_points", points).withColumn(name, F.lit(0))
-    step = 1 << ((size - 1).bit_length() - 1)
-    while step:
-        probe = F.get(F.col("_points"), F.col(name) + (step - 1)) <= col(value)
-        df = df.withColumn(name, F.col(name) + F.when(probe, step).otherwise(0))
-        step //= 2
-    return df.drop("_points")
+    steps = [1 << i for i in reversed(range((size - 1).bit_length()))]
+    search = [F.expr(f"_at{i} + if(get(_points, _at{i} + {step - 1}) <= _value, {step}, 0)")
+              .alias(f"_at{i + 1}") for i, step in enumerate(steps)]
+    found = df.select("*", points.alias("_points"), col(value).alias("_value"),
+                      F.lit(0).alias("_at0"), *search)
+    return found.select(*df.columns, F.col(f"_at{len(steps)}").alias(name))
 
 
 def _range_starts(totals: DataFrame, keys: Sequence[str], counts: Sequence[str]) -> DataFrame:

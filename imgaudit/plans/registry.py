@@ -8,11 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from imgaudit.session import configure
+from imgaudit.sources.files import is_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+# the columns queries read; a known schema saves a pass over the file footers
+SCHEMAS = {
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "labels": "doc_id long, quality int, toxic int",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, "
+              "props string",
+    "pages": "page_id long, url string, html string",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+}
+
+
 class Tables:
     """The Parquet tables of one folder, by name."""
 
@@ -22,10 +34,17 @@ class Tables:
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
 
+    def stream(self, name: str) -> DataFrame:
+        """The table as a stream of its files; the table may be one file or a folder."""
+        reader = self.spark.readStream.schema(SCHEMAS[name])
+        if is_folder(self.spark, self.path(name)):
+            return reader.parquet(self.path(name))
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(self.folder)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(self.path(name))
+        return self.spark.read.schema(SCHEMAS[name]).parquet(self.path(name))
 
 
 def query(sql: str | None = None):

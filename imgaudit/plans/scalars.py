@@ -147,9 +147,8 @@ def native_crop(t: Tables) -> DataFrame:
 
 
 @query(r"""
-    SELECT page_id, unnest(list_transform(regexp_extract_all(html,
-        '(?i)<a\b[^>]*?\shref\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1),
-        x -> trim(x, '"'''))) AS src FROM pages""")
+    SELECT page_id, unnest([trim(x, '"''') FOR x IN regexp_extract_all(html,
+        '(?i)<a\b[^>]*?\shref\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1)]) AS src FROM pages""")
 def extract_images(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.explode(web.references("html", "a", "href")).alias("src"))
 
@@ -239,8 +238,8 @@ _WEIGHTS = [((i * 37) % 21 - 10) / 10 for i in range(64)]
 
 
 @query(f"""
-    SELECT vec_id, CASE WHEN vec_id % 19 <> 0 THEN round(list_sum(list_transform(range(64),
-        i -> CAST(embedding[i+1] AS DOUBLE) * (((i*37) % 21 - 10)/10e0))) + 0.1e0, 6) END AS z
+    SELECT vec_id, CASE WHEN vec_id % 19 <> 0 THEN round(list_sum([
+        CAST(embedding[i+1] AS DOUBLE) * (((i*37) % 21 - 10)/10e0) FOR i IN range(64)]) + 0.1e0, 6) END AS z
     FROM embeddings""")
 def score_table(t: Tables) -> DataFrame:
     inputs = F.when(F.col("vec_id") % 19 != 0, F.col("embedding"))

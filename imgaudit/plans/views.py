@@ -49,7 +49,7 @@ _REQUESTS = [
     "ELSE concat(split_part(url,'?',1), '?v=', page_id % 3) END AS url",
 ]
 
-_EVENTS = [
+EVENTS = [
     "event_id",
     "ts",
     "user_id AS page",
@@ -101,7 +101,7 @@ def requests(t: Tables) -> DataFrame:
 
 
 def verdict_events(t: Tables) -> DataFrame:
-    return t.events.selectExpr(*_EVENTS)
+    return t.events.selectExpr(*EVENTS)
 
 
 def series(t: Tables) -> DataFrame:
@@ -143,7 +143,7 @@ _SQL = {
     "shards": ((), f"SELECT {', '.join(_SHARDS)} FROM documents"),
     "cache": ((), f"SELECT {', '.join(_CACHE)} FROM pages WHERE page_id % 2 = 0"),
     "requests": ((), f"SELECT {', '.join(_REQUESTS)} FROM pages"),
-    "verdict_events": ((), f"SELECT {', '.join(_EVENTS)} FROM events"),
+    "verdict_events": ((), f"SELECT {', '.join(EVENTS)} FROM events"),
     "series": ((), f"SELECT {', '.join(_SERIES)} FROM events"),
     "geometry": ((), f"SELECT {', '.join(_GEOMETRY)} FROM documents"),
     "reports": (("scores",), f"SELECT {', '.join(_REPORTS)} FROM scores WHERE view = 'clean'"),

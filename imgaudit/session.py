@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings the operators count on. Adaptive execution is on by default in
 # Spark 4; it is named here because the equi-joins lean on its skew splitting.
@@ -36,3 +36,13 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         root = tempfile.mkdtemp(prefix="imgaudit-")
         spark.conf.set("spark.checkpoint.dir", root)
     return os.path.join(root, "imgaudit", f"{name}-{uuid.uuid4().hex}")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that is used several times to the shared folder and read it back.
+
+    Work done so far is not repeated, and a lost executor costs no earlier stage.
+    """
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

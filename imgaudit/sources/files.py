@@ -1,11 +1,25 @@
-"""Existence checks on any Hadoop file system."""
+"""Small file-system calls on any Hadoop file system."""
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
 
+def _open(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    target = hadoop.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    system, target = _open(spark, path)
+    return system.exists(target)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    system, target = _open(spark, path)
+    return system.exists(target) and system.getFileStatus(target).isDirectory()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    system, target = _open(spark, path)
+    system.delete(target, True)

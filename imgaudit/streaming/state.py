@@ -1,0 +1,98 @@
+"""Stateful processors: a bounded first-in-first-out cache and retries with timers."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState
+
+from imgaudit import fixed_values as fixed
+
+CACHE_OUTPUT = "shard int, url string, score double, seq long, action string"
+RETRY_OUTPUT = "page long, url string, event_id long, failures int, decision string, delay_ms long"
+
+
+class BoundedCache(StatefulProcessor):
+    """Keeps the newest urls of a shard by first insertion; a read does not refresh.
+
+    Emits a ``put`` row per insertion and an ``evict`` row per removal. Input is worked off
+    batch by batch; what is held in memory is one Arrow batch and the urls it names.
+    """
+
+    def __init__(self, capacity: int = fixed.CACHE_CAPACITY):
+        self.capacity = capacity
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.entries = handle.getMapState("entries", "url string", "seq long, score double")
+        self.queue = handle.getMapState("queue", "seq long", "url string")
+        self.ends = handle.getValueState("ends", "head long, next long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        head, following = self.ends.get() if self.ends.exists() else (0, 0)
+        for chunk in rows:
+            held: dict[str, bool] = {}
+            out = []
+            for url, score in zip(chunk["url"], chunk["score"]):
+                if url not in held:
+                    held[url] = self.entries.containsKey((url,))
+                if held[url]:
+                    continue
+                if following - head >= self.capacity:
+                    (oldest,) = self.queue.getValue((head,))
+                    _, old_score = self.entries.getValue((oldest,))
+                    self.entries.removeKey((oldest,))
+                    self.queue.removeKey((head,))
+                    held[oldest] = False
+                    out.append((key[0], oldest, old_score, head, "evict"))
+                    head += 1
+                self.entries.updateValue((url,), (following, float(score)))
+                self.queue.updateValue((following,), (url,))
+                held[url] = True
+                out.append((key[0], url, float(score), following, "put"))
+                following += 1
+            if out:
+                yield pd.DataFrame(out, columns=["shard", "url", "score", "seq", "action"])
+        self.ends.update((head, following))
+
+    def close(self) -> None:
+        pass
+
+
+def count_failures(key: tuple, batches: Iterator[pd.DataFrame],
+                   state: GroupState) -> Iterator[pd.DataFrame]:
+    """Counts an image's transient failures since its last success and times its retry.
+
+    A success clears the count, a permanent error is never retried, and the fourth
+    transient failure gives up. When the delay is over, a ``due`` row asks for the retry.
+    """
+    (count,) = state.get if state.exists else (0,)
+    if state.hasTimedOut:
+        yield _decisions(key, [(None, count, "due", fixed.RETRY_STEP_MS * count)])
+        return
+    waiting = None
+    for batch in batches:
+        out = []
+        for event, kind in batch.sort_values("event_id")[["event_id", "kind"]].itertuples(index=False):
+            waiting = None if kind == "ok" else waiting
+            if kind == "ok":
+                count, decision = 0, "ok"
+            elif kind == "permanent":
+                decision = "never"
+            else:
+                count += 1
+                decision = "retry" if count <= fixed.MAX_RETRIES else "give-up"
+                waiting = fixed.RETRY_STEP_MS * count if decision == "retry" else None
+            out.append((event, count, decision, waiting if decision == "retry" else None))
+        yield _decisions(key, out)
+    state.update((count,))
+    if waiting is not None:
+        state.setTimeoutDuration(waiting)
+
+
+def _decisions(key: tuple, rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["event_id", "failures", "decision", "delay_ms"])
+    out.insert(0, "url", key[1])
+    out.insert(0, "page", key[0])
+    return out.astype({"event_id": "Int64", "delay_ms": "Int64"})
