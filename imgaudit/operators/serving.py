@@ -48,14 +48,16 @@ def restore_cache(cache: DataFrame, mirror: DataFrame, installed: Column | str |
     return cache.unionByName(restored, allowMissingColumns=True)
 
 
-def retry_plan(events: DataFrame, keys: Sequence[str], order,
-               thrown: Column | None = None) -> DataFrame:
+def retry_plan(events: DataFrame, keys: Sequence[str], order, thrown: Column | None = None,
+               earlier: DataFrame | None = None) -> DataFrame:
     """Add ``failures``, ``decision`` and ``delay_ms`` to ordered analysis attempts.
 
     ``failures`` counts transient errors since the key's last success. Up to three are
     retried, later each time; the fourth gives up. Permanent errors are not retried and a
     thrown message error is tried again at once; neither counts.
 
+    ``earlier`` gives the failures a key already had, one row per key.
+
     Runs of failures are counted inside even ranges of the order and carried over from
     range to range, so one key's long history is spread over many tasks.
     """
@@ -79,16 +81,22 @@ def retry_plan(events: DataFrame, keys: Sequence[str], order,
     ranges = ranges.withColumn(
         "_total", F.sum("_tail").over(up_to_here(*keys, "_part").orderBy("_range")))
     before = Window.partitionBy(*keys).orderBy("_range")
-    carry = ranges.select(*inside, F.coalesce(F.lag("_total").over(before), F.lit(0))
-                          .alias("_carry"))
+    carry = ranges.select(
+        *inside, F.coalesce(F.lag("_total").over(before), F.lit(0)).alias("_carry"),
+        (F.coalesce(F.lag("_part").over(before), F.lit(0)) > 0).alias("_succeeded"))
 
     failures = F.col("_local") + F.when(F.col("_run") == 0, F.col("_carry")).otherwise(0)
     decision = (F.when(F.col("_kind").isNull(), "ok")
                 .when(F.col("_kind") == "permanent", "never")
                 .when(F.col("_kind") == "thrown", "again")
                 .when(F.col("failures") <= fixed.MAX_RETRIES, "retry").otherwise("give-up"))
-    out = null_safe_join(df, carry, inside).withColumn("failures", failures).withColumn(
-        "decision", decision)
+    joined = null_safe_join(df, carry, inside)
+    if earlier is not None:
+        known = earlier.select(*keys, F.col("failures").alias("_earlier"))
+        joined = null_safe_join(joined, known, keys, "left").withColumn(
+            "_carry", F.col("_carry") + F.when(F.col("_succeeded"), 0).otherwise(
+                F.coalesce("_earlier", F.lit(0)))).drop("_earlier")
+    out = joined.withColumn("failures", failures).withColumn("decision", decision)
     delay = F.when(F.col("decision") == "retry", F.col("failures") * fixed.RETRY_STEP_MS)
     return out.withColumn("delay_ms", delay).drop(
-        "_sort", "_kind", "_ok", "_bad", "_run", "_local", "_carry", "_range")
+        "_sort", "_kind", "_ok", "_bad", "_run", "_local", "_carry", "_succeeded", "_range")

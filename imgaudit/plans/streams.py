@@ -13,7 +13,7 @@ from imgaudit.plans.registry import Tables, query, rounded
 from imgaudit.plans.views import sql
 from imgaudit.session import shared_dir
 from imgaudit.streaming import sinks, verdicts
-from imgaudit.streaming.state import CACHE_OUTPUT, RETRY_OUTPUT
+from imgaudit.streaming.state import CACHE_OUTPUT
 
 
 def _event_stream(t: Tables) -> DataFrame:
@@ -50,15 +50,13 @@ def stream_cache(t: Tables) -> DataFrame:
         PARTITION BY page, url ORDER BY event_id) AS run FROM verdict_events),
     counted AS (SELECT *, sum(CASE WHEN error = 'fetch 503' THEN 1 ELSE 0 END) OVER (
         PARTITION BY page, url, run ORDER BY event_id) AS failures FROM runs)
-    SELECT event_id, CAST(failures AS INT) AS failures, CASE WHEN error IS NULL THEN 'ok'
+    SELECT event_id, CAST(failures AS BIGINT) AS failures, CASE WHEN error IS NULL THEN 'ok'
         WHEN error = 'too-small' THEN 'never' WHEN failures <= 3 THEN 'retry' ELSE 'give-up' END
         AS decision FROM counted"""))
 def stream_retry(t: Tables) -> DataFrame:
-    root = shared_dir(t.spark, "stream-retry")
-    sinks.drain_timed(verdicts.retry_transient(_event_stream(t)),
-                      sinks.table_writer(f"{root}/table"), f"{root}/checkpoint")
-    out = sinks.read_table(t.spark, f"{root}/table", RETRY_OUTPUT)
-    return out.filter("decision <> 'due'").select("event_id", "failures", "decision")
+    retries = sinks.Retries(shared_dir(t.spark, "stream-retry"), forget="3650 days")
+    sinks.drain(_event_stream(t), retries.write, f"{retries.root}/checkpoint")
+    return retries.read(t.spark).select("event_id", "failures", "decision")
 
 
 @query(sql("verdict_events", """

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +13,7 @@ from imgaudit import schemas
 from imgaudit.operators.lookups import valid_cache
 from imgaudit.operators.ranking import first_n
 from imgaudit.operators.reports import label_changes
+from imgaudit.operators.serving import retry_plan
 from imgaudit.sources.files import exists, remove
 
 BatchWriter = Callable[[DataFrame, int], None]
@@ -32,29 +32,6 @@ def drain(stream: DataFrame, write: BatchWriter, checkpoint: str, mode: str = "a
     start(stream, write, checkpoint, mode).awaitTermination()
 
 
-def drain_timed(stream: DataFrame, write: BatchWriter, checkpoint: str, mode: str = "update",
-                every: str = "1 second", limit_s: float = 600.0) -> None:
-    """Run a stream with processing-time timers until a batch finds no more input.
-
-    Such a stream never ends by itself, since a timer may always be pending.
-    """
-    running = start(stream, write, checkpoint, mode, every)
-    end, read = time.monotonic() + limit_s, False
-    try:
-        while running.isActive and time.monotonic() < end:
-            progress = running.lastProgress
-            if progress is not None:
-                read = read or progress.numInputRows > 0
-                if read and progress.numInputRows == 0:
-                    return
-            time.sleep(0.2)
-        if running.exception() is not None:
-            raise running.exception()
-        raise TimeoutError(f"stream did not use up its input in {limit_s} s")
-    finally:
-        running.stop()
-
-
 def table_writer(root: str) -> BatchWriter:
     """Write each batch as ``batch=<id>`` below a folder; a repeated batch replaces itself."""
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -110,6 +87,56 @@ class Mirror:
         remove(spark, self.path(batch_id - 2))
 
 
+class Retries:
+    """Retry decisions per image, with the open failures kept as one table per batch.
+
+    Decisions go to ``decisions/batch=<id>``. A batch starts from the failures the one
+    before it left open; images without any, and those silent for longer than ``forget``,
+    are not carried. All work is done by joins and windows, so a batch of any size spreads
+    over the cluster.
+    """
+
+    keys = ["page", "url"]
+    state = "page long, url string, failures long, seen timestamp"
+
+    def __init__(self, root: str, forget: str = "1 day"):
+        self.root, self.forget = root, forget
+
+    def path(self, batch_id: int) -> str:
+        return f"{self.root}/open-{batch_id}"
+
+    def open_failures(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        if batch_id < 0 or not exists(spark, f"{self.path(batch_id)}/_SUCCESS"):
+            return spark.createDataFrame([], self.state)
+        return spark.read.schema(self.state).parquet(self.path(batch_id))
+
+    def write(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        earlier = self.open_failures(spark, batch_id - 1)
+        decisions = f"{self.root}/decisions/batch={batch_id}"
+        retry_plan(batch, self.keys, "event_id", earlier=earlier).withColumn(
+            "due", F.expr("current_timestamp() + make_dt_interval(0, 0, 0, delay_ms / 1000)")
+        ).write.mode("overwrite").parquet(decisions)
+        newest = spark.read.parquet(decisions).groupBy(*self.keys).agg(
+            F.max_by("failures", "event_id").alias("failures"), F.max("ts").alias("seen"))
+        carried = earlier.join(newest.select(*self.keys), self.keys, "left_anti").unionByName(
+            newest)
+        horizon = carried.select(F.max("seen") - F.expr(f"INTERVAL {self.forget}")).scalar()
+        carried.filter((F.col("failures") > 0) & (F.col("seen") >= horizon)).write.mode(
+            "overwrite").parquet(self.path(batch_id))
+        remove(spark, self.path(batch_id - 2))
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(f"{self.root}/decisions")
+
+    def due(self, spark: SparkSession, now: Column | None = None) -> DataFrame:
+        """Images whose newest decision is a retry that has come due."""
+        latest_row = F.max_by(F.struct("event_id", "decision", "due"), "event_id").alias("_last")
+        last = self.read(spark).groupBy(*self.keys).agg(latest_row).select(*self.keys, "_last.*")
+        return last.filter((F.col("decision") == "retry")
+                           & (F.col("due") <= (F.current_timestamp() if now is None else now)))
+
+
 def label_writer(root: str, edited: str = "edited") -> BatchWriter:
     """Classify the latest edit of every issue in a batch and write its label changes.
 

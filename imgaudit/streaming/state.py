@@ -1,4 +1,4 @@
-"""Stateful processors: a bounded first-in-first-out cache and retries with timers."""
+"""A stateful processor: the bounded first-in-first-out verdict cache."""
 
 from __future__ import annotations
 
@@ -6,12 +6,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.streaming.state import GroupState
 
 from imgaudit import fixed_values as fixed
 
 CACHE_OUTPUT = "shard int, url string, score double, seq long, action string"
-RETRY_OUTPUT = "page long, url string, event_id long, failures int, decision string, delay_ms long"
 
 
 class BoundedCache(StatefulProcessor):
@@ -58,41 +56,3 @@ class BoundedCache(StatefulProcessor):
 
     def close(self) -> None:
         pass
-
-
-def count_failures(key: tuple, batches: Iterator[pd.DataFrame],
-                   state: GroupState) -> Iterator[pd.DataFrame]:
-    """Counts an image's transient failures since its last success and times its retry.
-
-    A success clears the count, a permanent error is never retried, and the fourth
-    transient failure gives up. When the delay is over, a ``due`` row asks for the retry.
-    """
-    (count,) = state.get if state.exists else (0,)
-    if state.hasTimedOut:
-        yield _decisions(key, [(None, count, "due", fixed.RETRY_STEP_MS * count)])
-        return
-    waiting = None
-    for batch in batches:
-        out = []
-        for event, kind in batch.sort_values("event_id")[["event_id", "kind"]].itertuples(index=False):
-            waiting = None if kind == "ok" else waiting
-            if kind == "ok":
-                count, decision = 0, "ok"
-            elif kind == "permanent":
-                decision = "never"
-            else:
-                count += 1
-                decision = "retry" if count <= fixed.MAX_RETRIES else "give-up"
-                waiting = fixed.RETRY_STEP_MS * count if decision == "retry" else None
-            out.append((event, count, decision, waiting if decision == "retry" else None))
-        yield _decisions(key, out)
-    state.update((count,))
-    if waiting is not None:
-        state.setTimeoutDuration(waiting)
-
-
-def _decisions(key: tuple, rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["event_id", "failures", "decision", "delay_ms"])
-    out.insert(0, "url", key[1])
-    out.insert(0, "page", key[0])
-    return out.astype({"event_id": "Int64", "delay_ms": "Int64"})

@@ -1,4 +1,4 @@
-"""Streaming verdict requests: dedupe, cache, retries, page counts, image discovery."""
+"""Streaming verdict requests: dedupe, cache, page counts, image discovery."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from imgaudit import fixed_values as fixed
 from imgaudit.functions import web
 from imgaudit.operators.metrics import page_stats
-from imgaudit.streaming.state import CACHE_OUTPUT, RETRY_OUTPUT, BoundedCache, count_failures
+from imgaudit.streaming.state import CACHE_OUTPUT, BoundedCache
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SALTS = 8
@@ -46,15 +46,6 @@ def bounded_cache(results: DataFrame, capacity: int = fixed.CACHE_CAPACITY, shar
         timeMode="None")
 
 
-def retry_transient(attempts: DataFrame) -> DataFrame:
-    """Retry decisions per (page, url); ``due`` rows appear when a retry's delay is over."""
-    _use_rocksdb(attempts)
-    kind = F.coalesce(web.error_class("error"), F.lit("ok"))
-    return attempts.select("page", "url", "event_id", kind.alias("kind")).groupBy(
-        "page", "url").applyInPandasWithState(
-        count_failures, RETRY_OUTPUT, "n int", "update", "ProcessingTimeTimeout")
-
-
 def discover_images(pages: DataFrame, time: str, tag: str = "img", attribute: str = "src",
                     delay: str = "1 day") -> DataFrame:
     """New image references of arriving pages; a changed reference counts as new."""
