@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from imgaudit.functions.common import ColumnLike, col
-from imgaudit.operators.ranking import null_safe_join, order_value, with_range
+from imgaudit.operators.ranking import order_value, with_range
 
 MIN_VARIANCE = 4.0
 MIN_CORRELATION = 0.15

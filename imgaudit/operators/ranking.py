@@ -39,6 +39,15 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
     return left.join(renamed, condition, how).drop(*[f"_right_{k}" for k in keys])
 
 
+def packed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add ``_key``: all keys as one value that is never null and equals itself.
+
+    Windows, counts and joins on (``_key``, ``_range``) then share one shuffle, which a
+    null-safe join on the keys themselves would not.
+    """
+    return df.withColumn("_key", F.struct(*keys) if keys else F.lit(0))
+
+
 # ------------------------------------------------------------------ first n rows per key
 
 def ranked_first(df: DataFrame, order, n: int, keys: Sequence[str] = (),
@@ -116,28 +125,27 @@ def count_not_above(df: DataFrame, points: Column, value: ColumnLike, size: int,
     return found.select(*df.columns, F.col(f"_at{len(steps)}").alias(name))
 
 
-def _range_starts(totals: DataFrame, keys: Sequence[str], counts: Sequence[str]) -> DataFrame:
+def _range_starts(totals: DataFrame, counts: Sequence[str]) -> DataFrame:
     """Running totals before every range; one row per key and range goes in."""
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(
+    before = Window.partitionBy("_key").orderBy("_range").rowsBetween(
         Window.unboundedPreceding, -1)
     return totals.select(
-        *keys, "_range",
+        "_key", "_range",
         *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_{c}_start") for c in counts])
 
 
 def with_position(df: DataFrame, order, keys: Sequence[str] = (),
                   name: str = "position") -> DataFrame:
     """Add each row's 0-based position within its keys, in an order without ties."""
-    df = df.withColumn("_sort", order_value(order))
+    df = packed(df.withColumn("_sort", order_value(order)), keys)
     points = split_points(df, "_sort", unique=True)
     ranged = count_not_above(df, points, "_sort", RANGES, "_range")
-    here = Window.partitionBy(*keys, "_range").orderBy("_sort")
+    here = Window.partitionBy("_key", "_range").orderBy("_sort")
     local = ranged.withColumn("_row", F.row_number().over(here) - 1)
-    totals = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("n"))
-    starts = _range_starts(totals, keys, ["n"])
-    return (null_safe_join(local, starts, [*keys, "_range"])
+    totals = ranged.groupBy("_key", "_range").agg(F.count(F.lit(1)).alias("n"))
+    return (local.join(_range_starts(totals, ["n"]), ["_key", "_range"])
             .withColumn(name, F.col("_n_start") + F.col("_row"))
-            .drop("_sort", "_range", "_row", "_n_start"))
+            .drop("_key", "_sort", "_range", "_row", "_n_start"))
 
 
 def running_counts(df: DataFrame, value: str, counts: dict[str, Column],
@@ -146,16 +154,15 @@ def running_counts(df: DataFrame, value: str, counts: dict[str, Column],
 
     ``_range`` stays: the even range of values each row was counted in.
     """
-    distinct = df.groupBy(*keys, value).agg(*[c.alias(n) for n, c in counts.items()])
-    points = split_points(distinct, value)
+    distinct = packed(df.groupBy(*keys, value).agg(*[c.alias(n) for n, c in counts.items()]), keys)
+    points = split_points(distinct, value, unique=not keys)
     ranged = count_not_above(distinct, points, value, RANGES, "_range")
-    below = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(
+    below = Window.partitionBy("_key", "_range").orderBy(value).rowsBetween(
         Window.unboundedPreceding, -1)
     local = ranged.withColumns(
         {f"_{n}_local": F.coalesce(F.sum(n).over(below), F.lit(0)) for n in counts})
-    totals = ranged.groupBy(*keys, "_range").agg(*[F.sum(n).alias(n) for n in counts])
-    starts = _range_starts(totals, keys, list(counts))
-    joined = null_safe_join(local, starts, [*keys, "_range"])
+    totals = ranged.groupBy("_key", "_range").agg(*[F.sum(n).alias(n) for n in counts])
+    joined = local.join(_range_starts(totals, list(counts)), ["_key", "_range"])
     return joined.select(
         *keys, "_range", value, *counts,
         *[(F.col(f"_{n}_start") + F.col(f"_{n}_local")).alias(f"{n}_before") for n in counts])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from imgaudit import fixed_values as fixed
 from imgaudit.functions.web import error_class
 from imgaudit.operators.lookups import salted_lookup, valid_cache
-from imgaudit.operators.ranking import first_n, null_safe_join, order_value, with_range
+from imgaudit.operators.ranking import first_n, null_safe_join, order_value, packed, with_range
 
 
 def dedupe_requests(events: DataFrame, order) -> DataFrame:
@@ -63,10 +63,11 @@ def retry_plan(events: DataFrame, keys: Sequence[str], order, thrown: Column | N
     """
     thrown = F.lit(False) if thrown is None else F.coalesce(thrown, F.lit(False))
     kind = F.when(thrown, "thrown").otherwise(error_class("error"))
-    df = with_range(events.withColumns({"_sort": order_value(order), "_kind": kind}), "_sort")
+    named = packed(events.withColumns({"_sort": order_value(order), "_kind": kind}), keys)
+    df = with_range(named, "_sort")
     df = df.withColumns({"_ok": F.col("_kind").isNull().cast("int"),
                          "_bad": F.col("_kind").eqNullSafe("transient").cast("int")})
-    inside = [*keys, "_range"]
+    inside = ["_key", "_range"]
 
     def up_to_here(*parts):
         return Window.partitionBy(*parts).rowsBetween(Window.unboundedPreceding, 0)
@@ -77,10 +78,10 @@ def retry_plan(events: DataFrame, keys: Sequence[str], order, thrown: Column | N
     ranges = df.groupBy(*inside).agg(F.max("_ok").alias("_reset"),
                                      F.max_by("_local", "_sort").alias("_tail"))
     ranges = ranges.withColumn(
-        "_part", F.sum("_reset").over(up_to_here(*keys).orderBy("_range")))
+        "_part", F.sum("_reset").over(up_to_here("_key").orderBy("_range")))
     ranges = ranges.withColumn(
-        "_total", F.sum("_tail").over(up_to_here(*keys, "_part").orderBy("_range")))
-    before = Window.partitionBy(*keys).orderBy("_range")
+        "_total", F.sum("_tail").over(up_to_here("_key", "_part").orderBy("_range")))
+    before = Window.partitionBy("_key").orderBy("_range")
     carry = ranges.select(
         *inside, F.coalesce(F.lag("_total").over(before), F.lit(0)).alias("_carry"),
         (F.coalesce(F.lag("_part").over(before), F.lit(0)) > 0).alias("_succeeded"))
@@ -90,7 +91,7 @@ def retry_plan(events: DataFrame, keys: Sequence[str], order, thrown: Column | N
                 .when(F.col("_kind") == "permanent", "never")
                 .when(F.col("_kind") == "thrown", "again")
                 .when(F.col("failures") <= fixed.MAX_RETRIES, "retry").otherwise("give-up"))
-    joined = null_safe_join(df, carry, inside)
+    joined = df.join(carry, inside)
     if earlier is not None:
         known = earlier.select(*keys, F.col("failures").alias("_earlier"))
         joined = null_safe_join(joined, known, keys, "left").withColumn(
@@ -99,4 +100,4 @@ def retry_plan(events: DataFrame, keys: Sequence[str], order, thrown: Column | N
     out = joined.withColumn("failures", failures).withColumn("decision", decision)
     delay = F.when(F.col("decision") == "retry", F.col("failures") * fixed.RETRY_STEP_MS)
     return out.withColumn("delay_ms", delay).drop(
-        "_sort", "_kind", "_ok", "_bad", "_run", "_local", "_carry", "_succeeded", "_range")
+        "_sort", "_kind", "_ok", "_bad", "_run", "_local", "_carry", "_succeeded", "_range", "_key")
