@@ -34,7 +34,7 @@ def _usable(value, width: int | None) -> bool:
 
 def score_table(df: DataFrame, scorer: Scorer, inputs: str, keep: Sequence[str],
                 width: int | None = None, name: str = "z") -> DataFrame:
-    """Score every row in Arrow batches; an input that cannot be used yields NaN.
+    """Score every row in Arrow batches; an input that cannot be used has a null score.
 
     ``scorer`` maps a batch of inputs to one number each. Only the kept columns and the
     input travel to Python.

@@ -246,7 +246,7 @@ def score_table(t: Tables) -> DataFrame:
     scored = scoring.score_table(t.embeddings.withColumn("embedding", inputs),
                                  scoring.linear_scorer(_WEIGHTS, 0.1), "embedding", ["vec_id"],
                                  width=64)
-    return rounded(scored.withColumn("z", F.nanvl("z", F.lit(None).cast("double"))), "z")
+    return rounded(scored, "z")
 
 
 @query(sql("scores", f"""
