@@ -17,9 +17,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from imgaudit.functions.common import ColumnLike, col
+from imgaudit.session import stored
 
 SALTS = 32
-RANGES = 256  # a power of two
+MIN_RANGES, MAX_RANGES = 32, 8192
 
 
 def order_value(order: ColumnLike | Sequence[ColumnLike]) -> Column:
@@ -97,8 +98,13 @@ def first_n(df: DataFrame, order, n: int, keys: Sequence[str] = (),
 
 # ------------------------------------------------------------------ even ranges of a value
 
-def split_points(df: DataFrame, value: ColumnLike, ranges: int = RANGES,
-                 unique: bool = False) -> Column:
+def range_count(df: DataFrame) -> int:
+    """How many ranges to cut: four per shuffle partition, as a power of two."""
+    wanted = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(1 << (wanted - 1).bit_length(), MIN_RANGES), MAX_RANGES)
+
+
+def split_points(df: DataFrame, value: ColumnLike, ranges: int, unique: bool = False) -> Column:
     """A sorted array of ``ranges - 1`` values that cut the distinct values evenly.
 
     The sample is the values with the smallest hashes, hence the same on every run.
@@ -125,6 +131,13 @@ def count_not_above(df: DataFrame, points: Column, value: ColumnLike, size: int,
     return found.select(*df.columns, F.col(f"_at{len(steps)}").alias(name))
 
 
+def with_range(df: DataFrame, order, unique: bool = True, name: str = "_range") -> DataFrame:
+    """Add an even range number of the order value, for windows taken in two steps."""
+    ranges = range_count(df)
+    points = split_points(df, order_value(order), ranges, unique)
+    return count_not_above(df, points, order_value(order), ranges, name)
+
+
 def _range_starts(totals: DataFrame, counts: Sequence[str]) -> DataFrame:
     """Running totals before every range; one row per key and range goes in."""
     before = Window.partitionBy("_key").orderBy("_range").rowsBetween(
@@ -138,8 +151,7 @@ def with_position(df: DataFrame, order, keys: Sequence[str] = (),
                   name: str = "position") -> DataFrame:
     """Add each row's 0-based position within its keys, in an order without ties."""
     df = packed(df.withColumn("_sort", order_value(order)), keys)
-    points = split_points(df, "_sort", unique=True)
-    ranged = count_not_above(df, points, "_sort", RANGES, "_range")
+    ranged = with_range(df, "_sort")
     here = Window.partitionBy("_key", "_range").orderBy("_sort")
     local = ranged.withColumn("_row", F.row_number().over(here) - 1)
     totals = ranged.groupBy("_key", "_range").agg(F.count(F.lit(1)).alias("n"))
@@ -152,11 +164,12 @@ def running_counts(df: DataFrame, value: str, counts: dict[str, Column],
                    keys: Sequence[str] = ()) -> DataFrame:
     """Per distinct value: each count, and as ``<count>_before`` its total below the value.
 
-    ``_range`` stays: the even range of values each row was counted in.
+    The distinct values are stored once, so the input is read once. ``_range`` stays: the
+    even range of values each row was counted in.
     """
-    distinct = packed(df.groupBy(*keys, value).agg(*[c.alias(n) for n, c in counts.items()]), keys)
-    points = split_points(distinct, value, unique=not keys)
-    ranged = count_not_above(distinct, points, value, RANGES, "_range")
+    grouped = df.groupBy(*keys, value).agg(*[c.alias(n) for n, c in counts.items()])
+    distinct = packed(stored(grouped, "distinct"), keys)
+    ranged = with_range(distinct, value, unique=not keys)
     below = Window.partitionBy("_key", "_range").orderBy(value).rowsBetween(
         Window.unboundedPreceding, -1)
     local = ranged.withColumns(
@@ -166,9 +179,3 @@ def running_counts(df: DataFrame, value: str, counts: dict[str, Column],
     return joined.select(
         *keys, "_range", value, *counts,
         *[(F.col(f"_{n}_start") + F.col(f"_{n}_local")).alias(f"{n}_before") for n in counts])
-
-
-def with_range(df: DataFrame, order, name: str = "_range") -> DataFrame:
-    """Add an even range number of the order value, for windows taken in two steps."""
-    points = split_points(df, order_value(order), unique=True)
-    return count_not_above(df, points, order_value(order), RANGES, name)

@@ -24,6 +24,9 @@ from imgaudit.operators.ranking import (
     with_position,
     within_edge,
 )
+from imgaudit.session import stored
+
+BROADCAST_ROWS = 500_000  # narrow rows that a broadcast may hold
 
 
 def _lookup(table: Mapping[str, object], key: ColumnLike, default) -> Column:
@@ -142,13 +145,26 @@ def curate_sources(df: DataFrame, specs: Mapping[str, tuple], order, payload: st
     """Curate many sources at once by their specs, prefix -> (stride, train, holdout, ...).
 
     Rows must be filtered by caption or pair before. Then, per source: stride, drop rows
-    without a payload, stop at the total cap, hold out the tail.
+    without a payload, stop at the total cap, hold out the tail. All choices are made on the
+    source, the order and whether there is a payload; the picked rows, at most the sum of
+    the caps, are then joined back to their payloads.
     """
-    strided = stride_sample(df.filter(F.col(source).isin(list(specs))),
-                            {k: s[0] for k, s in specs.items()}, order, source)
-    capped = total_cap(strided.filter(F.col(payload).isNotNull()),
-                       {k: s[1] + s[2] for k, s in specs.items()}, order, source)
-    return tail_holdout(capped, {k: s[2] for k, s in specs.items()}, order, source)
+    wanted = df.filter(F.col(source).isin(list(specs)))
+    narrow = wanted.select(source, order_value(order).alias("_order"),
+                           F.col(payload).isNotNull().alias("_has"))
+    step = _lookup({k: s[0] for k, s in specs.items()}, source, 1)
+    strided = with_position(narrow, "_order", [source]).filter(
+        (F.pmod(F.col("position"), step) == 0) & F.col("_has")).select(source, "_order")
+    caps = {k: s[1] + s[2] for k, s in specs.items()}
+    capped = stored(ranked_first(strided, "_order", max(caps.values()), [source]).filter(
+        F.col("_rank") <= _lookup(caps, source, 0)), "curated")
+    picked = tail_holdout(capped.select(source, "_order"), {k: s[2] for k, s in specs.items()},
+                          "_order", source)
+    picked = picked.withColumnsRenamed({source: "_source", "_order": "_at"})
+    if sum(caps.values()) <= BROADCAST_ROWS:
+        picked = F.broadcast(picked)
+    same = (F.col(source) == F.col("_source")) & (order_value(order) == F.col("_at"))
+    return wanted.join(picked, same).drop("_source", "_at")
 
 
 def _as_split(df: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from imgaudit import fixed_values as fixed
 from imgaudit.functions.web import error_class
-from imgaudit.operators.lookups import salted_lookup, valid_cache
+from imgaudit.operators.lookups import split_lookup, valid_cache
 from imgaudit.operators.ranking import first_n, null_safe_join, order_value, packed, with_range
 
 
@@ -19,7 +19,7 @@ def dedupe_requests(events: DataFrame, order) -> DataFrame:
     ok = F.col("error").isNull() & F.col("score").isNotNull()
     first = events.filter(ok).groupBy("url").agg(
         F.min(position).alias("_since"), F.min_by("score", position).alias("_cached"))
-    joined = salted_lookup(events, first, "url")
+    joined = split_lookup(events, first, "url")
     cached = F.coalesce(position > F.col("_since"), F.lit(False))
     return joined.withColumns({
         "action": F.when(cached, "cached").otherwise("inferred"),

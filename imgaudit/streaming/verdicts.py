@@ -30,7 +30,7 @@ def dedupe_requests(requests: DataFrame, url: str = "url", time: str = "ts",
             .dropDuplicatesWithinWatermark([url]).drop("_salt"))
 
 
-def bounded_cache(results: DataFrame, capacity: int = fixed.CACHE_CAPACITY, shards: int = 1,
+def bounded_cache(results: DataFrame, capacity: int = fixed.CACHE_CAPACITY, shards: int = 64,
                   url: str = "url") -> DataFrame:
     """Cache changes (put, evict) of scored results; capacity counts per shard.
 

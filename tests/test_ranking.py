@@ -66,7 +66,7 @@ def test_ranges_are_even_and_repeat(df):
     first, again = (sorted(map(tuple, ranged.select("o", "_range").collect())) for _ in range(2))
     assert first == again
     sizes = np.unique([r for _, r in first], return_counts=True)[1]
-    assert len(sizes) > ranking.RANGES * 0.8 and sizes.max() < 3000 / 10
+    assert len(sizes) == ranking.range_count(df) and sizes.max() < 3000 / 4
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))

@@ -174,5 +174,5 @@ def test_cover_join(spark):
     boxes += [(64, "p", 0, 0, 10, 8), (65, "p", 0, 0, 10, 10)]  # the 66th is no candidate
     boxes = spark.createDataFrame([(b, *r) for b, *r in boxes],
                                   "box_id int, page string, x0 int, y0 int, x1 int, y1 int")
-    found = lookups.cover_join(images, boxes, ["page"], "box_id").collect()
+    found = lookups.cover_join(images, boxes, "page", "box_id").collect()
     assert [(r.image, r.box_id) for r in found] == [(1, 64)]

@@ -110,7 +110,7 @@ def test_bounded_cache_is_first_in_first_out(spark, tmp_path):
     stream = spark.readStream.schema("url string, score double").option(
         "maxFilesPerTrigger", 1).json(str(folder))
     root = str(tmp_path / "cache")
-    sinks.drain(verdicts.bounded_cache(stream, capacity=2), sinks.table_writer(f"{root}/t"),
+    sinks.drain(verdicts.bounded_cache(stream, capacity=2, shards=1), sinks.table_writer(f"{root}/t"),
                 f"{root}/c", "update")
     rows = sinks.read_table(spark, f"{root}/t", "url string, seq long, action string").collect()
     expected, held = _fifo(urls, 2)
