@@ -129,6 +129,19 @@ def test_cache_lookup_prefers_exact_then_oldest_base(spark):
     assert found == {1: (0.2, "exact"), 2: (0.1, "base"), 3: (0.9, "base"), 4: (None, None)}
 
 
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_split_lookup_with_hot_and_null_keys(spark, how):
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["hot"] * 5 + [None] * 2 + ["missing-hot"] * 2 + [f"k{i % 1500}"]))
+            for i in range(6000)]
+    table = [("hot", 1)] + [(f"k{i}", i) for i in range(0, 1500, 2)]
+    df = spark.createDataFrame(rows, "id int, k string")
+    found = lookups.split_lookup(df, spark.createDataFrame(table, "k string, v int"), "k", how)
+    entries = dict(table)
+    expected = [(i, k, entries.get(k)) for i, k in rows if how == "left" or k in entries]
+    assert sorted(map(tuple, found.select("id", "k", "v").collect())) == expected
+
+
 def test_valid_cache(spark):
     cache = spark.createDataFrame([("a", "old"), ("b", "cur"), ("c", None), ("d", "")],
                                   "url string, model_version string")
