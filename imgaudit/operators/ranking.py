@@ -1,10 +1,10 @@
 """Ranks, positions and running counts that never gather one hot key in one task.
 
-Two ways are used. Where only the first (or last) n rows of a key matter, rows are
-limited per (key, salt) first, so that a task sees at most ``SALTS * n`` rows of a key.
-Where every row needs its position, the order column is cut into ranges: rows are
-counted and ranked per (key, range), and the small table of range totals gives each
-range its offset. The ranges come from a repeatable sample of the order values
+The order column is cut into ranges: rows are counted per (key, range), and the small
+table of range totals gives each range its offset. Where every row needs its position,
+rows are ranked inside their range. Where only the first (or last) n rows of a key
+matter, just the one range that holds the n-th row is ranked, and only for keys that
+have more than n rows. The ranges come from a repeatable sample of the order values
 themselves, so they are even whatever the distribution and the same on a retried task.
 """
 
@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from imgaudit.functions.common import ColumnLike, col
 from imgaudit.session import stored
 
-SALTS = 32
 MIN_RANGES, MAX_RANGES = 32, 8192
 
 
@@ -51,49 +50,69 @@ def packed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 # ------------------------------------------------------------------ first n rows per key
 
-def ranked_first(df: DataFrame, order, n: int, keys: Sequence[str] = (),
-                 last: bool = False) -> DataFrame:
-    """Keys, ``_order`` and ``_rank`` (from 1) of the first n rows of every key.
+def key_sizes(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Keys and ``_rows``."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
 
-    Only the keys and the order columns are read and shuffled.
-    """
-    narrow = df.select(*keys, order_value(order).alias("_order"))
-    direction = F.col("_order").desc() if last else F.col("_order").asc()
-    salt = F.pmod(F.xxhash64("_order"), F.lit(SALTS))
-    for parts in ([*keys, salt], list(keys)):
-        window = Window.partitionBy(*parts).orderBy(direction)
-        narrow = narrow.withColumn("_rank", F.row_number().over(window)).filter(
-            F.col("_rank") <= n)
-    return narrow
-
-
-def edges(ranked: DataFrame, keys: Sequence[str] = (), last: bool = False) -> DataFrame:
-    """One row per key: ``_edge``, the order value of its outermost ranked row."""
-    return ranked.groupBy(*keys).agg((F.min if last else F.max)("_order").alias("_edge"))
 
+def value_at_rank(df: DataFrame, order, targets: DataFrame,
+                  keys: Sequence[str] = ()) -> DataFrame:
+    """Add ``_edge``: the order value at each key's 1-based rank ``_target``; null if none.
 
-def within_edge(df: DataFrame, order, edge: DataFrame, keys: Sequence[str] = (),
+    Only the keys and the order columns of keys in ``targets`` are read. Rows are counted
+    per range on the map side; the rows of one range per key are shuffled and ranked.
+    """
+    narrow = packed(df.select(*keys, order_value(order).alias("_order")), keys)
+    wanted = packed(targets, keys)
+    if keys:
+        rows = narrow.join(wanted.select("_key", "_target"), "_key")
+    else:
+        rows = narrow.withColumn("_target", targets.select("_target").scalar()).filter(
+            F.col("_target").isNotNull())
+    ranged = with_range(rows.select("_key", "_target", "_order"), "_order")
+    totals = ranged.groupBy("_key", "_range").agg(F.count(F.lit(1)).alias("n"),
+                                                  F.first("_target").alias("_target"))
+    before = Window.partitionBy("_key").orderBy("_range").rowsBetween(
+        Window.unboundedPreceding, -1)
+    left = F.col("_target") - F.coalesce(F.sum("n").over(before), F.lit(0))
+    held = totals.withColumn("_left", left).filter(
+        (F.col("_left") > 0) & (F.col("_left") <= F.col("n"))).select("_key", "_range", "_left")
+    near = ranged.select("_key", "_range", "_order").join(held, ["_key", "_range"])
+    ranked = near.withColumn("_rank", F.row_number().over(
+        Window.partitionBy("_key", "_range").orderBy("_order")))
+    found = ranked.filter(F.col("_rank") == F.col("_left")).select(
+        "_key", F.col("_order").alias("_edge"))
+    return wanted.join(found, "_key", "left").drop("_key")
+
+
+def within_edge(df: DataFrame, order, edges: DataFrame, keys: Sequence[str] = (),
                 last: bool = False, name: str = "_within") -> DataFrame:
-    """Flag the rows up to their key's edge; a key without an edge has none."""
+    """Flag the rows up to their key's edge; keys without a target are inside as a whole."""
     value = order_value(order)
-    if not keys:
-        limit = edge.select("_edge").scalar()
-        inside = (value >= limit) if last else (value <= limit)
-        return df.withColumn(name, F.coalesce(inside, F.lit(False)))
-    joined = null_safe_join(df, edge, keys, "left")
-    inside = (value >= F.col("_edge")) if last else (value <= F.col("_edge"))
-    return joined.withColumn(name, F.coalesce(inside, F.lit(False))).drop("_edge")
+    if keys:
+        df = null_safe_join(df, edges.select(*keys, "_target", "_edge"), keys, "left")
+        target, edge = F.col("_target"), F.col("_edge")
+    else:
+        target, edge = (edges.select(c).scalar() for c in ("_target", "_edge"))
+    inside = F.coalesce((value >= edge) if last else (value <= edge), F.lit(False))
+    flagged = df.withColumn(name, F.when(target.isNull(), True).otherwise(inside))
+    return flagged.drop("_target", "_edge") if keys else flagged
 
 
-def first_n(df: DataFrame, order, n: int, keys: Sequence[str] = (),
+def first_n(df: DataFrame, order, n: int | Column, keys: Sequence[str] = (),
             last: bool = False) -> DataFrame:
     """The first (or last) n rows of every key, in an order without ties.
 
-    Wide columns such as image bytes are neither sorted nor shuffled: the cut-off value
-    of each key is found on the narrow columns and joined back as a filter.
+    ``n`` may depend on the keys. Wide columns such as image bytes are neither sorted nor
+    shuffled: the cut-off value of each key that has more than n rows is found on the
+    narrow columns and joined back as a filter.
     """
-    edge = edges(ranked_first(df, order, n, keys, last), keys, last)
-    return within_edge(df, order, edge, keys, last).filter("_within").drop("_within")
+    n = n if isinstance(n, Column) else F.lit(n)
+    target = F.col("_rows") - n + 1 if last else n
+    targets = key_sizes(df, keys).filter(F.col("_rows") > n).select(
+        *keys, target.cast("bigint").alias("_target"))
+    edges = value_at_rank(df, order, targets, keys)
+    return within_edge(df, order, edges, keys, last).filter("_within").drop("_within")
 
 
 # ------------------------------------------------------------------ even ranges of a value

@@ -16,11 +16,11 @@ from imgaudit.functions import labels
 from imgaudit.functions.common import ColumnLike, col, round_half_even
 from imgaudit.functions.draws import draw, draw_int, draw_unit, hash_order
 from imgaudit.operators.ranking import (
-    edges,
     first_n,
+    key_sizes,
     null_safe_join,
     order_value,
-    ranked_first,
+    value_at_rank,
     with_position,
     within_edge,
 )
@@ -42,14 +42,8 @@ def cap_per_key(df: DataFrame, key: str, order, cap: int | Mapping[str, int],
 
     Rows without a payload use up the cap and are dropped afterwards.
     """
-    if isinstance(cap, Mapping):
-        most = max([default, *cap.values()])
-        ranked = ranked_first(df, order, most, [key]).filter(
-            F.col("_rank") <= _lookup(cap, key, default))
-        edge = edges(ranked, [key])
-        kept = within_edge(df, order, edge, [key]).filter("_within").drop("_within")
-    else:
-        kept = first_n(df, order, cap, [key])
+    limit = _lookup(cap, key, default) if isinstance(cap, Mapping) else cap
+    kept = first_n(df, order, limit, [key])
     return kept.filter(F.col(payload).isNotNull()) if payload else kept
 
 
@@ -105,23 +99,19 @@ def subsample_if_larger(df: DataFrame, cap: int, seed: int, key: str) -> DataFra
 def head_holdout(df: DataFrame, holdout: int, seed: int, key: str) -> DataFrame:
     """Add ``split``: the first rows of a repeatable shuffle are held out, the rest train."""
     order = [hash_order(key, seed), key]
-    edge = edges(ranked_first(df, order, holdout))
-    return _as_split(within_edge(df, order, edge))
+    targets = key_sizes(df).filter(F.col("_rows") > holdout).select(
+        F.lit(holdout).cast("bigint").alias("_target"))
+    return _as_split(within_edge(df, order, value_at_rank(df, order, targets)))
 
 
 def tail_holdout(df: DataFrame, holdout: int | Mapping[str, int], order,
                  source: str = "source") -> DataFrame:
     """Add ``split``: a contiguous tail of each source, at most a fifth of it, is held out."""
-    if isinstance(holdout, Mapping):
-        most, wanted = max(holdout.values()), _lookup(holdout, source, 0)
-    else:
-        most, wanted = holdout, F.lit(holdout)
-    ranked = ranked_first(df, order, most, [source], last=True)
-    sizes = df.groupBy(source).agg(F.count(F.lit(1)).alias("_rows"))
-    tail = null_safe_join(ranked, sizes, [source]).filter(
-        F.col("_rank") <= F.least(wanted, F.floor(F.col("_rows") / 5)))
-    edge = edges(tail, [source], last=True)
-    return _as_split(within_edge(df, order, edge, [source], last=True))
+    wanted = (_lookup(holdout, source, 0) if isinstance(holdout, Mapping) else F.lit(holdout))
+    held = F.least(wanted, F.floor(F.col("_rows") / 5))
+    targets = key_sizes(df, [source]).select(source, (F.col("_rows") - held + 1).alias("_target"))
+    edges = value_at_rank(df, order, targets, [source])
+    return _as_split(within_edge(df, order, edges, [source], last=True))
 
 
 def shard_disjoint_split(df: DataFrame, file: str, order, train_cap: int, holdout_cap: int,
@@ -156,10 +146,9 @@ def curate_sources(df: DataFrame, specs: Mapping[str, tuple], order, payload: st
     strided = with_position(narrow, "_order", [source]).filter(
         (F.pmod(F.col("position"), step) == 0) & F.col("_has")).select(source, "_order")
     caps = {k: s[1] + s[2] for k, s in specs.items()}
-    capped = stored(ranked_first(strided, "_order", max(caps.values()), [source]).filter(
-        F.col("_rank") <= _lookup(caps, source, 0)), "curated")
-    picked = tail_holdout(capped.select(source, "_order"), {k: s[2] for k, s in specs.items()},
-                          "_order", source)
+    capped = stored(first_n(stored(strided, "strided"), "_order", _lookup(caps, source, 0),
+                            [source]), "curated")
+    picked = tail_holdout(capped, {k: s[2] for k, s in specs.items()}, "_order", source)
     picked = picked.withColumnsRenamed({source: "_source", "_order": "_at"})
     if sum(caps.values()) <= BROADCAST_ROWS:
         picked = F.broadcast(picked)
