@@ -60,8 +60,10 @@ def value_at_rank(df: DataFrame, order, targets: DataFrame,
     """Add ``_edge``: the order value at each key's 1-based rank ``_target``; null if none.
 
     Only the keys and the order columns of keys in ``targets`` are read. Rows are counted
-    per range on the map side; the rows of one range per key are shuffled and ranked.
+    per range on the map side; the rows of one range per key are shuffled and ranked. Targets
+    and edges, one row per key, are stored, as both are used more than once.
     """
+    targets = stored(targets, "targets")
     narrow = packed(df.select(*keys, order_value(order).alias("_order")), keys)
     wanted = packed(targets, keys)
     if keys:
@@ -82,7 +84,7 @@ def value_at_rank(df: DataFrame, order, targets: DataFrame,
         Window.partitionBy("_key", "_range").orderBy("_order")))
     found = ranked.filter(F.col("_rank") == F.col("_left")).select(
         "_key", F.col("_order").alias("_edge"))
-    return wanted.join(found, "_key", "left").drop("_key")
+    return stored(wanted.join(found, "_key", "left").drop("_key"), "edges")
 
 
 def within_edge(df: DataFrame, order, edges: DataFrame, keys: Sequence[str] = (),
