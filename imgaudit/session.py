@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # caps reach 150,000 rows per key; the default of 1000 would keep the
-    # map-side row limit (WindowGroupLimit) from being planned
-    "spark.sql.optimizer.windowGroupLimitThreshold": "200000",
     "spark.sql.session.timeZone": "UTC",
 }
 
@@ -29,10 +27,13 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which every executor can reach.
 
-    Only where the cluster names no such folder, as in tests, is a local one used.
+    A cluster must name that folder: a driver's own would be another one on every machine.
+    Only with a local master, as in tests, where there is one machine, is one made.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="imgaudit-")
         spark.conf.set("spark.checkpoint.dir", root)
     return os.path.join(root, "imgaudit", f"{name}-{uuid.uuid4().hex}")
