@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,21 +62,46 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_BLOCK = 1 << 20
+
+
+@lru_cache(maxsize=4)
+def _powers(base: int, count: int) -> np.ndarray:
+    factors = np.full(count, base, np.uint64)
+    factors[0] = 1
+    return np.cumprod(factors, dtype=np.uint64)
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every byte span [start, end), from running polynomial sums."""
-    powers = np.full(len(data) + 1, _BASE, np.uint64)
-    powers[0] = 1
-    powers = np.cumprod(powers, dtype=np.uint64)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(mix(data.astype(np.uint64) + np.uint64(1)) * powers[:-1], out=sums[1:],
-              dtype=np.uint64)
-    inverse = np.full(len(data) + 1, _INVERSE, np.uint64)
-    inverse[0] = 1
-    inverse = np.cumprod(inverse, dtype=np.uint64)
-    return mix((sums[end] - sums[start]) * inverse[start]
-               + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """A 64-bit hash of every byte span [start, end), from running polynomial sums.
+
+    The spans must be sorted by their start; a megabyte of bytes is summed at a time.
+    """
+    out = np.empty(len(start), np.uint64)
+    block = start // _BLOCK
+    cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(start)]
+    for a, b in zip(cuts, cuts[1:]):
+        if a == b:
+            continue
+        low, high = int(start[a]), int(end[a:b].max())
+        size = 1 << (high - low).bit_length()
+        sums = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(mix(data[low:high].astype(np.uint64) + np.uint64(1))
+                  * _powers(_BASE, size)[:high - low], out=sums[1:], dtype=np.uint64)
+        first, last = start[a:b] - low, end[a:b] - low
+        out[a:b] = mix((sums[last] - sums[first]) * _powers(_INVERSE, size)[first]
+                       + (last - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return out
+
+
+def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose binary column holds about ``limit`` bytes; a longer row is one run."""
+    _, offsets = flat_bytes(batch.column(column))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

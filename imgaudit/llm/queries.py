@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from imgaudit.llm import exact_dedup, packing, warc
+from imgaudit.llm import exact_dedup, minhash, packing, pii, suffix_dedup, toxicity, warc
 from imgaudit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,21 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op1_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, folder, "documents")).drop("removed")
+
+
+@query()
+def op2_boosted_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal_data(table(spark, folder, "documents"))
+
+
+@query()
+def op5_lsh_forest_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents"))
+
+
 @query()
 def op6_karmarkar_karp_packing(spark: SparkSession, folder: str) -> DataFrame:
     # the rank file holds the same vocabulary and encodes several times faster
@@ -39,6 +54,12 @@ def op7_extendible_hash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, folder, "documents"))
 
 
+@query()
+def op9_string_kernel_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return toxicity.score(documents, toxicity.fit(documents, table(spark, folder, "labels")))
+
+
 @query()
 def op10_warc_dictionary(spark: SparkSession, folder: str) -> DataFrame:
     records = warc.archive_round_trip(table(spark, folder, "pages"))
