@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from imgaudit.llm import exact_dedup, minhash, packing, pii, suffix_dedup, toxicity, warc
+from imgaudit.llm import (
+    ann, exact_dedup, host_trust, minhash, mixing, packing, pii, suffix_dedup, toxicity, warc)
 from imgaudit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +34,16 @@ def op2_boosted_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return pii.personal_data(table(spark, folder, "documents"))
 
 
+@query()
+def op3_host_trust(spark: SparkSession, folder: str) -> DataFrame:
+    return host_trust.url_verdicts(table(spark, folder, "pages"))
+
+
+@query()
+def op4_hilbert_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.neighbours(table(spark, folder, "embeddings"))
+
+
 @query()
 def op5_lsh_forest_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"))
@@ -54,6 +65,11 @@ def op7_extendible_hash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, folder, "documents"))
 
 
+@query()
+def op8_pfair_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixed(table(spark, folder, "documents"))
+
+
 @query()
 def op9_string_kernel_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents")
