@@ -33,8 +33,8 @@ def _segment(marker: str, payload: str) -> str:
 
 _HEAD = "concat(X'89504E470D0A1A0A', " + _chunk("IHDR", "X'00000001000000010802000000'") + ", "
 _END = ", " + _chunk("IEND", "X''")
-_SCAN = ", X'FFDA00021234', encode(text, 'utf-8'), X'FFD9')"
-_MARK = f"encode('JP {_URI}', 'utf-8')"
+_SCAN = ", X'FFDA0002A5C3', encode(text, 'utf-8'), X'FFD9')"
+_MARK = f"encode('manifest {_URI}', 'utf-8')"
 _JSON = """concat('{"', text)"""
 
 # eight file kinds, dealt out by document
@@ -88,7 +88,7 @@ _PAYLOAD = f"""CASE doc_id % 8 WHEN 0 THEN encode('parameters') || '\\x00'::BLOB
     WHEN 1 THEN encode('prompt') || '\\x00'::BLOB || encode(concat('{{"', text))
     WHEN 2 THEN encode('prompt') || '\\x00'::BLOB || encode(concat('-', text))
     WHEN 3 THEN encode('workflow') || '\\x00'::BLOB || encode(text)
-    WHEN 6 THEN encode(text) ELSE encode('JP {_URI}') END"""
+    WHEN 6 THEN encode(text) ELSE encode('manifest {_URI}') END"""
 
 
 @query(f"""
@@ -154,7 +154,7 @@ def _rasters(t: Tables) -> DataFrame:
     cells AS (SELECT doc_id, len, hx, unnest(range(0, height*64)) AS i, height FROM rows),
     pixels AS (SELECT doc_id, i // 64 AS y, i % 64 AS x, 0.299e0*0e0 + CASE WHEN i < len THEN
         CAST(CAST(concat('0x', substr(hx, 2*i + 1, 2)) AS INT) AS DOUBLE) ELSE 32e0 END AS v
-        FROM cells WHERE (i // 64) % greatest(1, height // 128) = 0),
+        FROM cells),
     series AS (SELECT doc_id AS grp, y, x, v FROM pixels),
     pairs AS (SELECT grp, v AS x, lag(v) OVER (PARTITION BY grp, y ORDER BY x) AS a FROM series),
     sums AS (SELECT grp, count(*) AS n, sum(x*x)/count(*) - (sum(x)/count(*))*(sum(x)/count(*))
@@ -232,7 +232,7 @@ def extract_section(t: Tables) -> DataFrame:
         report_text.extract_section("body", "No such heading").alias("absent"))
 
 
-_MINED = _PARSED.replace(_WORDS, "said")
+MINED = _PARSED.replace(_WORDS, "said")
 _LINKS = """concat('https://github.com/user-attachments/assets/', issue,
     ' https://github.com/user-attachments/files/', issue)"""
 _EVIDENCE = """concat('see https://github.com/user-attachments/assets/', issue, ' and ', chr(10),
@@ -240,16 +240,16 @@ _EVIDENCE = """concat('see https://github.com/user-attachments/assets/', issue,
 
 
 @query(sql("reports", f"""
-    {_MINED} SELECT issue, klass, score, truth, concat('https://example.com/', issue, '.jpg')
+    {MINED} SELECT issue, klass, score, truth, concat('https://example.com/', issue, '.jpg')
         AS image_url, {_LINKS} AS attachments, {_EVIDENCE} AS evidence FROM classed"""))
 def mine_reports(t: Tables) -> DataFrame:
     return reports.mine_reports(views.report_bodies(t)).drop("created")
 
 
 @query(sql("reports", f"""
-    {_MINED} SELECT issue, klass, score, truth, concat('https://example.com/', issue, '.jpg')
+    {MINED} SELECT issue, klass, score, truth, concat('https://example.com/', issue, '.jpg')
         AS image_url, {_LINKS} AS attachments, replace({_EVIDENCE}, chr(10), ' ') AS evidence
-    FROM classed WHERE issue % 3 = 0 ORDER BY issue DESC LIMIT 500"""))
+    FROM classed WHERE issue % 3 = 0"""))
 def reports_csv(t: Tables) -> DataFrame:
     """Issues written and read as JSON, mined, written and read as CSV."""
     root = shared_dir(t.spark, "reports")
@@ -262,7 +262,7 @@ def reports_csv(t: Tables) -> DataFrame:
 
 
 @query(sql("reports", f"""
-    {_MINED} SELECT issue AS number, klass, concat('misclassification,', klass) AS added,
+    {MINED} SELECT issue AS number, klass, concat('misclassification,', klass) AS added,
         CASE WHEN issue % 3 = 0 AND klass <> 'consistent' THEN 'consistent'
             WHEN issue % 3 = 1 AND klass <> 'false-positive' THEN 'false-positive' ELSE '' END AS removed
     FROM classed WHERE issue % 5 <> 0 OR issue % 3 = 0"""))

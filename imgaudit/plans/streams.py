@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import StructField, StructType, TimestampType
 
 from imgaudit import schemas
 from imgaudit.functions.web import tag_pattern
+from imgaudit.operators.ranking import first_n
 from imgaudit.plans import views
+from imgaudit.plans.evidence import MINED
 from imgaudit.plans.registry import Tables, query, rounded
 from imgaudit.plans.views import sql
 from imgaudit.session import shared_dir
 from imgaudit.streaming import sinks, verdicts
-from imgaudit.streaming.state import CACHE_OUTPUT
 
 
 def _event_stream(t: Tables) -> DataFrame:
@@ -26,23 +27,32 @@ def _run(t: Tables, name: str, stream: DataFrame, schema: str, mode: str = "appe
     return sinks.read_table(t.spark, f"{root}/table", schema)
 
 
-@query(sql("verdict_events", "SELECT DISTINCT url FROM verdict_events WHERE error IS NULL"))
-def stream_dedupe(t: Tables) -> DataFrame:
-    events = _event_stream(t).filter("error IS NULL")
-    first = verdicts.dedupe_requests(events, delay="3650 days").select("url")
-    return _run(t, "stream-dedupe", first, "url string").select("url")
+def _parts(t: Tables, name: str, df: DataFrame, order: str, count: int = 3) -> str:
+    """Rows written as files that follow each other in an order, so that streams run several batches."""
+    root = shared_dir(t.spark, f"{name}-input")
+    for i in range(count):
+        df.filter(F.pmod(F.col(order), F.lit(count)) == i).repartition(1).write.mode("append").parquet(root)
+    return root
+
+
+def _event_parts(t: Tables, name: str) -> DataFrame:
+    root = _parts(t, name, views.verdict_events(t).withColumn("ts", F.col("ts").cast("timestamp")), "event_id")
+    schema = t.spark.read.parquet(root).schema
+    return t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(root)
 
 
 @query(sql("verdict_events", """
-    SELECT url, count(*) AS held FROM (SELECT DISTINCT url FROM verdict_events WHERE error IS NULL)
-    GROUP BY url"""))
-def stream_cache(t: Tables) -> DataFrame:
-    """Urls a cache holds at the end: every url once, as the capacity is not reached."""
-    events = _event_stream(t).filter("error IS NULL")
-    first = verdicts.dedupe_requests(events, delay="3650 days").select("url", "score")
-    changes = _run(t, "stream-cache", verdicts.bounded_cache(first, shards=4), CACHE_OUTPUT, "update")
-    change = F.when(F.col("action") == "put", 1).otherwise(-1)
-    return changes.groupBy("url").agg(F.sum(change).alias("held")).filter("held > 0")
+    parts AS (SELECT *, min(event_id % 3) OVER (PARTITION BY url) AS batch FROM verdict_events
+        WHERE error IS NULL)
+    SELECT url, min(event_id) AS event_id, round(arg_min(score, event_id), 6) AS score FROM parts
+    WHERE event_id % 3 = batch GROUP BY url"""))
+def stream_dedupe(t: Tables) -> DataFrame:
+    """Three batches: a url is served by its first success in the first batch that has one."""
+    events = _event_parts(t, "stream-dedupe").filter("error IS NULL").select("url", "event_id", "score")
+    root = shared_dir(t.spark, "stream-dedupe")
+    sink = sinks.FirstPerUrl(f"{root}/table", "url string, event_id long, score double")
+    sinks.drain(events, sink.write, f"{root}/checkpoint")
+    return rounded(sink.read(t.spark).select("url", "event_id", "score"), "score")
 
 
 @query(sql("verdict_events", """
@@ -69,17 +79,23 @@ def stream_page_stats(t: Tables) -> DataFrame:
 
 
 @query(sql("verdict_events", """
+    parts AS (SELECT *, min(event_id % 3) OVER (PARTITION BY url) AS batch FROM verdict_events
+        WHERE error IS NULL)
     SELECT url, min(event_id) AS seq, round(arg_min(score, event_id), 6) AS score,
         'cur' AS model_version
-    FROM verdict_events WHERE error IS NULL GROUP BY url ORDER BY seq DESC LIMIT 120"""))
+    FROM parts WHERE event_id % 3 = batch GROUP BY url ORDER BY seq DESC LIMIT 390"""))
 def stream_mirror(t: Tables) -> DataFrame:
-    """Two runs over the events: the second finds the mirror of another model and drops it."""
+    """Two runs of three batches: the second finds the mirror of another model and drops it.
+
+    The first capacity evicts. The second holds all urls, of which the newest are compared.
+    """
     root = shared_dir(t.spark, "stream-mirror")
-    events = _event_stream(t).select("url", "score", F.col("event_id").alias("seq"))
-    mirrors = [sinks.Mirror(f"{root}/mirror", lambda _, v=v: v, 120) for v in ("old", "cur")]
+    events = _event_parts(t, "stream-mirror").select("url", "score", F.col("event_id").alias("seq"))
+    mirrors = [sinks.Mirror(f"{root}/mirror", lambda _, v=v: v, n) for v, n in (("old", 50), ("cur", 400))]
     sinks.drain(events, mirrors[0].write, f"{root}/checkpoint-old")
-    sinks.drain(events, lambda batch, i: mirrors[1].write(batch, i + 1), f"{root}/checkpoint-cur")
-    return rounded(mirrors[1].read(t.spark, 1), "score")
+    sinks.drain(events, lambda batch, i: mirrors[1].write(batch, i + 3), f"{root}/checkpoint-cur")
+    kept = first_n(mirrors[1].read(t.spark, 5), "seq", 390, last=True)
+    return rounded(kept, "score")
 
 
 @query(rf"""
@@ -89,25 +105,26 @@ def stream_mirror(t: Tables) -> DataFrame:
 def stream_discovery(t: Tables) -> DataFrame:
     pages = t.stream("pages").select(
         "page_id", "html", F.col("_metadata.file_modification_time").alias("seen"))
-    found = verdicts.discover_images(pages, "seen", "a", "href")
+    found = verdicts.discover_images(pages, "seen", "3650 days", "a", "href")
     return _run(t, "stream-discovery", found.select("page_id", "src"),
                 "page_id long, src string").drop("batch")
 
 
-@query(sql("reports", """
-    SELECT issue AS number, CASE WHEN said = 'not analyzed' THEN 'not-analyzed'
-        ELSE 'scored' END AS kind FROM reports WHERE issue % 5 <> 0 OR issue % 3 = 0"""))
+@query(sql("reports", f"""
+    {MINED} SELECT issue AS number, klass, concat('misclassification,', klass) AS added,
+        CASE WHEN issue % 3 = 0 AND klass <> 'consistent' THEN 'consistent'
+            WHEN issue % 3 = 1 AND klass <> 'false-positive' THEN 'false-positive' ELSE '' END AS removed
+    FROM classed WHERE issue % 5 <> 0 OR issue % 3 = 0"""))
 def stream_reports(t: Tables) -> DataFrame:
-    """Issues arriving twice: an unreadable first version, then the edited one."""
+    """Issues arriving three times in as many batches; the latest edit comes in the middle."""
     root = shared_dir(t.spark, "stream-reports")
     issues = views.report_bodies(t)
-    first = issues.withColumn("body", F.lit("### What did it say?\n\nno idea"))
-    for i, version in enumerate((first, issues)):
-        version.withColumn("edited", F.lit(i)).write.mode("append").json(f"{root}/issues")
-    arriving = t.spark.readStream.schema(StructType([*schemas.ISSUE.fields, StructField("edited", IntegerType())])).json(f"{root}/issues")
+    unread = issues.withColumn("body", F.lit("### What did it say?\n\nno idea"))
+    for version, edited in ((unread, 1), (issues, 3), (unread, 2)):
+        version.withColumn("edited", F.timestamp_seconds(F.lit(edited))).repartition(1).write.mode(
+            "append").json(f"{root}/issues")
+    schema = StructType([*schemas.ISSUE.fields, StructField("edited", TimestampType())])
+    arriving = t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{root}/issues")
     sinks.drain(arriving, sinks.label_writer(f"{root}/table"), f"{root}/checkpoint")
-    changed = sinks.read_table(t.spark, f"{root}/table",
-                               "number long, klass string, remove array<string>, add array<string>")
-    kind = F.when(F.col("klass") == "not-analyzed", "not-analyzed").when(
-        F.col("klass") != "needs-review", "scored").otherwise("unread")
-    return changed.select("number", kind.alias("kind"))
+    return sinks.read_labels(t.spark, f"{root}/table").select(
+        "number", "klass", F.array_join("add", ",").alias("added"), F.array_join("remove", ",").alias("removed"))

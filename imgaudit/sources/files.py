@@ -20,6 +20,12 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return system.exists(target) and system.getFileStatus(target).isDirectory()
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; empty if it is not there."""
+    system, target = _open(spark, path)
+    return [s.getPath().getName() for s in system.listStatus(target)] if system.exists(target) else []
+
+
 def remove(spark: SparkSession, path: str) -> None:
     system, target = _open(spark, path)
     system.delete(target, True)

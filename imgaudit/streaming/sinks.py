@@ -8,13 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from imgaudit import fixed_values as fixed
 from imgaudit import schemas
 from imgaudit.operators.lookups import valid_cache
 from imgaudit.operators.ranking import first_n
 from imgaudit.operators.reports import label_changes
 from imgaudit.operators.serving import retry_plan
-from imgaudit.sources.files import exists, remove
+from imgaudit.sources.files import exists, names, remove
 
 BatchWriter = Callable[[DataFrame, int], None]
 
@@ -43,11 +42,11 @@ def read_table(spark: SparkSession, root: str, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, batch long").parquet(root)
 
 
-def latest(updates: DataFrame, *keys: str) -> DataFrame:
-    """The newest update of every key, for tables written in update mode."""
-    values = [c for c in updates.columns if c not in (*keys, "batch")]
+def latest(updates: DataFrame, *keys: str, by: str = "batch") -> DataFrame:
+    """The newest update of every key, by batch or by a column."""
+    values = [c for c in updates.columns if c not in (*keys, by, "batch")]
     return updates.groupBy(*keys).agg(
-        F.max_by(F.struct(*values), "batch").alias("_row")).select(*keys, "_row.*")
+        F.max_by(F.struct(*values), by).alias("_row")).select(*keys, "_row.*")
 
 
 class Mirror:
@@ -61,7 +60,7 @@ class Mirror:
     schema = "url string, score double, seq long, model_version string"
 
     def __init__(self, root: str, installed: Callable[[SparkSession], Column | str | None],
-                 capacity: int = fixed.MIRROR_CAPACITY):
+                 capacity: int):
         self.root, self.installed, self.capacity = root, installed, capacity
 
     def path(self, batch_id: int) -> str:
@@ -82,24 +81,50 @@ class Mirror:
             F.min_by("score", "seq").alias("score"), F.min("seq").alias("seq")).withColumn(
             "model_version", stamp)
         added = fresh.join(kept.select("url"), "url", "left_anti")
-        first_n(kept.unionByName(added), "seq", self.capacity, last=True).coalesce(
+        # only the rows that stay move to the one file
+        first_n(kept.unionByName(added), "seq", self.capacity, last=True).repartition(
             1).write.mode("overwrite").parquet(self.path(batch_id))
         remove(spark, self.path(batch_id - 2))
 
 
+class FirstPerUrl:
+    """The first successful request of every url, one table per batch.
+
+    A batch adds the urls that no earlier batch has, each with its row that is first in the
+    given order. What a batch keeps depends on its rows alone, so it may be repeated.
+    """
+
+    def __init__(self, root: str, schema: str, url: str = "url", order: str = "event_id"):
+        self.root, self.schema, self.url, self.order = root, schema, url, order
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        if not exists(spark, self.root):
+            return spark.createDataFrame([], f"{self.schema}, batch long")
+        return read_table(spark, self.root, self.schema)
+
+    def write(self, batch: DataFrame, batch_id: int) -> None:
+        fields = [c for c in batch.columns if c != self.url]
+        first = batch.groupBy(self.url).agg(F.min_by(F.struct(*fields), self.order).alias("_row"))
+        known = self.read(batch.sparkSession).filter(F.col("batch") < batch_id).select(self.url)
+        first.join(known, self.url, "left_anti").select(self.url, "_row.*").write.mode(
+            "overwrite").parquet(f"{self.root}/batch={batch_id}")
+
+
 class Retries:
     """Retry decisions per image, with the open failures kept as one table per batch.
 
     Decisions go to ``decisions/batch=<id>``. A batch starts from the failures the one
-    before it left open; images without any, and those silent for longer than ``forget``,
-    are not carried. All work is done by joins and windows, so a batch of any size spreads
+    before it left open; images without any, and those silent for longer than ``forget``
+    before the newest attempt, are not carried: a later failure of theirs counts from one,
+    and they are no longer listed as due. All work is done by joins and windows, so a batch of any size spreads
     over the cluster.
     """
 
     keys = ["page", "url"]
-    state = "page long, url string, failures long, seen timestamp"
+    state = ("page long, url string, failures long, seen timestamp, event_id long, "
+             "decision string, due timestamp")
 
-    def __init__(self, root: str, forget: str = "1 day"):
+    def __init__(self, root: str, forget: str):
         self.root, self.forget = root, forget
 
     def path(self, batch_id: int) -> str:
@@ -117,8 +142,10 @@ class Retries:
         retry_plan(batch, self.keys, "event_id", earlier=earlier).withColumn(
             "due", F.expr("current_timestamp() + make_dt_interval(0, 0, 0, delay_ms / 1000)")
         ).write.mode("overwrite").parquet(decisions)
+        last = F.max_by(F.struct("failures", "event_id", "decision", "due"), "event_id")
         newest = spark.read.parquet(decisions).groupBy(*self.keys).agg(
-            F.max_by("failures", "event_id").alias("failures"), F.max("ts").alias("seen"))
+            last.alias("_last"), F.max("ts").alias("seen")).select(
+            *self.keys, "_last.failures", "seen", "_last.event_id", "_last.decision", "_last.due")
         carried = earlier.join(newest.select(*self.keys), self.keys, "left_anti").unionByName(
             newest)
         horizon = carried.select(F.max("seen") - F.expr(f"INTERVAL {self.forget}")).scalar()
@@ -130,22 +157,34 @@ class Retries:
         return spark.read.parquet(f"{self.root}/decisions")
 
     def due(self, spark: SparkSession, now: Column | None = None) -> DataFrame:
-        """Images whose newest decision is a retry that has come due."""
-        latest_row = F.max_by(F.struct("event_id", "decision", "due"), "event_id").alias("_last")
-        last = self.read(spark).groupBy(*self.keys).agg(latest_row).select(*self.keys, "_last.*")
+        """Images whose newest decision is a retry that has come due; reads open failures only."""
+        ids = [int(n.removeprefix("open-")) for n in names(spark, self.root) if n.startswith("open-")]
+        done = [i for i in ids if exists(spark, f"{self.path(i)}/_SUCCESS")]
+        last = self.open_failures(spark, max(done, default=-1))
         return last.filter((F.col("decision") == "retry")
                            & (F.col("due") <= (F.current_timestamp() if now is None else now)))
 
 
+LABEL_CHANGES = "number long, edited timestamp, klass string, remove array<string>, add array<string>"
+
+
 def label_writer(root: str, edited: str = "edited") -> BatchWriter:
     """Classify the latest edit of every issue in a batch and write its label changes.
 
-    ``edited`` orders the edits of an issue, such as the time its file was written.
+    ``edited`` orders the edits of an issue, such as the time its file was written; it is
+    kept, so that ``read_labels`` finds the latest edit whatever batch it came in.
     """
     fields = [f for f in schemas.ISSUE.names if f != "number"]
 
     def write(batch: DataFrame, batch_id: int) -> None:
         newest = batch.groupBy("number").agg(
-            F.max_by(F.struct(*fields), edited).alias("_edit")).select("number", "_edit.*")
-        label_changes(newest).write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+            F.max_by(F.struct(*fields, F.col(edited).alias("_edited")), edited).alias("_edit")).select(
+            "number", "_edit.*")
+        label_changes(newest).join(newest.select("number", F.col("_edited").alias("edited")), "number"
+                                   ).write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
     return write
+
+
+def read_labels(spark: SparkSession, root: str, schema: str = LABEL_CHANGES) -> DataFrame:
+    """The label changes of every issue's latest edit over all batches."""
+    return latest(read_table(spark, root, schema), "number", by="edited")

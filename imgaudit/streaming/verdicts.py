@@ -1,58 +1,23 @@
-"""Streaming verdict requests: dedupe, cache, page counts, image discovery."""
+"""Streaming verdict requests: page counts and image discovery."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from imgaudit import fixed_values as fixed
 from imgaudit.functions import web
 from imgaudit.operators.metrics import page_stats
-from imgaudit.streaming.state import CACHE_OUTPUT, BoundedCache
-
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-SALTS = 8
 
 running_page_stats = page_stats
 
 
-def dedupe_requests(requests: DataFrame, url: str = "url", time: str = "ts",
-                    delay: str = "1 day") -> DataFrame:
-    """One request per url within the delay.
-
-    A url may be most of the traffic, so repeats are dropped per (url, salt) first; the
-    second pass then sees a few rows of it. The delay bounds the state.
-    """
-    salted = requests.withWatermark(time, delay).withColumn(
-        "_salt", F.pmod(F.xxhash64(time, *[c for c in requests.columns if c != time]),
-                        F.lit(SALTS)).cast("int"))
-    return (salted.dropDuplicatesWithinWatermark([url, "_salt"])
-            .dropDuplicatesWithinWatermark([url]).drop("_salt"))
-
-
-def bounded_cache(results: DataFrame, capacity: int = fixed.CACHE_CAPACITY, shards: int = 64,
-                  url: str = "url") -> DataFrame:
-    """Cache changes (put, evict) of scored results; capacity counts per shard.
+def discover_images(pages: DataFrame, time: str, delay: str, tag: str = "img",
+                    attribute: str = "src") -> DataFrame:
+    """New image references of arriving pages; a changed reference counts as new.
 
-    One shard keeps one global first-in-first-out order. Feed it deduplicated requests, so
-    that no url's repeats gather in its shard.
+    ``delay`` bounds the state: a reference that comes again later than that counts as new,
+    and a page that arrives later than that behind the newest one is dropped.
     """
-    _use_rocksdb(results)
-    shard = F.pmod(F.xxhash64(url), F.lit(shards)).cast("int")
-    scored = results.filter(F.col("score").isNotNull()).select(
-        shard.alias("shard"), F.col(url).alias("url"), "score")
-    return scored.groupBy("shard").transformWithStateInPandas(
-        BoundedCache(capacity), outputStructType=CACHE_OUTPUT, outputMode="Update",
-        timeMode="None")
-
-
-def discover_images(pages: DataFrame, time: str, tag: str = "img", attribute: str = "src",
-                    delay: str = "1 day") -> DataFrame:
-    """New image references of arriving pages; a changed reference counts as new."""
     found = pages.withWatermark(time, delay).select(
         "page_id", time, F.explode(web.references("html", tag, attribute)).alias("src"))
     return found.filter(web.fetchable("src")).dropDuplicatesWithinWatermark(["page_id", "src"])
-
-
-def _use_rocksdb(df: DataFrame) -> None:
-    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)

@@ -1,7 +1,5 @@
 """Streams against their batch twins, over several micro-batches."""
 
-import json
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,7 +34,7 @@ def feed(spark, tmp_path):
 
 def test_retries_carry_over_batches(spark, feed, tmp_path):
     add, stream, _, folder = feed
-    retries = sinks.Retries(str(tmp_path / "retries"))
+    retries = sinks.Retries(str(tmp_path / "retries"), "3650 days")
     for start in (1, 60, 120):
         add(start, {1: 60, 60: 120, 120: 200}[start])
         sinks.drain(stream, retries.write, str(tmp_path / "checkpoint"))
@@ -51,7 +49,7 @@ def test_retries_carry_over_batches(spark, feed, tmp_path):
 
 
 def test_repeated_batch_replaces_itself(spark, tmp_path):
-    retries = sinks.Retries(str(tmp_path / "r"))
+    retries = sinks.Retries(str(tmp_path / "r"), "1 day")
     batch = spark.createDataFrame(_rows(0, 40), EVENTS.replace("timestamp", "string")).withColumn(
         "ts", F.to_timestamp("ts"))
     for _ in range(2):
@@ -89,58 +87,43 @@ def test_mirror_keeps_newest_and_drops_other_models(spark, tmp_path):
     assert mirror.read(spark, 2).count() == 1
 
 
-def _fifo(urls, capacity):
-    held, changes = [], []
-    for url in urls:
-        if url in held:
-            continue
-        if len(held) >= capacity:
-            changes.append((held.pop(0), "evict"))
-        held.append(url)
-        changes.append((url, "put"))
-    return changes, held
-
-
-def test_bounded_cache_is_first_in_first_out(spark, tmp_path):
-    urls = ["a", "b", "a", "c", "d", "a", "b", "e", "a"]
-    folder = tmp_path / "feed"
-    for i, part in enumerate((urls[:4], urls[4:])):
-        folder.mkdir(exist_ok=True)
-        (folder / f"{i}.json").write_text("\n".join(json.dumps({"url": u, "score": 0.1}) for u in part))
-    stream = spark.readStream.schema("url string, score double").option(
-        "maxFilesPerTrigger", 1).json(str(folder))
-    root = str(tmp_path / "cache")
-    sinks.drain(verdicts.bounded_cache(stream, capacity=2, shards=1), sinks.table_writer(f"{root}/t"),
-                f"{root}/c", "update")
-    rows = sinks.read_table(spark, f"{root}/t", "url string, seq long, action string").collect()
-    expected, held = _fifo(urls, 2)
-    assert sorted((r.url, r.action) for r in rows) == sorted(expected)
-    count = {}
-    for r in rows:
-        count[r.url] = count.get(r.url, 0) + (1 if r.action == "put" else -1)
-    assert sorted(u for u, n in count.items() if n) == sorted(held)
-
-
-def test_dedupe_emits_every_url_once(spark, feed, tmp_path):
-    add, stream, _, folder = feed
-    add(1, 100)
-    add(100, 180)
-    root = str(tmp_path / "dedupe")
-    sinks.drain(verdicts.dedupe_requests(stream), sinks.table_writer(f"{root}/t"), f"{root}/c")
-    rows = sinks.read_table(spark, f"{root}/t", "url string").collect()
-    assert sorted(r.url for r in rows) == sorted({f"u{i % 11}" for i in range(180)})
+def test_first_request_per_url_over_batches(spark, tmp_path):
+    def batch(rows):
+        return spark.createDataFrame(rows, "url string, event_id long, score double")
+    sink = sinks.FirstPerUrl(str(tmp_path / "t"), "url string, event_id long, score double")
+    sink.write(batch([("a", 3, 0.3), ("a", 1, 0.1), ("b", 2, 0.2)]), 0)
+    for _ in range(2):  # the second batch is repeated
+        sink.write(batch([("a", 0, 0.0), ("c", 9, 0.9), ("c", 8, 0.8), ("d", 7, 0.7)]), 1)
+    rows = sink.read(spark).select("url", "event_id", "score").collect()
+    assert sorted(map(tuple, rows)) == [("a", 1, 0.1), ("b", 2, 0.2), ("c", 8, 0.8), ("d", 7, 0.7)]
 
 
-def test_latest_edit_of_an_issue_wins(spark, tmp_path):
+def test_latest_edit_of_an_issue_wins_over_batches(spark, tmp_path):
     def issue(said, edited):
         body = f"### What is the image actually?\n\nAI-generated\n\n### What did it say?\n\n{said}\n"
         return (7, "misclassification", body, None, [("consistent",)], edited)
     fields = schemas.ISSUE.simpleString()[len("struct<"):-1]
-    df = spark.createDataFrame([issue("AI 99%", 1), issue("12%", 2)],
-                               "struct<" + fields + ",edited:int>")
-    sinks.label_writer(str(tmp_path / "labels"))(df, 0)
-    rows = spark.read.parquet(str(tmp_path / "labels")).collect()
+
+    def batch(*rows):
+        return spark.createDataFrame(rows, "struct<" + fields + ",edited:string>").withColumn(
+            "edited", F.to_timestamp("edited"))
+    write, root = sinks.label_writer(str(tmp_path / "labels")), str(tmp_path / "labels")
+    write(batch(issue("AI 99%", "2025-01-01"), issue("12%", "2025-01-03")), 0)
+    write(batch(issue("AI 51%", "2025-01-02")), 1)  # an older edit that comes late
+    rows = sinks.read_labels(spark, root).collect()
     assert [(r.number, r.klass, r.remove) for r in rows] == [(7, "false-negative", ["consistent"])]
+    write(batch(issue("AI 51%", "2025-01-04")), 2)
+    assert [r.klass for r in sinks.read_labels(spark, root).collect()] == ["borderline-miss"]
+
+
+def test_silent_images_are_forgotten(spark, tmp_path):
+    retries = sinks.Retries(str(tmp_path / "r"), forget="10 seconds")
+    batch = spark.createDataFrame(
+        [(0, "2025-01-01 00:00:00", 1, "a", "fetch 503", None), (1, "2025-01-01 00:01:00", 2, "b", "fetch 503", None)],
+        EVENTS.replace("timestamp", "string")).withColumn("ts", F.to_timestamp("ts"))
+    retries.write(batch, 0)
+    later = F.current_timestamp() + F.expr("INTERVAL 1 HOUR")
+    assert [r.url for r in retries.due(spark, later).collect()] == ["b"]
 
 
 def test_mirror_restores_only_matching_entries(spark):
