@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -82,33 +82,40 @@ def degenerate_reason(variance: ColumnLike = "variance",
             .when(col(correlation) < MIN_CORRELATION, "noise"))
 
 
-def _luma_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = {name: [] for name in SUMS}
-        images = (batch.column(i) for i in range(1, 5))
-        for height, width, channels, data in zip(*(c.to_pylist() for c in images)):
-            pixels = np.frombuffer(data, np.uint8).reshape(height, width, channels)
-            rows = pixels[::max(1, height >> 7)].astype(np.float64)
-            if channels >= 3:  # stored blue, green, red
-                luma = 0.299 * rows[..., 2] + 0.587 * rows[..., 1] + 0.114 * rows[..., 0]
-            else:
-                luma = rows[..., 0]
-            a, b = luma[:, :-1], luma[:, 1:]
-            for name, total in zip(SUMS, (luma.size, luma.sum(), (luma * luma).sum(), a.size,
-                                          a.sum(), b.sum(), (a * b).sum(), (a * a).sum(),
-                                          (b * b).sum())):
-                found[name].append(float(total))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), *[pa.array(v, pa.float64()) for v in found.values()]],
-            names=["path", *SUMS])
-
-
-def image_stats(images: DataFrame) -> DataFrame:
+def _luma_sums(row_step: Callable[[int], int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {name: [] for name in SUMS}
+            shapes = zip(*(batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3)))
+            for (height, width, channels), data in zip(shapes, batch.column(4)):
+                pixels = np.frombuffer(data.as_buffer(), np.uint8).reshape(height, width, channels)
+                rows = pixels[::row_step(int(height))].astype(np.float64)
+                if channels >= 3:  # stored blue, green, red
+                    luma = 0.299 * rows[..., 2] + 0.587 * rows[..., 1] + 0.114 * rows[..., 0]
+                else:
+                    luma = rows[..., 0]
+                a, b = luma[:, :-1], luma[:, 1:]
+                for name, total in zip(SUMS, (
+                        luma.size, luma.sum(), np.vdot(luma, luma), a.size, a.sum(), b.sum(),
+                        (a * b).sum(), (a * a).sum(), (b * b).sum())):
+                    found[name].append(float(total))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *[pa.array(v, pa.float64()) for v in found.values()]],
+                names=["path", *SUMS])
+
+    return run
+
+
+def every_row(height: int) -> int:
+    return 1
+
+
+def image_stats(images: DataFrame, row_step: Callable[[int], int] = every_row) -> DataFrame:
     """Luma statistics of decoded images (path, height, width, channels, data).
 
-    One image is one row; about 128 of its pixel rows are read.
+    One image is one row. All pixel rows are read, or only every ``row_step(height)``-th.
     """
     schema = "path string, " + ", ".join(f"{name} double" for name in SUMS)
     sums = images.select("path", "height", "width", "channels", "data").mapInArrow(
-        _luma_sums, schema)
+        _luma_sums(row_step), schema)
     return with_statistics(sums).select("path", "variance", "correlation")

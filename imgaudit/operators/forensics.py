@@ -1,4 +1,4 @@
-"""Structural provenance markers in the head of PNG and JPEG files."""
+"""Structural provenance markers in PNG and JPEG files."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Collection, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from imgaudit import fixed_values as fixed
 from imgaudit.functions.common import ColumnLike, col
@@ -54,47 +55,56 @@ def _jpeg_segments(data: memoryview) -> Iterator[tuple[str, int, int]]:
 _WALKERS = {"png": _png_chunks, "jpeg": _jpeg_segments}
 
 
+CHUNK = pa.struct([("ord", pa.int32()), ("container", pa.string()), ("kind", pa.string()),
+                   ("payload", pa.binary())])
+
+
 def _walk(kinds: Collection[str] | None, key_type: pa.DataType):
-    schema = pa.schema([("key", key_type), ("ord", pa.int32()), ("container", pa.string()),
-                        ("kind", pa.string()), ("payload", pa.binary())])
+    schema = pa.schema([("key", key_type), ("chunks", pa.list_(CHUNK))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for key, container, head in zip(*(batch.column(i) for i in range(3))):
-                data, name = memoryview(head.as_buffer()).cast("B"), container.as_py()
-                for ord_, (kind, start, stop) in enumerate(_WALKERS[name](data)):
-                    if kinds is None or kind in kinds:
-                        rows.append((key.as_py(), ord_, name, kind, bytes(data[start:stop])))
-            columns = list(zip(*rows)) if rows else [[]] * len(schema)
+            for container, head in zip(batch.column(1), batch.column(2)):
+                name = container.as_py()
+                data = memoryview(head.as_buffer()).cast("B") if name else b""
+                rows.append([
+                    {"ord": ord_, "container": name, "kind": kind, "payload": bytes(data[start:stop])}
+                    for ord_, (kind, start, stop) in enumerate(_WALKERS[name](data) if name else ())
+                    if kinds is None or kind in kinds])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+                [batch.column(0), pa.array(rows, schema.field("chunks").type)], schema=schema)
 
     return run
 
 
-def image_chunks(images: DataFrame, key: str = "path", content: str = "content",
-                 kinds: Collection[str] | None = None) -> DataFrame:
-    """Chunks of PNG and segments of JPEG files: (key, ord, container, kind, payload).
+def with_chunks(images: DataFrame, key: str = "path", content: str = "content",
+                kinds: Collection[str] | None = None, window: int | None = None) -> DataFrame:
+    """Per image its key and ``chunks``, an array of (ord, container, kind, payload).
 
-    The first 524,288 bytes are walked and payloads are clipped there. Other containers
-    have no rows and never reach Python. ``kinds`` limits which chunks come back.
+    Files are walked to their end, or as far as ``window`` bytes, where payloads are
+    clipped. Files in other containers have no chunks and none of their bytes reach Python.
+    ``kinds`` limits which chunks come back.
     """
     container = F.when(is_png(content) & (F.octet_length(content) >= 16), "png").when(
         is_jpeg(content) & (F.octet_length(content) >= 4), "jpeg")
-    heads = images.select(key, container.alias("container"), F.substring(
-        F.col(content), 1, fixed.METADATA_WINDOW).alias("head")).filter(
-        F.col("container").isNotNull())
-    key_field = heads.schema[key]
-    arrow_key = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[
-        key_field.dataType.simpleString()]
-    schema = (f"key {key_field.dataType.simpleString()}, ord int, container string, "
-              "kind string, payload binary")
-    walked = heads.mapInArrow(_walk(None if kinds is None else frozenset(kinds), arrow_key),
-                              schema)
+    body = F.col(content) if window is None else F.substring(F.col(content), 1, window)
+    heads = images.select(F.col(key).alias("key"), container.alias("container"),
+                          F.when(container.isNotNull(), body).alias("head"))
+    key_type = heads.schema["key"].dataType
+    walked = heads.mapInArrow(
+        _walk(None if kinds is None else frozenset(kinds), to_arrow_type(key_type)),
+        f"key {key_type.simpleString()}, chunks array<struct<ord:int,container:string,kind:string,"
+        "payload:binary>>")
     return walked.withColumnRenamed("key", key)
 
 
+def image_chunks(images: DataFrame, key: str = "path", content: str = "content",
+                 kinds: Collection[str] | None = None, window: int | None = None) -> DataFrame:
+    """Chunks of PNG and segments of JPEG files: (key, ord, container, kind, payload)."""
+    return with_chunks(images, key, content, kinds, window).select(key, F.inline("chunks"))
+
+
 def c2pa_search(payload: ColumnLike) -> Column:
     """Reason of the first pattern, in table order, that occurs in the bytes; else null."""
     reason = F.lit(None).cast("string")
@@ -131,9 +141,11 @@ def marker_rules(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("reason", marker_reason()).filter(F.col("reason").isNotNull())
 
 
-def first_hits(images: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
-    """Per image: ``hit`` and the reason of its earliest marker."""
-    marked = marker_rules(image_chunks(images, key, content, MARKER_KINDS))
-    reasons = marked.groupBy(key).agg(F.min_by("reason", "ord").alias("reason"))
-    return images.select(key).join(reasons, key, "left").withColumn(
+def first_hits(images: DataFrame, key: str = "path", content: str = "content",
+               window: int | None = None) -> DataFrame:
+    """Per image: ``hit`` and the reason of its earliest marker. One scan, no shuffle."""
+    marked = with_chunks(images, key, content, MARKER_KINDS, window)
+    reasons = F.filter(F.transform("chunks", lambda c: marker_reason(
+        c["container"], c["kind"], c["payload"])), lambda reason: reason.isNotNull())
+    return marked.select(key, F.get(reasons, F.lit(0)).alias("reason")).withColumn(
         "hit", F.col("reason").isNotNull())

@@ -32,8 +32,11 @@ def classify_reports(issues: DataFrame) -> DataFrame:
         "_said", "_actually", "_verdict", "_analyzed")
 
 
-def mine_reports(issues: DataFrame) -> DataFrame:
-    """Issues (number, body, createdAt) -> one classified, training-ready row each."""
+def mine_reports(issues: DataFrame, evidence_chars: int | None = None) -> DataFrame:
+    """Issues (number, body, createdAt) -> one classified, training-ready row each.
+
+    The evidence is kept whole unless ``evidence_chars`` cuts it.
+    """
     body = F.coalesce(F.col("body"), F.lit(""))
     links = F.regexp_extract_all(body, F.lit(f"({fixed.ATTACHMENT})"), F.lit(1))
     evidence = F.coalesce(extract_section(body, fixed.EVIDENCE_HEADING), F.lit(""))
@@ -42,7 +45,8 @@ def mine_reports(issues: DataFrame) -> DataFrame:
         "klass", "score", "truth",
         F.coalesce(extract_section(body, fixed.URL_HEADING), F.lit("")).alias("image_url"),
         F.array_join(links, " ").alias("attachments"),
-        F.substring(evidence, 1, 300).alias("evidence"))
+        (evidence if evidence_chars is None else F.substring(evidence, 1, evidence_chars)
+         ).alias("evidence"))
 
 
 def is_report(title: ColumnLike, current: ColumnLike) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from imgaudit import fixed_values as fixed
 from imgaudit.functions.web import error_class
-from imgaudit.operators.lookups import split_lookup, valid_cache
+from imgaudit.operators.lookups import valid_cache
 from imgaudit.operators.ranking import first_n, null_safe_join, order_value, packed, with_range
 
 
@@ -19,7 +19,7 @@ def dedupe_requests(events: DataFrame, order) -> DataFrame:
     ok = F.col("error").isNull() & F.col("score").isNotNull()
     first = events.filter(ok).groupBy("url").agg(
         F.min(position).alias("_since"), F.min_by("score", position).alias("_cached"))
-    joined = split_lookup(events, first, "url")
+    joined = events.join(first, "url", "left")
     cached = F.coalesce(position > F.col("_since"), F.lit(False))
     return joined.withColumns({
         "action": F.when(cached, "cached").otherwise("inferred"),
@@ -27,16 +27,15 @@ def dedupe_requests(events: DataFrame, order) -> DataFrame:
     }).drop("_since", "_cached")
 
 
-def bounded_cache(events: DataFrame, order: str, capacity: int = fixed.CACHE_CAPACITY) -> DataFrame:
-    """The newest ``capacity`` urls by first success: (url, seq, score). Reads do not refresh."""
+def newest_urls(events: DataFrame, order: str, n: int) -> DataFrame:
+    """The ``n`` urls whose first success is newest: (url, seq, score)."""
     ok = F.col("error").isNull() & F.col("score").isNotNull()
     entries = events.filter(ok).groupBy("url").agg(
         F.min(order).alias("seq"), F.min_by("score", order).alias("score"))
-    return first_n(entries, "seq", capacity, last=True)
+    return first_n(entries, "seq", n, last=True)
 
 
-def snapshot_mirror(cache: DataFrame, version: Column | str | None,
-                    capacity: int = fixed.MIRROR_CAPACITY) -> DataFrame:
+def snapshot_mirror(cache: DataFrame, version: Column | str | None, capacity: int) -> DataFrame:
     """The newest entries of a cache, stamped with the model version that made them."""
     version = version if isinstance(version, Column) else F.lit(version).cast("string")
     return first_n(cache, "seq", capacity, last=True).withColumn("model_version", version)

@@ -14,11 +14,13 @@ def labelled(issues: DataFrame, label: str = fixed.REPORT_LABEL) -> DataFrame:
 
 
 def read_issues(spark: SparkSession, path: str, label: str = fixed.REPORT_LABEL,
-                limit: int = 500, multi_line: bool = True) -> DataFrame:
-    """The newest issues with a label, open or closed."""
+                limit: int | None = None, multi_line: bool = True) -> DataFrame:
+    """All issues with a label, open or closed, or only the newest ``limit`` of them."""
     issues = spark.read.schema(schemas.ISSUE).option("multiLine", multi_line).json(path)
-    return labelled(issues, label).orderBy(F.col("createdAt").desc(), F.col("number").desc()
-                                           ).limit(limit)
+    found = labelled(issues, label)
+    if limit is None:
+        return found
+    return found.orderBy(F.col("createdAt").desc(), F.col("number").desc()).limit(limit)
 
 
 def one_line(df: DataFrame) -> DataFrame:

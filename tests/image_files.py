@@ -28,4 +28,4 @@ def segment(marker: int, data: bytes) -> bytes:
 
 
 def jpeg(*segments: bytes, trailing: bytes = b"") -> bytes:
-    return b"\xff\xd8" + b"".join(segments) + b"\xff\xda\0\x02\x12\x34\xff\xd9" + trailing
+    return b"\xff\xd8" + b"".join(segments) + b"\xff\xda\0\x02\xa5\xc3\x7e\xff\xd9" + trailing

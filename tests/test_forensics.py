@@ -7,54 +7,60 @@ from image_files import PNG_SIGNATURE, URI, chunk, jpeg, png, segment, text
 from imgaudit.functions import images
 from imgaudit.operators import forensics
 
-SPOOF = b'tEXtprompt\0{"'
-FAR = b"\0" * 600_000
+GRAPH = b'{"nodes": 3}'
+OTHER = b"compositeWithTrainedAlgorithmicMedia"
+LONG = b"\x01" * 700_000
 
+# rule by rule: file, reason
 CASES = {
-    "jpeg with appended payload": (jpeg(trailing=SPOOF), None),
-    "jpeg with payload in a comment": (jpeg(segment(0xFE, SPOOF)), None),
-    "jpeg with appended uri": (jpeg(trailing=URI), None),
-    "jpeg with uri in a comment": (jpeg(segment(0xFE, URI)), None),
-    "png with payload after its end": (png(trailing=SPOOF), None),
-    "png parameters": (png(extra=[text(b"tEXt", b"parameters", b"Steps: 20")]),
-                       "png:sd-parameters"),
-    "png prompt graph": (png(extra=[text(b"tEXt", b"prompt", b'{"1":{}}')]),
-                         "png:comfyui-prompt"),
-    "png international workflow": (png(extra=[text(b"iTXt", b"workflow", b"\0\0\0\0{}")]),
-                                   "png:comfyui-workflow"),
-    "jpeg app11": (jpeg(segment(0xEB, b"JP\0 jumb" + URI)), "c2pa:trainedAlgorithmicMedia"),
-    "jpeg app1": (jpeg(segment(0xE1, b"xmp" + URI)), "c2pa:trainedAlgorithmicMedia"),
-    "png xmp": (png(extra=[text(b"iTXt", b"XML:com.adobe.xmp", b"\0\0\0\0" + URI)]),
-                "c2pa:trainedAlgorithmicMedia"),
-    "png manifest": (png(extra=[chunk(b"caBX", b"..compositeWithTrainedAlgorithmicMedia")]),
-                     "c2pa:compositeWithTrainedAlgorithmicMedia"),
-    "first pattern wins inside a chunk": (
-        jpeg(segment(0xEB, b"compositeWithTrainedAlgorithmicMedia " + URI)),
-        "c2pa:trainedAlgorithmicMedia"),
-    "first chunk wins in a file": (
-        png(extra=[text(b"tEXt", b"prompt", b'{"'), text(b"tEXt", b"parameters", b"x")]),
-        "png:comfyui-prompt"),
-    "png comment": (png(extra=[text(b"tEXt", b"Comment", b"hello")]), None),
-    "png prompt that is no graph": (png(extra=[text(b"tEXt", b"prompt", b"say cheese")]), None),
-    "keyword without its end": (png(extra=[chunk(b"tEXt", b"parameters")]), None),
-    "png chunk named like a jpeg segment": (png(extra=[chunk(b"APP1", URI)]), None),
-    "uri in another container": (b"A" * 1000 + URI + b"A" * 1000, None),
-    "marker beyond the window": (png(extra=[chunk(b"prIV", FAR),
-                                            text(b"tEXt", b"parameters", b"x")]), None),
-    "marker clipped at the window": (png(extra=[chunk(b"caBX", FAR + URI)]), None),
-    "truncated chunk is read to its end": (
-        PNG_SIGNATURE + b"\xff\xff\xff\xfftEXtparameters\0abc", "png:sd-parameters"),
-    "fill bytes and stand-alone markers": (
-        b"\xff\xd8\xff\xff\xff\xd0" + jpeg(segment(0xEB, URI))[2:], "c2pa:trainedAlgorithmicMedia"),
-    "segment of impossible length": (b"\xff\xd8\xff\xe1\0\x01" + URI, None),
-    "lost sync": (b"\xff\xd8\xff\xe0\0\x02\x00" + segment(0xEB, URI), None),
-    "too short": (b"\xff\xd8\xff", None),
+    # text chunks by their keyword
+    "parameters in tEXt": (png(extra=[text(b"tEXt", b"parameters", b"seed 7, cfg 4")]), "png:sd-parameters"),
+    "parameters in iTXt": (png(extra=[text(b"iTXt", b"parameters", b"")]), "png:sd-parameters"),
+    "prompt with a graph": (png(extra=[text(b"tEXt", b"prompt", GRAPH)]), "png:comfyui-prompt"),
+    "prompt in iTXt needs no graph": (png(extra=[text(b"iTXt", b"prompt", b"a hill")]), "png:comfyui-prompt"),
+    "prompt in words": (png(extra=[text(b"tEXt", b"prompt", b"a hill at dusk")]), None),
+    "workflow with a graph": (png(extra=[text(b"tEXt", b"workflow", GRAPH)]), "png:comfyui-workflow"),
+    "workflow as a list": (png(extra=[text(b"tEXt", b"workflow", b"[1]")]), None),
+    "another keyword": (png(extra=[text(b"tEXt", b"Software", GRAPH)]), None),
+    "keyword in another case": (png(extra=[text(b"tEXt", b"Parameters", b"x")]), None),
+    "keyword that does not end": (png(extra=[chunk(b"tEXt", b"workflow" + GRAPH)]), None),
+    "keyword in a private chunk": (png(extra=[text(b"zzZz", b"parameters", b"x")]), None),
+    # vocabulary uris by where they stand
+    "uri in APP1": (jpeg(segment(0xE1, b"<rdf>" + URI + b"</rdf>")), "c2pa:trainedAlgorithmicMedia"),
+    "uri in APP11": (jpeg(segment(0xEB, b"box" + URI)), "c2pa:trainedAlgorithmicMedia"),
+    "uri in APP2": (jpeg(segment(0xE2, URI)), None),
+    "uri in a comment segment": (jpeg(segment(0xFE, URI)), None),
+    "uri behind the image": (jpeg(trailing=URI), None),
+    "uri in caBX": (png(extra=[chunk(b"caBX", b"\0\0" + OTHER)]), "c2pa:" + OTHER.decode()),
+    "uri in an XMP packet": (png(extra=[text(b"iTXt", b"XML:com.adobe.xmp", b"\0\0\0\0" + OTHER)]),
+                             "c2pa:" + OTHER.decode()),
+    "uri in other international text": (png(extra=[text(b"iTXt", b"Description", URI)]), None),
+    "uri behind IEND": (png(trailing=chunk(b"caBX", URI)), None),
+    "chunk named like a segment": (png(extra=[chunk(b"APP1", URI)]), None),
+    "uri in a file of another kind": (b"GIF89a" + URI, None),
+    # order
+    "earlier pattern of the table, later in the bytes": (
+        jpeg(segment(0xE1, OTHER + b" / " + URI)), "c2pa:trainedAlgorithmicMedia"),
+    "earlier chunk of the file": (
+        png(extra=[chunk(b"caBX", OTHER), text(b"tEXt", b"parameters", b"x")]), "c2pa:" + OTHER.decode()),
+    # walking
+    "marker far into the file": (png(extra=[chunk(b"ruBs", LONG), text(b"tEXt", b"parameters", b"x")]),
+                                 "png:sd-parameters"),
+    "marker at the end of a long chunk": (png(extra=[chunk(b"caBX", LONG + URI)]), "c2pa:trainedAlgorithmicMedia"),
+    "chunk longer than the file": (PNG_SIGNATURE + b"\x7f\0\0\0tEXtparameters\0ab", "png:sd-parameters"),
+    "fill bytes before a segment": (b"\xff\xd8\xff\xff\xff" + segment(0xE1, URI)[1:], "c2pa:trainedAlgorithmicMedia"),
+    "restart marker before a segment": (b"\xff\xd8\xff\xd3" + jpeg(segment(0xEB, URI))[2:],
+                                        "c2pa:trainedAlgorithmicMedia"),
+    "segment shorter than its own length": (b"\xff\xd8\xff\xeb\0\0" + URI, None),
+    "bytes between segments": (b"\xff\xd8\xff\xe0\0\x02\x55" + segment(0xEB, URI), None),
+    "no bytes": (b"", None),
+    "null": (None, None),
 }
 
 
 @pytest.fixture(scope="module")
 def hits(spark):
-    files = spark.createDataFrame([(k, bytearray(v[0])) for k, v in CASES.items()],
+    files = spark.createDataFrame([(k, v[0] if v[0] is None else bytearray(v[0])) for k, v in CASES.items()],
                                   "path string, content binary")
     return {r.path: r for r in forensics.first_hits(files).collect()}
 
@@ -65,6 +71,32 @@ def test_first_hit(hits, name):
     assert (hits[name].reason, hits[name].hit) == (expected, expected is not None)
 
 
+def test_window_clips(spark):
+    """With a window, markers beyond it are not seen and payloads end there."""
+    window = 524_288
+    names = ["marker far into the file", "marker at the end of a long chunk", "parameters in tEXt"]
+    files = spark.createDataFrame([(n, bytearray(CASES[n][0])) for n in names], "path string, content binary")
+    found = {r.path: r.reason for r in forensics.first_hits(files, window=window).collect()}
+    assert found == {names[0]: None, names[1]: None, names[2]: "png:sd-parameters"}
+    chunks = forensics.image_chunks(files, window=window).filter("kind IN ('ruBs', 'caBX')").collect()
+    assert all(len(r.payload) < window for r in chunks) and len(chunks) == 2
+
+
+def test_first_hits_scans_once_without_a_shuffle(spark):
+    files = spark.createDataFrame([(1, bytearray(png()))], "id int, content binary")
+    plan = forensics.first_hits(files, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("MapInArrow") == 1
+
+
+@pytest.mark.parametrize("kind", ["string", "short", "decimal(9,0)", "struct<a:int,b:string>"])
+def test_keys_of_any_type(spark, kind):
+    key = "named_struct('a', 5, 'b', 'x')" if kind.startswith("struct") else f"CAST(5 AS {kind})"
+    files = spark.createDataFrame([(bytearray(png(extra=[text(b"tEXt", b"parameters", b"x")])),)],
+                                  "content binary").selectExpr(f"{key} AS k", "content")
+    row = forensics.first_hits(files, "k").first()
+    assert row.hit and row.k is not None
+
+
 def test_chunks_of_a_png(spark):
     files = spark.createDataFrame([(1, bytearray(png(extra=[text(b"tEXt", b"a", b"b")])))],
                                   "id int, content binary")

@@ -1,4 +1,4 @@
-"""Report parsing: worked examples and known corner cases."""
+"""Report parsing, class by class and at the bounds of each."""
 
 import pytest
 
@@ -10,23 +10,27 @@ from imgaudit.operators import reports
 FORM = ("### What is the image actually?\n\n{actual}\n\n### Image URL\n\nhttps://example.com/x.jpg"
         "\n\n### What did it say?\n\n{said}\n\n### Version\n\n1.0")
 
+REAL, MADE = "Real / human-made", "AI-generated"
+# what was said, the truth, class, score
 CASES = [
-    ("flagged as AI — score 76.8%", "Real / human-made", "false-positive", 0.768),
-    ("low score — score 12.3%", "AI-generated", "false-negative", 0.123),
-    ("unsure — score 58.0% (TTA)", "AI-generated", "borderline-miss", 0.58),
-    ("AI 87%", "Real / human-made", "false-positive", 0.87),
-    ("unsure 58%", "Real / human-made", "unsure-on-real", 0.58),
-    ("12%", "AI-generated", "false-negative", 0.12),
-    ("AI 99%", "AI-generated", "consistent", 0.99),
-    ("not analyzed", "AI-generated", "not-analyzed", None),
-    ("not analysed", "Real / human-made", "not-analyzed", None),
-    ("it said like 80 something maybe", "AI-generated", "needs-review", None),
-    ("AI 87%", "Not certain", "needs-review", 0.87),
-    ("score 870%", "AI-generated", "needs-review", None),
-    ("score 1050%", "AI-generated", "borderline-miss", 0.5),
-    ("_No response_", "AI-generated", "not-analyzed", None),
-    ("AI 65%", "Real / human-made", "false-positive", 0.65),
-    ("AI 50%", "AI-generated", "borderline-miss", 0.5),
+    ("it wrote 91.25 % next to it", REAL, "false-positive", 0.9125),
+    ("badge: 65%", REAL, "false-positive", 0.65),
+    ("64.9%", REAL, "unsure-on-real", 0.649),
+    ("exactly 50 %", REAL, "unsure-on-real", 0.5),
+    ("49.9% only", REAL, "consistent", 0.499),
+    ("0%", MADE, "false-negative", 0.0),
+    ("49%", MADE, "false-negative", 0.49),
+    ("50%", MADE, "borderline-miss", 0.5),
+    ("64.99%", MADE, "borderline-miss", 0.6499),
+    ("100%", MADE, "consistent", 1.0),
+    ("first 20%, later 95%", MADE, "false-negative", 0.2),
+    ("NOT   Analysed yet", REAL, "not-analyzed", None),
+    ("33% but not analyzed", MADE, "not-analyzed", None),
+    ("_No response_", REAL, "not-analyzed", None),
+    ("quite sure, no number", REAL, "needs-review", None),
+    ("999%", MADE, "needs-review", None),
+    ("scored 2020%", REAL, "consistent", 0.2),
+    ("72%", "Not certain", "needs-review", 0.72),
 ]
 
 
@@ -62,7 +66,7 @@ def _issue(number, title, labels, body):
 
 
 def test_label_changes(spark):
-    body = FORM.format(said="AI 87%", actual="Real / human-made")
+    body = FORM.format(said="AI 88%", actual=REAL)
     df = spark.createDataFrame([
         _issue(1, "[Misclassification] x", ["consistent", "bug"], body),
         _issue(2, "x", ["misclassification", "false-positive"], body),
@@ -75,11 +79,12 @@ def test_label_changes(spark):
     assert rows[2].remove == [] and rows[4].klass == "needs-review"
 
 
-def test_evidence_is_cut_and_links_are_joined(spark):
-    body = ("### How do you know the true label?\n\n" + "e" * 400
-            + "\n\nhttps://github.com/user-attachments/a)(https://github.com/user-attachments/b")
+def test_evidence_is_whole_and_links_are_joined(spark):
+    body = ("### How do you know the true label?\n\n" + "word " * 2000
+            + "\n\nhttps://github.com/user-attachments/q1)(https://github.com/user-attachments/q2")
     df = spark.createDataFrame([_issue(1, "t", [], body)], schemas.ISSUE)
     r = reports.mine_reports(df).first()
-    assert len(r.evidence) == 300 and r.image_url == ""
-    assert r.attachments == ("https://github.com/user-attachments/a "
-                             "https://github.com/user-attachments/b")
+    assert r.evidence.startswith("word " * 2000) and r.image_url == ""
+    assert r.attachments == ("https://github.com/user-attachments/q1 "
+                             "https://github.com/user-attachments/q2")
+    assert len(reports.mine_reports(df, evidence_chars=300).first().evidence) == 300

@@ -83,6 +83,13 @@ def test_issues_to_csv(spark, tmp_path):
     assert {r.evidence for r in back} == {'say "hi", there'}
 
 
+def test_all_issues_without_a_limit(spark, tmp_path):
+    rows = [{"number": i, "title": "t", "body": "", "createdAt": "2025-01-01T00:00:00Z",
+             "labels": [{"name": "misclassification"}]} for i in range(700)]
+    (tmp_path / "issues.json").write_text(json.dumps(rows))
+    assert issues.read_issues(spark, f"{tmp_path}/issues.json").count() == 700
+
+
 def test_shared_dir_follows_the_session(spark):
     root = spark.conf.get("spark.checkpoint.dir", None)
     path = shared_dir(spark, "x")
