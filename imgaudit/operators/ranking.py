@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from imgaudit.functions.common import ColumnLike, col
 from imgaudit.session import stored
 
-MIN_RANGES, MAX_RANGES = 32, 8192
+MIN_RANGES = 32
+SAMPLED = 32  # values per range that the cuts are chosen from
 
 
 def order_value(order: ColumnLike | Sequence[ColumnLike]) -> Column:
@@ -122,34 +123,36 @@ def first_n(df: DataFrame, order, n: int | Column, keys: Sequence[str] = (),
 def range_count(df: DataFrame) -> int:
     """How many ranges to cut: four per shuffle partition, as a power of two."""
     wanted = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(max(1 << (wanted - 1).bit_length(), MIN_RANGES), MAX_RANGES)
+    return max(1 << (wanted - 1).bit_length(), MIN_RANGES)
 
 
 def split_points(df: DataFrame, value: ColumnLike, ranges: int, unique: bool = False) -> Column:
     """A sorted array of ``ranges - 1`` values that cut the distinct values evenly.
 
-    The sample is the values with the smallest hashes, hence the same on every run.
+    The sample is the values with the smallest hashes, hence the same on every run; it has
+    many values for each range, and every so many-th of them is a cut.
     """
     values = df.select(col(value).alias("v")).filter(F.col("v").isNotNull())
     values = values if unique else values.distinct()
-    sample = values.orderBy(F.xxhash64("v"), "v").limit(ranges - 1)
-    return sample.agg(F.array_sort(F.collect_list("v"))).scalar()
+    sample = values.orderBy(F.xxhash64("v"), "v").limit(SAMPLED * ranges)
+    ordered = sample.agg(F.array_sort(F.collect_list("v")).alias("vs"))
+    cut = F.transform(F.sequence(F.lit(1), F.lit(ranges - 1)), lambda i: F.get(
+        F.col("vs"), F.floor(i * F.size("vs") / ranges).cast("int")))
+    return ordered.select(cut).scalar()
 
 
 def count_not_above(df: DataFrame, points: Column, value: ColumnLike, size: int,
                     name: str) -> DataFrame:
     """Add the number of sorted ``points`` (fewer than ``size``) that are <= value.
 
-    A binary search written as one projection per step, so it stays in generated code. Do not
-    filter on the result: the optimizer would move the filter down and copy every step into
-    the next, doubling each time. Group, join or window by it.
+    A binary search folded over its step widths: one expression, which a filter on the
+    result can copy without doubling it at every step.
     """
     steps = [1 << i for i in reversed(range((size - 1).bit_length()))]
-    search = [F.expr(f"_at{i} + if(get(_points, _at{i} + {step - 1}) <= _value, {step}, 0)")
-              .alias(f"_at{i + 1}") for i, step in enumerate(steps)]
-    found = df.select("*", points.alias("_points"), col(value).alias("_value"),
-                      F.lit(0).alias("_at0"), *search)
-    return found.select(*df.columns, F.col(f"_at{len(steps)}").alias(name))
+    held = df.select("*", points.alias("_points"), col(value).alias("_value"))
+    at = F.aggregate(F.lit(steps), F.lit(0), lambda at, step: at + F.when(
+        F.get("_points", at + step - 1) <= F.col("_value"), step).otherwise(0))
+    return held.withColumn(name, at).drop("_points", "_value")
 
 
 def with_range(df: DataFrame, order, unique: bool = True, name: str = "_range") -> DataFrame:

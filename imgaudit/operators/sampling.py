@@ -7,6 +7,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,9 +27,6 @@ from imgaudit.operators.ranking import (
 )
 from imgaudit.session import stored
 
-BROADCAST_ROWS = 500_000  # narrow rows that a broadcast may hold
-
-
 def _lookup(table: Mapping[str, object], key: ColumnLike, default) -> Column:
     entries = [F.lit(v) for pair in table.items() for v in pair]
     if not entries:
@@ -76,8 +74,15 @@ def capped_corpus(df: DataFrame, order, cap: int | Mapping[str, int], real_cap:
 
 
 def stride_sample(df: DataFrame, stride: int | Mapping[str, int], order,
-                  source: str = "source", default: int = 1) -> DataFrame:
-    """Positions 0, s, 2s, ... of every source; rows without a payload hold positions too."""
+                  source: str = "source", default: int = 1,
+                  needs: str | None = None) -> DataFrame:
+    """Positions 0, s, 2s, ... of every source.
+
+    Rows without a payload hold positions too, unless ``needs`` names the column that must
+    not be null, as the picked image of a pair. Positions are taken on the source and the
+    order alone; the wide rows only pass a semi-join with what was kept.
+    """
+    df = df if needs is None else df.filter(F.col(needs).isNotNull())
     step = F.lit(stride) if isinstance(stride, int) else _lookup(stride, source, default)
     narrow = df.select(source, order_value(order).alias("_order"))
     kept = with_position(narrow, "_order", [source]).filter(
@@ -130,28 +135,51 @@ def total_cap(df: DataFrame, cap: int | Mapping[str, int], order,
     return cap_per_key(df, source, order, cap, default=0)
 
 
-def curate_sources(df: DataFrame, specs: Mapping[str, tuple], order, payload: str,
-                   source: str = "source") -> DataFrame:
-    """Curate many sources at once by their specs, prefix -> (stride, train, holdout, ...).
+@dataclass(frozen=True)
+class Spec:
+    """How one source is curated: stride, caps, and which rows count at all.
+
+    ``where`` filters rows, such as a caption or a date that must match. ``pair`` names a
+    model: a row's image is then the side that this model made, and rows without such a side
+    take no position of the stride. In all other sources a null payload holds its position.
+    """
+
+    stride: int
+    train: int
+    holdout: int
+    where: Column | None = None
+    pair: str | None = None
+
+
+def curate_sources(df: DataFrame, specs: Mapping[str, Spec], order, payload: str,
+                   source: str = "source",
+                   sides: Sequence[tuple[ColumnLike, ColumnLike]] = ()) -> DataFrame:
+    """Curate many sources at once: filter, stride, drop rows without a payload, cap, hold out.
 
-    Rows must be filtered by caption or pair before. Then, per source: stride, drop rows
-    without a payload, stop at the total cap, hold out the tail. All choices are made on the
+    ``sides`` are the (image, model) columns of pair rows. All choices are made on the
     source, the order and whether there is a payload; the picked rows, at most the sum of
-    the caps, are then joined back to their payloads.
+    the caps, then find their payloads by one join.
     """
-    wanted = df.filter(F.col(source).isin(list(specs)))
+    counts, image = F.lit(False), F.col(payload)
+    for name, spec in specs.items():
+        own = F.col(source) == name
+        if spec.pair is not None:
+            image = F.when(own, labels.pick_pair_side(list(sides), spec.pair)).otherwise(image)
+        counts = F.when(own, F.lit(True) if spec.where is None else F.coalesce(
+            spec.where, F.lit(False))).otherwise(counts)
+    pairs = [name for name, spec in specs.items() if spec.pair is not None]
+    wanted = df.filter(F.col(source).isin(list(specs)) & counts).withColumn(payload, image)
+    wanted = wanted.filter(~F.col(source).isin(pairs) | F.col(payload).isNotNull())
     narrow = wanted.select(source, order_value(order).alias("_order"),
                            F.col(payload).isNotNull().alias("_has"))
-    step = _lookup({k: s[0] for k, s in specs.items()}, source, 1)
+    step = _lookup({k: s.stride for k, s in specs.items()}, source, 1)
     strided = with_position(narrow, "_order", [source]).filter(
         (F.pmod(F.col("position"), step) == 0) & F.col("_has")).select(source, "_order")
-    caps = {k: s[1] + s[2] for k, s in specs.items()}
+    caps = {k: s.train + s.holdout for k, s in specs.items()}
     capped = stored(first_n(stored(strided, "strided"), "_order", _lookup(caps, source, 0),
                             [source]), "curated")
-    picked = tail_holdout(capped, {k: s[2] for k, s in specs.items()}, "_order", source)
+    picked = tail_holdout(capped, {k: s.holdout for k, s in specs.items()}, "_order", source)
     picked = picked.withColumnsRenamed({source: "_source", "_order": "_at"})
-    if sum(caps.values()) <= BROADCAST_ROWS:
-        picked = F.broadcast(picked)
     same = (F.col(source) == F.col("_source")) & (order_value(order) == F.col("_at"))
     return wanted.join(picked, same).drop("_source", "_at")
 
@@ -168,35 +196,37 @@ def drop_failures(df: DataFrame, z: str = "z") -> DataFrame:
 
 # ------------------------------------------------------------------ balancing
 
-def _class_sizes(df: DataFrame, label: str) -> tuple[Column, Column]:
-    sizes = df.select(F.struct(F.count_if(F.col(label) == 1).alias("fake"),
-                               F.count_if(F.col(label) != 1).alias("real"))).scalar()
-    return sizes["fake"], sizes["real"]
+def _class_sizes(df: DataFrame, label: str) -> Column:
+    """Rows per class as one struct, so that a plan reads the labels once for all uses."""
+    return df.select(F.struct(F.count_if(F.col(label) == 1).alias("fake"),
+                              F.count_if(F.col(label) != 1).alias("real"))).scalar()
 
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """Add ``weight``: each class sums to one half."""
-    fake, real = _class_sizes(df, label)
-    size = F.when(F.col(label) == 1, fake).otherwise(real)
-    return df.withColumn("weight", F.lit(0.5) / F.greatest(size, F.lit(1)))
+    size = F.when(F.col(label) == 1, F.col("_sizes.fake")).otherwise(F.col("_sizes.real"))
+    return df.withColumn("_sizes", _class_sizes(df, label)).withColumn(
+        "weight", F.lit(0.5) / F.greatest(size, F.lit(1))).drop("_sizes")
 
 
 def balanced_resample(df: DataFrame, key: str, seed: int, label: str = "label") -> DataFrame:
     """As many draws with replacement as there are rows, each class equally likely.
 
-    Every row makes one draw: a class and a position within that class. Draws meet rows on
-    (class, position), so no class is gathered anywhere. With one class missing, all draws
+    Every row makes one draw: a class and a position within that class. Draws meet keys on
+    (class, position), so no class is gathered anywhere; only keys and classes are ranked,
+    and the drawn keys then find their rows by one join. With one class missing, all draws
     come from the other.
     """
-    fake, real = _class_sizes(df, label)
     fair = F.pmod(draw(key, f"{seed}:class"), F.lit(2)).cast("int")
-    wanted = F.when(real == 0, 1).when(fake == 0, 0).otherwise(fair)
-    size = F.when(F.col("_class") == 1, fake).otherwise(real)
-    draws = df.select(F.col(key).alias("draw_key"), wanted.alias("_class")).withColumn(
-        "_position", F.pmod(draw("draw_key", f"{seed}:row"), size))
-    rows = with_position(df.withColumn("_class", F.when(F.col(label) == 1, 1).otherwise(0)),
-                         key, ["_class"], "_position")
-    return draws.join(rows, ["_class", "_position"]).drop("_class", "_position")
+    wanted = F.when(F.col("_sizes.real") == 0, 1).when(F.col("_sizes.fake") == 0, 0).otherwise(fair)
+    size = F.when(F.col("_class") == 1, F.col("_sizes.fake")).otherwise(F.col("_sizes.real"))
+    narrow = df.select(key, F.when(F.col(label) == 1, 1).otherwise(0).alias("_class"))
+    draws = df.select(key, _class_sizes(df, label).alias("_sizes")).withColumn(
+        "_class", wanted).withColumn("_position", F.pmod(draw(key, f"{seed}:row"), size)).select(
+        F.col(key).alias("draw_key"), "_class", "_position")
+    rows = with_position(narrow, key, ["_class"], "_position")
+    picked = draws.join(rows, ["_class", "_position"]).select("draw_key", key)
+    return picked.join(df, key)
 
 
 # ------------------------------------------------------------------ image plans

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,43 +14,55 @@ from imgaudit import fixed_values as fixed
 from imgaudit.functions.images import model_geometry, native_crop
 from imgaudit.functions.verdicts import calibrated_score, in_band
 
-Scorer = Callable[[pd.Series], np.ndarray]
+Scorer = Callable[[np.ndarray], np.ndarray]
 
 
 def linear_scorer(weights: Sequence[float], bias: float) -> Scorer:
     """Dot product with fixed weights; stands where a loaded model would."""
     w = np.asarray(weights, np.float64)
 
-    def score(inputs: pd.Series) -> np.ndarray:
-        return np.stack([np.asarray(x, np.float64) for x in inputs]) @ w + bias
+    def score(inputs: np.ndarray) -> np.ndarray:
+        return inputs @ w + bias
 
     return score
 
 
-def _usable(value, width: int | None) -> bool:
-    return value is not None and (width is None or len(value) == width) and not any(
-        v is None for v in value)
+def _matrix(vectors: pa.Array, width: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Which vectors are whole and of the asked width, and these as one matrix."""
+    sizes = np.diff(vectors.offsets.to_numpy())
+    whole = ~vectors.is_null().to_numpy(zero_copy_only=False)
+    if width is None:
+        width = int(sizes[whole][0]) if whole.any() else 0
+    start = vectors.offsets.to_numpy()[:-1]
+    gaps = np.concatenate([[0], np.cumsum(vectors.values.is_null().to_numpy(zero_copy_only=False))])
+    usable = whole & (sizes == width) & (gaps[start + sizes] == gaps[start])
+    values = vectors.values.cast(pa.float64()).to_numpy(zero_copy_only=False)
+    if usable.all() and len(values) == len(vectors) * width:
+        return usable, values.reshape(-1, width)
+    return usable, values[start[usable][:, None] + np.arange(width)]
 
 
 def score_table(df: DataFrame, scorer: Scorer, inputs: str, keep: Sequence[str],
                 width: int | None = None, name: str = "z") -> DataFrame:
     """Score every row in Arrow batches; an input that cannot be used has a null score.
 
-    ``scorer`` maps a batch of inputs to one number each. Only the kept columns and the
-    input travel to Python.
+    ``scorer`` maps a matrix, one input vector per row, to one number each. Vectors that
+    are null, hold a null or have another width are not scored; without a width, that of a
+    batch's first vector counts. Only the kept columns and the input travel to Python.
     """
     kept = df.select(*keep, inputs)
     schema = kept.drop(inputs).schema.add(name, "double")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            usable = batch[inputs].map(lambda v: _usable(v, width)).to_numpy(bool)
-            z = np.full(len(batch), np.nan)
+            usable, matrix = _matrix(batch.column(len(keep)), width)
+            z = np.zeros(batch.num_rows)
             if usable.any():
-                z[usable] = scorer(batch.loc[usable, inputs])
-            yield batch[list(keep)].assign(**{name: z})
+                z[usable] = scorer(matrix)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], pa.array(z, mask=~usable)], names=[*keep, name])
 
-    return kept.mapInPandas(run, schema)
+    return kept.mapInArrow(run, schema)
 
 
 def tta_candidates(scores: DataFrame, bias: float = 0.0,
@@ -82,14 +94,29 @@ def band_sizes(scores: DataFrame, bias: float = 0.0, band_lo: float = fixed.TTA_
 
 # ------------------------------------------------------------------ tensors
 
-def triangle_weights(source: int, size: int) -> np.ndarray:
-    """(size, source) weights of an antialiased triangle filter; rows sum to one."""
+@lru_cache(maxsize=256)
+def triangle_taps(source: int, size: int, start: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where ``count`` outputs from ``start`` read, and with which weights; rows sum to one.
+
+    An antialiased triangle filter, as wide as an output is apart from the next: each output
+    has a few taps, however many pixels there are.
+    """
     scale = source / size
     width = max(scale, 1.0)
-    centre = (np.arange(size) + 0.5)[:, None] * scale
-    reach = np.abs((np.arange(source) + 0.5)[None, :] - centre) / width
-    weights = np.clip(1.0 - reach, 0.0, None)
-    return weights / weights.sum(axis=1, keepdims=True)
+    centre = (np.arange(start, start + count) + 0.5) * scale
+    first = np.maximum(np.floor(centre - width).astype(np.int64), 0)
+    taps = first[:, None] + np.arange(int(np.ceil(2 * width)) + 2)
+    weights = np.clip(1.0 - np.abs(taps + 0.5 - centre[:, None]) / width, 0.0, None)
+    weights[taps >= source] = 0.0
+    return np.minimum(taps, source - 1), weights / weights.sum(axis=1, keepdims=True)
+
+
+def _resample(pixels: np.ndarray, taps: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Weighted sums of whole rows, one tap after the other."""
+    out = np.zeros((len(taps), *pixels.shape[1:]), np.float64)
+    for tap, weight in zip(taps.T, weights.T):
+        out += weight.reshape(-1, *[1] * (pixels.ndim - 1)) * pixels[tap]
+    return out
 
 
 def input_tensor(pixels: np.ndarray, shorter: int, crop: int, mean: np.ndarray,
@@ -102,10 +129,8 @@ def input_tensor(pixels: np.ndarray, shorter: int, crop: int, mean: np.ndarray,
     scale = shorter / min(height, width)
     rows, cols = (max(crop, int(np.floor(side * scale + 0.5))) for side in (height, width))
     y0, x0 = (rows - crop) // 2, (cols - crop) // 2
-    across = triangle_weights(width, cols)[x0:x0 + crop].astype(np.float32)
-    down = triangle_weights(height, rows)[y0:y0 + crop].astype(np.float32)
-    wide = np.einsum("xw,hwc->hxc", across, pixels.astype(np.float32), optimize=True)
-    small = np.einsum("yh,hxc->yxc", down, wide, optimize=True)
+    high = _resample(pixels, *triangle_taps(height, rows, y0, crop))
+    small = _resample(high.swapaxes(0, 1), *triangle_taps(width, cols, x0, crop)).swapaxes(0, 1)
     whole = np.clip(np.floor(small + 0.5), 0, 255)
     return ((whole / 255.0 - mean) / std).transpose(2, 0, 1).astype(np.float32)
 

@@ -175,25 +175,38 @@ def take_first_nonnull(t: Tables) -> DataFrame:
     return sampling.take_first_nonnull(views.shards(t), 120, "ord", "payload").select("ord")
 
 
-_SPECS = {"src2": (1, 30, 6), "src5": (2, 20, 9), "src8": (3, 100, 50)}
+_CAPTION = "th|en"
 
 
-@query(sql("shards", """
+@query(sql("shards", f"""
     specs AS (SELECT * FROM (VALUES ('org/src2', 1, 30, 6), ('org/src5', 2, 20, 9),
-        ('org/src8', 3, 100, 50)) AS s(source, stride, train, heldout)),
-    strided AS (SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY model ORDER BY ord) AS rn,
-            ord, payload FROM shards JOIN specs s ON model = source)
-        WHERE (rn - 1) % stride = 0 AND payload IS NOT NULL),
+        ('org/src8', 3, 100, 50), ('org/src11', 2, 40, 5)) AS s(source, stride, train, heldout)),
+    picked AS (SELECT s.*, ord, model1, CASE WHEN source <> 'org/src11' THEN payload
+        WHEN contains(lower(coalesce(model1, '')), 'recraft') THEN payload
+        WHEN contains(lower(coalesce(model2, '')), 'recraft') THEN file END AS image
+        FROM shards JOIN specs s ON model = source
+        WHERE CASE source WHEN 'org/src5' THEN regexp_matches(coalesce(payload, ''), '(?i){_CAPTION}')
+            WHEN 'org/src8' THEN regexp_matches(file, '000[0-3]') ELSE true END),
+    strided AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY ord) AS rn
+            FROM picked WHERE source <> 'org/src11' OR image IS NOT NULL)
+        WHERE (rn - 1) % stride = 0 AND image IS NOT NULL),
     capped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY ord) AS kept
         FROM strided) WHERE kept <= train + heldout),
     tailed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY ord DESC) AS back,
         count(*) OVER (PARTITION BY source) AS n FROM capped)
-    SELECT ord, source, CASE WHEN back <= least(heldout, n // 5) THEN 'heldout' ELSE 'train' END AS split
+    SELECT ord, source, md5(image) AS image,
+        CASE WHEN back <= least(heldout, n // 5) THEN 'heldout' ELSE 'train' END AS split
     FROM tailed"""))
 def curate_sources(t: Tables) -> DataFrame:
-    named = views.shards(t).withColumn("source", F.col("model"))
-    specs = {f"org/{k}": spec for k, spec in _SPECS.items()}
-    return sampling.curate_sources(named, specs, "ord", "payload").select("ord", "source", "split")
+    """Sources of all kinds: plain, by caption, by date (here the file's number), and pairs."""
+    named = views.shards(t).withColumn("source", F.col("model")).withColumn("image", F.col("payload"))
+    specs = {"org/src2": sampling.Spec(1, 30, 6),
+             "org/src5": sampling.Spec(2, 20, 9, where=labels.text_match("payload", _CAPTION)),
+             "org/src8": sampling.Spec(3, 100, 50, where=F.col("file").rlike("000[0-3]")),
+             "org/src11": sampling.Spec(2, 40, 5, pair="recraft")}
+    curated = sampling.curate_sources(named, specs, "ord", "image",
+                                      sides=[("payload", "model1"), ("file", "model2")])
+    return curated.select("ord", "source", F.md5("image").alias("image"), "split")
 
 
 @query(sql("scores", """

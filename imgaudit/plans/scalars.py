@@ -12,7 +12,7 @@ from imgaudit.plans.registry import Tables, query, rounded
 from imgaudit.plans.views import score_sql, sql
 from imgaudit.sources.manifests import scan_shards as scan
 
-_CAPTION = r"model|cel[- ]?shad|data ?set|vector"
+_CAPTION = r"licensed|th[- ]?on|das ?ist"
 
 
 @query("""SELECT doc_id, source, lang, doc_id AS row_index FROM documents""")

@@ -21,6 +21,11 @@ def test_same_rows(spark, con, name):
     assert difference(driver.queries()[name](spark, FOLDER), con, ORACLES[name]) is None
 
 
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_no_oracle_is_empty(con, name):
+    assert con.execute(f"SELECT count(*) FROM ({ORACLES[name]})").fetchone()[0] > 0
+
+
 @pytest.mark.parametrize("name", sorted(set(driver.queries()) - set(ORACLES)))
 def test_rows_only(spark, name):
     assert driver.queries()[name](spark, FOLDER).limit(1).count() == 1

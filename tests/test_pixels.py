@@ -44,6 +44,16 @@ def test_degenerate_images(spark, folder):
         "black.png": "flat", "noise.PNG": "noise", "ramp.png": None}
 
 
+def test_row_step_is_the_callers(spark):
+    """Rows between the steps count unless the caller leaves them out."""
+    rows = np.zeros((6, 4, 1), np.uint8)
+    rows[1::2] = 200
+    df = spark.createDataFrame([("p", 6, 4, 1, bytearray(rows.tobytes()))],
+                               "path string, height int, width int, channels int, data binary")
+    assert degenerate.image_stats(df).first().variance == 10_000
+    assert degenerate.image_stats(df, lambda height: height // 3).first().variance == 0
+
+
 def _one_value(pixels, size, axis, at):
     """Triangle-filtered value at one output position, straight from the definition."""
     source = pixels.shape[axis]

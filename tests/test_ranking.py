@@ -77,3 +77,21 @@ def test_count_not_above(spark, values, points):
     df = spark.createDataFrame([(v,) for v in values], "v int")
     out = ranking.count_not_above(df, F.lit(points), "v", len(points) + 1, "n").collect()
     assert [r.n for r in out] == [sum(p <= r.v for p in points) for r in out]
+
+
+@pytest.mark.parametrize("ranges", [32, 256])
+def test_ranges_are_even(spark, ranges):
+    """The largest range has less than twice the mean, for values of any distribution."""
+    df = spark.range(60_000).selectExpr("pow(hash(id) % 1000 / 1000e0, 5) + id * 1e-9 AS x")
+    points = ranking.split_points(df, "x", ranges, True)
+    sizes = [r["n"] for r in ranking.count_not_above(df, points, "x", ranges, "at").groupBy("at").agg(
+        F.count("*").alias("n")).collect()]
+    assert len(sizes) == ranges and max(sizes) < 2 * 60_000 / ranges
+
+
+def test_count_not_above_bears_filters(spark):
+    df = spark.range(1000).withColumn("x", F.col("id") % 37)
+    points = ranking.split_points(df, "x", 64)
+    found = ranking.count_not_above(df, points, "x", 64, "at")
+    everything = {r.id: r["at"] for r in found.collect()}
+    assert {r.id for r in found.filter("at > 20").collect()} == {i for i, at in everything.items() if at > 20}

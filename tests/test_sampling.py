@@ -57,10 +57,11 @@ def test_tiny_source_has_no_holdout(spark):
 
 
 def test_curate_sources_in_one_pass(shards):
-    specs = {"hot": (2, 100, 30), "m1": (1, 1000, 1000)}
+    caps = {"hot": (2, 100, 30), "m1": (1, 1000, 1000)}
+    specs = {name: sampling.Spec(*cap) for name, cap in caps.items()}
     found = _by_source(sampling.curate_sources(shards, specs, "ord", "payload"))
     assert set(found) == set(specs)
-    for source, (stride, train, held) in specs.items():
+    for source, (stride, train, held) in caps.items():
         rows = [r.ord for r in _by_source(shards)[source][::stride] if r.payload][:train + held]
         tail = min(held, len(rows) // 5)
         assert [r.ord for r in found[source]] == rows
@@ -129,17 +130,52 @@ def test_cache_lookup_prefers_exact_then_oldest_base(spark):
     assert found == {1: (0.2, "exact"), 2: (0.1, "base"), 3: (0.9, "base"), 4: (None, None)}
 
 
-@pytest.mark.parametrize("how", ["left", "inner"])
-def test_split_lookup_with_hot_and_null_keys(spark, how):
+def _scans(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation")
+
+
+def test_cache_lookup_reads_requests_once(spark, tmp_path):
+    """Hot, null and unknown urls get their rows, and no side is read more than twice."""
     rng = random.Random(3)
-    rows = [(i, rng.choice(["hot"] * 5 + [None] * 2 + ["missing-hot"] * 2 + [f"k{i % 1500}"]))
+    rows = [(i, rng.choice(["hot?a"] * 5 + [None] * 2 + ["missing"] * 2 + [f"k{i % 1500}?b"]))
             for i in range(6000)]
-    table = [("hot", 1)] + [(f"k{i}", i) for i in range(0, 1500, 2)]
-    df = spark.createDataFrame(rows, "id int, k string")
-    found = lookups.split_lookup(df, spark.createDataFrame(table, "k string, v int"), "k", how)
-    entries = dict(table)
-    expected = [(i, k, entries.get(k)) for i, k in rows if how == "left" or k in entries]
-    assert sorted(map(tuple, found.select("id", "k", "v").collect())) == expected
+    entries = [("hot?a", 0.5, 0)] + [(f"k{i}?c", i / 1000, i + 1) for i in range(0, 1500, 2)]
+    spark.createDataFrame(rows, "req int, url string").write.parquet(f"{tmp_path}/asked")
+    spark.createDataFrame(entries, "url string, score double, seq long").write.parquet(f"{tmp_path}/cache")
+    asked, cache = spark.read.parquet(f"{tmp_path}/asked"), spark.read.parquet(f"{tmp_path}/cache")
+    found = lookups.cache_lookup(asked, cache)
+    assert _scans(found) <= 3
+    exact = {u: s for u, s, _ in entries}
+    base = {u.split("?")[0]: s for u, s, _ in entries}
+    expected = [(i, u, exact.get(u, base.get((u or "").split("?")[0]) if u else None)) for i, u in rows]
+    assert sorted(map(tuple, found.select("req", "url", "score").collect())) == expected
+
+
+def test_payload_moves_only_in_the_last_join(spark, tmp_path):
+    """Choices are made on narrow columns: no exchange below the final join holds the payload."""
+    df = spark.range(500).selectExpr("id AS k", "id % 2 AS label", "'s' AS source", "repeat('x', 50) AS payload")
+    df.write.parquet(f"{tmp_path}/wide")
+    wide = spark.read.parquet(f"{tmp_path}/wide")
+    for out in (sampling.balanced_resample(wide, "k", 1), sampling.stride_sample(wide, 7, "k")):
+        windows = [line for line in out._jdf.queryExecution().optimizedPlan().toString().split("\n")
+                   if "Window" in line]
+        assert windows and not any("payload" in line for line in windows)
+        assert out.count() > 0
+
+
+def test_pair_rows_without_a_side_take_no_position(spark):
+    rows = [(i, "pairs" if i < 30 else "plain", "x" if i % 2 else None, "img") for i in range(60)]
+    df = spark.createDataFrame(rows, "o int, source string, model string, image string")
+    specs = {"pairs": sampling.Spec(3, 100, 0, pair="x"),
+             "plain": sampling.Spec(3, 100, 0, where=F.col("o") >= 40)}
+    found = sampling.curate_sources(df.withColumn("image", F.when(F.col("o") % 4 != 0, F.col("image"))),
+                                    specs, "o", "image", sides=[("image", "model")])
+    kept = sorted((r.source, r.o) for r in found.collect())
+    sided = [i for i in range(30) if i % 2]
+    plain = [i for i in list(range(40, 60))[::3] if i % 4]
+    assert kept == [("pairs", i) for i in sided[::3]] + [("plain", i) for i in plain]
+    assert [r.o for r in sampling.stride_sample(df, 2, "o", needs="model").filter(
+        "source = 'pairs'").orderBy("o").collect()] == sided[::2]
 
 
 def test_valid_cache(spark):
@@ -181,11 +217,28 @@ def test_retry_plan_follows_one_image_through_ranges(spark):
 
 
 def test_cover_join(spark):
-    images = spark.createDataFrame([(1, "p", 0, 0, 10, 10), (2, "p", 0, 0, 0, 10)],
-                                   "image int, page string, x0 int, y0 int, x1 int, y1 int")
-    boxes = [(i, "p", 100, 100, 200, 200) for i in range(64)]
-    boxes += [(64, "p", 0, 0, 10, 8), (65, "p", 0, 0, 10, 10)]  # the 66th is no candidate
-    boxes = spark.createDataFrame([(b, *r) for b, *r in boxes],
-                                  "box_id int, page string, x0 int, y0 int, x1 int, y1 int")
-    found = lookups.cover_join(images, boxes, "page", "box_id").collect()
-    assert [(r.image, r.box_id) for r in found] == [(1, 64)]
+    rng = random.Random(5)
+
+    def some(n, side):
+        out = []
+        for i in range(n):
+            x, y = rng.randrange(-50, 300), rng.randrange(300)
+            out.append((i, rng.choice(["p", "p", "p", "q", None]), x, y, x + rng.randrange(side), y + rng.randrange(side)))
+        return out
+
+    images, boxes = some(150, 60), some(300, 200)
+    schema = "{} int, page string, x0 int, y0 int, x1 int, y1 int"
+    found = lookups.cover_join(spark.createDataFrame(images, schema.format("image")),
+                               spark.createDataFrame(boxes, schema.format("box_id")), "page").collect()
+
+    def covers(a, b):
+        wide = max(0, min(a[4], b[4]) - max(a[2], b[2]))
+        high = max(0, min(a[5], b[5]) - max(a[3], b[3]))
+        sized = all(r[4] - r[2] >= 1 and r[5] - r[3] >= 1 for r in (a, b))
+        return sized and wide * high >= (a[4] - a[2]) * (a[5] - a[3]) * 0.8
+
+    want = [(a[0], b[0]) for a in images for b in boxes if a[1] and a[1] == b[1] and covers(a, b)]
+    assert sorted((r.image, r.box_id) for r in found) == sorted(want) and len(want) > 100
+    with pytest.raises(ValueError):
+        lookups.cover_join(spark.createDataFrame(images, schema.format("image")),
+                           spark.createDataFrame(boxes, schema.format("box_id")), "page", 0.4)
