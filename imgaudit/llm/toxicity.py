@@ -30,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from imgaudit.llm.common import as_bytes, flat_bytes, lower_ascii, mix, slices, span_hashes, words
+from imgaudit.llm.common import as_bytes, flat_bytes, lower_ascii, mix, slices, span_hashes, words, written
 
 DECAY, SPAN = 0.7, 7
-SAMPLE, LONGEST = 2000, 20_000
+SAMPLE, LONGEST = 1500, 20_000
 TOXIC_LANDMARKS, CLEAN_LANDMARKS = 160, 96
 WITNESSES, NEGATIVES, ROUNDS, PENALTY = 3, 6000, 4, 2.0
 COPIES = 4  # of each witness with a letter put in, so that the machine learns to bear it
@@ -65,6 +65,10 @@ class Words:
         place = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
         return Words(self.letters[place], np.concatenate([[0], np.cumsum(size)]), self.row[chosen])
 
+    def span(self, at: int, to: int) -> Words:
+        bounds = self.bounds[at:to + 1]
+        return Words(self.letters[bounds[0]:bounds[-1]], bounds - bounds[0], self.row[at:to])
+
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
         """Hash of every distinct word and, for every word, its place among them."""
         return np.unique(span_hashes(self.letters, self.bounds[:-1], self.bounds[1:]),
@@ -115,12 +119,16 @@ def triples(found: Words) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
 
 def weigh(found: Words, table: np.ndarray) -> np.ndarray:
     """The machine's value of every word: its triples' weights over the word's own norm."""
-    n = len(found.bounds) - 1
-    total, norm = np.zeros(n), np.zeros(n)
-    for word, code, weight in triples(found):
-        total += weight * np.bincount(word, table[code], n)
-        norm += weight * weight * np.bincount(word, minlength=n)
-    return total / np.sqrt(np.maximum(norm, 1e-12))
+    out = []
+    for at in range(0, len(found.bounds) - 1, 1 << 15):
+        part = found.span(at, at + (1 << 15))
+        n = len(part.bounds) - 1
+        total, norm = np.zeros(n), np.zeros(n)
+        for word, code, weight in triples(part):
+            total += weight * np.bincount(word, table[code], n)
+            norm += weight * weight * np.bincount(word, minlength=n)
+        out.append(total / np.sqrt(np.maximum(norm, 1e-12)))
+    return np.concatenate(out) if out else np.zeros(0)
 
 
 def profiles(found: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,13 +190,17 @@ def sample(documents: DataFrame, labels: DataFrame, text: str, doc_id: str) -> t
     marked = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(
         F.max("toxic").alias("toxic"))
     rows = documents.select(F.col(doc_id).alias("doc_id"), as_bytes(text).alias("body"))
-    rows = rows.join(marked.filter(~held_out(F.col("doc_id"))), "doc_id")
-    counts = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    short = rows.filter(F.octet_length("body") <= LONGEST)
-    order = [F.xxhash64("doc_id"), "doc_id", "body"]
-    chosen = [short.filter(F.col("toxic") == label).orderBy(*order).limit(SAMPLE).collect()
-              for label in (1, 0)]
-    return [(bytes(r.body), r.toxic) for part in chosen for r in part], counts
+    sizes = rows.select("doc_id", F.octet_length("body").alias("size")).join(
+        marked.filter(~held_out(F.col("doc_id"))), "doc_id")
+    sizes = written(sizes, "learnable")
+    counts = {r.toxic: r.n for r in sizes.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # ids are chosen first, so that only the sample's texts are moved
+    short = sizes.filter(F.col("size") <= LONGEST).select("doc_id", "toxic").distinct()
+    label = {r.doc_id: r.toxic for value in (1, 0) for r in short.filter(F.col("toxic") == value).orderBy(
+        F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()}
+    chosen = rows.filter(F.col("doc_id").isin(list(label)) & (F.octet_length("body") <= LONGEST)).collect()
+    chosen = sorted((-label[r.doc_id], r.doc_id, bytes(r.body)) for r in chosen)
+    return [(body, -toxic) for toxic, _, body in chosen], counts
 
 
 def _root(kernel: np.ndarray) -> np.ndarray:
@@ -218,7 +230,8 @@ def _spread(found: Words, candidates: np.ndarray, most: int) -> np.ndarray:
     part = found.only(candidates)
     word, code, weight = profiles(part)
     cuts = np.searchsorted(word, np.arange(len(candidates) + 1))
-    near = np.zeros((LETTERS ** 3, most), np.float32)
+    code = np.unique(code, return_inverse=True)[1]
+    near = np.zeros((int(code.max(initial=0)) + 1, most), np.float32)
     chosen = []
     for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
         if len(chosen) == most:
