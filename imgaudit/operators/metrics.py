@@ -17,6 +17,7 @@ from imgaudit.functions.common import ColumnLike, col
 from imgaudit.functions.verdicts import band
 from imgaudit.operators.ranking import null_safe_join, running_counts
 from imgaudit.operators.sampling import drop_failures
+from imgaudit.session import stored
 
 
 def is_fake() -> Column:
@@ -133,7 +134,11 @@ def roc_auc(scores: DataFrame, by: Sequence[str] = ("view",), score: str = "scor
 def metric_summary(scores: DataFrame, threshold: float = fixed.FLAG_THRESHOLD,
                    grid: Sequence[float] = fixed.EVAL_GRID, by: Sequence[str] = ("view",),
                    score: str = "score") -> DataFrame:
-    """One row per view: fixed-threshold rates, AUC and the best threshold."""
+    """One row per view: fixed-threshold rates, AUC and the best threshold.
+
+    What the scores come from is computed once; the three measures read three columns.
+    """
+    scores = stored(scores.select(*by, "label", score), "scores")
     rates = confusion(scores, threshold, by, score)
     for part in (roc_auc(scores, by, score), threshold_sweep(scores, grid, by, score)):
         rates = null_safe_join(rates, part, by)

@@ -14,7 +14,7 @@ from imgaudit.plans import views
 from imgaudit.plans.registry import Tables, query, rounded
 from imgaudit.plans.views import list_sql, score_sql, sql
 from imgaudit.session import shared_dir
-from imgaudit.sources import sinks
+from imgaudit.sources import manifests, sinks
 
 
 def scored(t: Tables, bias: float = 0.0) -> DataFrame:
@@ -87,6 +87,17 @@ def roc_auc(t: Tables) -> DataFrame:
     return rounded(metrics.roc_auc(rounded(scored(t), "score", digits=9)), "auc")
 
 
+@query(sql("scores", f"SELECT path AS file, round({score_sql()}, 6) AS score FROM scores WHERE view = 'clean'"))
+def read_scores(t: Tables) -> DataFrame:
+    """Scores written as JSON by file and read back."""
+    clean = scored(t).filter("view = 'clean'").select(F.col("path").alias("file"), "score")
+    path = f"{shared_dir(t.spark, 'scores')}/scores"
+    lists = clean.groupBy(F.pmod(F.xxhash64("file"), F.lit(64)).alias("part")).agg(
+        F.collect_list(F.struct("file", "score")).alias("images"))
+    lists.select("images").write.option("maxRecordsPerFile", 1).json(path)  # one array per file
+    return rounded(manifests.read_scores(t.spark, path, "images"), "score")
+
+
 @query(sql("scores", f"""
     {_ROUNDED}, rates AS (SELECT view, {_RATES} FROM scored GROUP BY view), {_AUC},
     {_curve_sql(fixed.EVAL_GRID, "score", "view")}, {_best_sql()}

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from imgaudit import fixed_values as fixed
 from imgaudit.functions import images, report_text
-from imgaudit.operators import degenerate, forensics, reports, scoring
+from imgaudit.operators import analysis, degenerate, forensics, reports, scoring
 from imgaudit.plans import views
 from imgaudit.plans.registry import Tables, query, rounded
+from imgaudit.plans.scalars import MODEL, MODEL_SQL
 from imgaudit.plans.views import sql
 from imgaudit.session import shared_dir
-from imgaudit.sources import issues
+from imgaudit.sources import issues, manifests, sinks
 
 _URI = fixed.C2PA_MARKERS[0][0]
 
@@ -64,6 +65,24 @@ def sniff_format(t: Tables) -> DataFrame:
                                   images.is_jpeg("content").alias("is_jpeg"))
 
 
+@query("""
+    SELECT concat('sb_', source) AS source, concat(CASE WHEN doc_id % 9 = 0 THEN '.' ELSE '' END, doc_id,
+        CASE WHEN doc_id % 8 IN (4, 5) THEN '.JPG' WHEN doc_id % 8 = 7 THEN '.webp' ELSE '.png' END) AS name
+    FROM documents WHERE doc_id % 9 <> 0 AND doc_id % 7 <> 0""")
+def scan_image_dir(t: Tables) -> DataFrame:
+    """Files of all documents, written by source and scanned; some are hidden or no images."""
+    kind = F.col("doc_id") % 8
+    ending = F.when(F.col("doc_id") % 7 == 0, ".txt").when(kind.isin(4, 5), ".JPG").when(
+        kind == 7, ".webp").otherwise(".png")
+    hidden = F.when(F.col("doc_id") % 9 == 0, ".").otherwise("")
+    files = _image_files(t).join(t.documents.select("doc_id", "source"), "doc_id")
+    root = shared_dir(t.spark, "image-dir")
+    sinks.write_files(files.withColumn("name", F.concat("source", F.lit("/"), hidden, F.col("doc_id").cast(
+        "string"), ending)), root)
+    found = manifests.scan_image_dir(t.spark, root, "sb_", content=False)
+    return found.select("source", images.basename("path").alias("name"))
+
+
 @query("SELECT doc_id FROM documents WHERE doc_id % 6 <> 0")
 def drop_appledouble(t: Tables) -> DataFrame:
     junk = F.concat(F.lit(bytes.fromhex(fixed.APPLEDOUBLE_MAGIC)), F.col("content"))
@@ -147,7 +166,7 @@ def _rasters(t: Tables) -> DataFrame:
         F.lit(1).alias("channels"), padded.alias("data"))
 
 
-@query(f"""
+_STATS = f"""
     WITH raw AS (SELECT doc_id, hex(encode(text)) AS hx, octet_length(encode(text)) AS len
         FROM documents WHERE text <> ''),
     rows AS (SELECT doc_id, hx, len, CAST(ceil(len/64e0) AS BIGINT) AS height FROM raw),
@@ -163,11 +182,47 @@ def _rasters(t: Tables) -> DataFrame:
         FROM pairs GROUP BY grp)
     SELECT CAST(grp AS VARCHAR) AS path, round(variance, 4) AS variance,
         round((sab/m - (sa/m)*(sb/m)) / sqrt(greatest((saa/m - (sa/m)*(sa/m))*(sbb/m - (sb/m)*(sb/m)),
-            1e-9)), 4) AS correlation FROM sums""")
+            1e-9)), 4) AS correlation FROM sums"""
+
+
+@query(_STATS)
 def image_stats(t: Tables) -> DataFrame:
     return rounded(degenerate.image_stats(_rasters(t)), "variance", "correlation", digits=4)
 
 
+_VIEWED = """SELECT doc_id, visit, 40 + doc_id*37 % 2000 AS w, 40 + doc_id*53 % 1500 AS h
+    FROM documents CROSS JOIN (VALUES (0), (1)) AS v(visit)"""
+
+
+@query(f"""
+    WITH viewed AS ({_VIEWED}), stats AS ({_STATS}),
+    hits AS (SELECT doc_id, {_REASON} AS reason FROM documents),
+    scored AS (SELECT vec_id, 1e0/(1e0+exp(-({MODEL_SQL}))) AS score FROM embeddings),
+    judged AS (SELECT doc_id, visit, least(w, h) >= 200 AS eligible, reason,
+        CASE WHEN reason IS NOT NULL THEN NULL WHEN variance < 4 THEN 'degenerate-flat'
+            WHEN correlation < 0.15e0 THEN 'degenerate-noise' END AS error, score
+        FROM viewed JOIN hits USING (doc_id) LEFT JOIN stats ON path = CAST(doc_id AS VARCHAR)
+            LEFT JOIN scored ON vec_id = doc_id),
+    resolved AS (SELECT *, CASE WHEN NOT eligible OR error IS NOT NULL AND reason IS NULL THEN NULL
+        WHEN reason IS NOT NULL THEN 0.99e0 ELSE score END AS final FROM judged)
+    SELECT doc_id, visit, eligible, CASE WHEN eligible THEN reason END AS reason,
+        CASE WHEN eligible THEN error END AS error, round(final, 6) AS score,
+        CASE WHEN final >= 0.65e0 THEN 'AI' WHEN final >= 0.5e0 THEN 'unsure'
+            WHEN final IS NOT NULL THEN 'low' END AS band FROM resolved""")
+def analyse(t: Tables) -> DataFrame:
+    """Every document's file asked for twice, displayed at half its size."""
+    viewed = t.documents.select("doc_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("visit"))
+    requests = viewed.selectExpr("doc_id", "visit", "40 + doc_id*37 % 2000 AS w", "40 + doc_id*53 % 1500 AS h",
+                                 "CAST(doc_id AS STRING) AS url")
+    requests = requests.withColumns({f"disp_{c}": F.col(c) / 2 for c in ("w", "h")})
+    files = _image_files(t).withColumn("url", F.col("doc_id").cast("string"))
+    rasters = _rasters(t).withColumnRenamed("path", "url")
+    vectors = t.embeddings.select(F.col("vec_id").cast("string").alias("url"), F.col("embedding").alias("vector"))
+    found = analysis.analyse(requests, files.select("url", "content"), rasters, vectors,
+                             scoring.linear_scorer(MODEL, 0.1), 64)
+    return rounded(found.select("doc_id", "visit", "eligible", "reason", "error", "score", "band"), "score")
+
+
 @query()
 def prepare_tensors(t: Tables) -> DataFrame:
     tensors = scoring.prepare_tensors(_rasters(t), shorter=32, crop=24, preset="half")

@@ -234,17 +234,18 @@ def resolve_verdict(t: Tables) -> DataFrame:
         hit, error, verdicts.calibrated_score("z")).alias("score")), "score")
 
 
-_WEIGHTS = [((i * 37) % 21 - 10) / 10 for i in range(64)]
+MODEL = [((i * 37) % 21 - 10) / 10 for i in range(64)]
+MODEL_SQL = """list_sum([CAST(embedding[i+1] AS DOUBLE) * (((i*37) % 21 - 10)/10e0)
+    FOR i IN range(64)]) + 0.1e0"""
 
 
 @query(f"""
-    SELECT vec_id, CASE WHEN vec_id % 19 <> 0 THEN round(list_sum([
-        CAST(embedding[i+1] AS DOUBLE) * (((i*37) % 21 - 10)/10e0) FOR i IN range(64)]) + 0.1e0, 6) END AS z
+    SELECT vec_id, CASE WHEN vec_id % 19 <> 0 THEN round({MODEL_SQL}, 6) END AS z
     FROM embeddings""")
 def score_table(t: Tables) -> DataFrame:
     inputs = F.when(F.col("vec_id") % 19 != 0, F.col("embedding"))
     scored = scoring.score_table(t.embeddings.withColumn("embedding", inputs),
-                                 scoring.linear_scorer(_WEIGHTS, 0.1), "embedding", ["vec_id"],
+                                 scoring.linear_scorer(MODEL, 0.1), "embedding", ["vec_id"],
                                  width=64)
     return rounded(scored, "z")
 

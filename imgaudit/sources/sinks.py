@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+import uuid
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from imgaudit.session import stored
 from imgaudit.sources.files import exists
 
 
@@ -48,6 +52,30 @@ def write_logits(df: DataFrame, root: str, mode: str = "error") -> None:
     df.write.mode(mode).partitionBy("model_tag", "view").parquet(root)
 
 
+def write_files(df: DataFrame, root: str, name: str = "name", content: str = "content") -> DataFrame:
+    """Write each row's bytes as a file below a folder that all executors share.
+
+    Files get their names when they are complete, so a task may be repeated. Returns the
+    number of files per task, as a written table.
+    """
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = fs.FileSystem.from_uri(root)
+        done = 0
+        for batch in batches:
+            for path, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+                target = f"{top}/{path}"
+                system.create_dir(target.rpartition("/")[0], recursive=True)
+                part = f"{target}.{uuid.uuid4().hex}.part"
+                with system.open_output_stream(part) as out:
+                    out.write(body.as_buffer())
+                system.move(part, target)
+                done += 1
+        yield pa.RecordBatch.from_pydict({"files": [done]})
+
+    return stored(df.select(name, content).filter(F.col(content).isNotNull()).mapInArrow(
+        write, "files long"), "files")
+
+
 def write_summary(df: DataFrame, path: str, mode: str = "error") -> None:
     """Metric rows as JSON; one small row per view."""
     df.coalesce(1).write.mode(mode).json(path)

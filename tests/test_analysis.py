@@ -1,0 +1,42 @@
+"""The end-to-end verdict: every step sees only what the one before left open."""
+
+import numpy as np
+
+from image_files import jpeg, png, segment, text
+from imgaudit.operators import analysis, scoring
+
+URI = b"http://cv.iptc.org/newscodes/digitalsourcetype/trainedAlgorithmicMedia"
+
+
+def test_steps_in_order(spark):
+    marked = png(extra=[text(b"tEXt", b"parameters", b"x")])
+    plain = jpeg(segment(0xE0, b"JFIF"))
+    ramp = np.add.outer(np.arange(40) * 3, np.arange(40)).astype(np.uint8)
+    flat = np.full((40, 40), 9, np.uint8)
+    noise = np.random.default_rng(1).integers(0, 256, (40, 40)).astype(np.uint8)
+    images = {
+        "marked": (marked, flat, [1.0]), "flat": (plain, flat, [1.0]), "noise": (plain, noise, [1.0]),
+        "made": (plain, ramp, [3.0]), "real": (plain, ramp, [-3.0]), "no vector": (plain, ramp, None),
+        "tiny": (plain, ramp, [3.0]),
+    }
+    sizes = {"tiny": (20, 400)}
+    requests = [(i, url, *sizes.get(url, (400, 400)), 300, 300) for i, url in enumerate([*images, *images])]
+    requests += [(90, "made", 400, 400, 10, 10), (91, None, 400, 400, 300, 300), (92, "unknown", 400, 400, 300, 300)]
+    frames = (
+        spark.createDataFrame(requests, "id int, url string, w int, h int, disp_w int, disp_h int"),
+        spark.createDataFrame([(u, bytearray(f)) for u, (f, _, _) in images.items()], "url string, content binary"),
+        spark.createDataFrame([(u, 40, 40, 1, bytearray(p.tobytes())) for u, (_, p, _) in images.items()],
+                              "url string, height int, width int, channels int, data binary"),
+        spark.createDataFrame([(u, v) for u, (_, _, v) in images.items()], "url string, vector array<double>"))
+    found = analysis.analyse(*frames, scoring.linear_scorer([1.0], 0.0), 1).collect()
+    assert len(found) == len(requests)
+    rows = {r.id: (r.eligible, r.reason, r.error, r.band) for r in found}
+    by_url = {url: rows[i] for i, url in enumerate(images)}
+    assert by_url == {
+        "marked": (True, "png:sd-parameters", None, "AI"), "flat": (True, None, "degenerate-flat", None),
+        "noise": (True, None, "degenerate-noise", None), "made": (True, None, None, "AI"),
+        "real": (True, None, None, "low"), "no vector": (True, None, None, None),
+        "tiny": (False, None, None, None)}
+    assert all(rows[i + len(images)] == rows[i] for i in range(len(images)))
+    assert rows[90] == (False, None, None, None) and rows[92] == (True, None, None, None)
+    assert {r.id: r.score for r in found}[0] == 0.99
