@@ -9,6 +9,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from imgaudit.sources.files import remove
+
 # Runtime settings the operators count on. Adaptive execution is on by default in
 # Spark 4; it is named here because the equi-joins lean on its skew splitting.
 SETTINGS = {
@@ -24,19 +26,38 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_made: dict[str, str] = {}  # folders made here, by application
+
+
+def _root(spark: SparkSession) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root
+    context = spark.sparkContext
+    if not re.match(r"local(\[|$)", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _made:
+        _made[context.applicationId] = tempfile.mkdtemp(prefix="imgaudit-")
+    return _made[context.applicationId]
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which every executor can reach.
 
     A cluster must name that folder: a driver's own would be another one on every machine.
     Only with a local master, as in tests, where there is one machine, is one made.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="imgaudit-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return os.path.join(root, "imgaudit", f"{name}-{uuid.uuid4().hex}")
+    return os.path.join(_root(spark), "imgaudit", spark.sparkContext.applicationId,
+                        f"{name}-{uuid.uuid4().hex}")
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all working tables of this application; its results must have been written.
+
+    Operators return lazy tables that read their working tables when they run, so only the
+    caller knows when these are no longer needed.
+    """
+    remove(spark, os.path.dirname(shared_dir(spark, "any")))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -1,13 +1,15 @@
 """Reading and writing: manifests, stages, partials, score files, issues."""
 
 import json
+import tempfile
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from imgaudit import schemas
 from imgaudit.operators import reports
-from imgaudit.session import shared_dir, stored
+from imgaudit.session import clear, shared_dir, stored
 from imgaudit.sources import issues, manifests, sinks
 
 
@@ -90,11 +92,37 @@ def test_all_issues_without_a_limit(spark, tmp_path):
     assert issues.read_issues(spark, f"{tmp_path}/issues.json").count() == 700
 
 
+class Session:
+    """Stands for a session with another master and folder; both are fixed in a real one."""
+
+    def __init__(self, master, folder):
+        self.conf = {} if folder is None else {"spark.checkpoint.dir": folder}
+        self.sparkContext = type("Context", (), {"master": master, "applicationId": "app-1"})
+
+
 def test_shared_dir_follows_the_session(spark):
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    path = shared_dir(spark, "x")
-    assert path.startswith(root or spark.conf.get("spark.checkpoint.dir"))
-    assert path != shared_dir(spark, "x")
+    path = shared_dir(Session("yarn", "hdfs://a/b"), "x")
+    assert path.startswith("hdfs://a/b/imgaudit/app-1/x-")
+    assert path != shared_dir(Session("yarn", "hdfs://a/b"), "x")
+    assert shared_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir", tempfile.gettempdir()))
+
+
+def test_a_cluster_must_name_its_folder():
+    for master in ("yarn", "spark://host:7077", "k8s://host", "local-cluster[2,1,512]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(Session(master, None), "x")
+    first, second = (shared_dir(Session(master, None), "x") for master in ("local[4]", "local"))
+    assert os.path.dirname(first) == os.path.dirname(second)
+
+
+def test_clear_removes_this_application_only(spark):
+    table = stored(spark.range(3), "t")
+    folder = os.path.dirname(os.path.dirname(table.inputFiles()[0]).removeprefix("file://"))
+    other = os.path.join(os.path.dirname(folder), "another-application")
+    os.makedirs(other, exist_ok=True)
+    assert table.count() == 3 and os.path.basename(folder) == spark.sparkContext.applicationId
+    clear(spark)
+    assert os.path.isdir(other) and not os.path.exists(folder)
 
 
 def test_stored_table_is_the_same(spark, manifest):
