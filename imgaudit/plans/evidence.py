@@ -155,10 +155,13 @@ def c2pa_search(t: Tables) -> DataFrame:
 _WIDE = 64
 
 
-def _rasters(t: Tables) -> DataFrame:
-    """Each document's whole text as a grey image, 64 pixels wide, padded with blanks."""
+def _rasters(t: Tables, rows: int = 1) -> DataFrame:
+    """Each document's whole text as a grey image, 64 pixels wide, padded with blanks.
+
+    Heights are multiples of ``rows``.
+    """
     content = F.encode("text", "utf-8")
-    height = F.ceil(F.octet_length(content) / _WIDE).cast("int")
+    height = (F.ceil(F.octet_length(content) / (rows * _WIDE)) * rows).cast("int")
     raster = t.documents.select("doc_id", content.alias("data"), height.alias("height"))
     padded = F.expr(f"rpad(data, height * {_WIDE}, X'20')")
     return raster.filter("height > 0").select(
@@ -223,9 +226,32 @@ def analyse(t: Tables) -> DataFrame:
     return rounded(found.select("doc_id", "visit", "eligible", "reason", "error", "score", "band"), "score")
 
 
-@query()
+@query("""
+    WITH raw AS (SELECT doc_id, hex(encode(text)) AS hx, octet_length(encode(text)) AS len
+        FROM documents WHERE text <> ''),
+    sized AS (SELECT *, CAST(ceil(len/4096e0) AS BIGINT)*64 AS h FROM raw),
+    dims AS (SELECT DISTINCT h, greatest(24, floor(h*(32e0/least(h, 64)) + 0.5e0)) AS rows,
+        greatest(24, floor(64*(32e0/least(h, 64)) + 0.5e0)) AS cols FROM sized),
+    axes AS (SELECT h, 'y' AS axis, h AS n, rows AS size FROM dims
+        UNION ALL SELECT h, 'x', 64, cols FROM dims),
+    outs AS (SELECT *, unnest(range(24)) AS i FROM axes),
+    centred AS (SELECT *, ((CAST(size AS BIGINT) - 24)//2 + i + 0.5e0)*(n/size) AS c,
+        greatest(n/size, 1e0) AS width FROM outs),
+    taps AS (SELECT *, unnest(range(CAST(greatest(0, floor(c - width)) AS BIGINT),
+        CAST(least(n, ceil(c + width) + 1) AS BIGINT))) AS k FROM centred),
+    reach AS (SELECT h, axis, i, k, greatest(0e0, 1 - abs(k + 0.5e0 - c)/width) AS w FROM taps),
+    weights AS (SELECT h, axis, i, k, w / sum(w) OVER (PARTITION BY h, axis, i) AS w FROM reach),
+    values AS (SELECT s.doc_id, y.i AS yi, x.i AS xi, sum(y.w*x.w*CASE WHEN y.k*64 + x.k < s.len THEN
+            CAST(CAST(concat('0x', substr(s.hx, 2*(y.k*64 + x.k) + 1, 2)) AS INT) AS DOUBLE)
+            ELSE 32e0 END) AS v
+        FROM sized s JOIN weights y ON y.h = s.h AND y.axis = 'y' AND y.w > 0
+            JOIN weights x ON x.h = s.h AND x.axis = 'x' AND x.w > 0 GROUP BY ALL)
+    SELECT CAST(doc_id AS VARCHAR) AS path, CAST(3*24*24 AS INT) AS n, round(3*sum(CAST(CAST(
+        (least(255, greatest(0, floor(v + 0.5e0)))/255e0 - 0.5e0)/0.5e0 AS FLOAT) AS DOUBLE)), 3) AS total
+    FROM values GROUP BY doc_id""")
 def prepare_tensors(t: Tables) -> DataFrame:
-    tensors = scoring.prepare_tensors(_rasters(t), shorter=32, crop=24, preset="half")
+    """Heights are multiples of 64, so that all weights are exact and so are halves."""
+    tensors = scoring.prepare_tensors(_rasters(t, 64), shorter=32, crop=24, preset="half")
     total = F.aggregate("tensor", F.lit(0.0), lambda a, x: a + x.cast("double"))
     return tensors.select("path", F.size("tensor").alias("n"), F.round(total, 3).alias("total"))
 
