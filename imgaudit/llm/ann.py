@@ -5,8 +5,9 @@ curve, nodes are projected on other random directions, cut into cells of equal s
 the cuts shifted, and put in the order of the Hilbert curve through the cells. Spark ranks
 each order and cuts it into blocks. A query looks at its own block and its neighbours on
 every curve, measures exact distances there and merges the nearest. Its windows then double
-on all curves until one more doubling changes none of its nearest, so vectors with close
-neighbours stop early and vectors without any go on, at last over all blocks.
+on all curves until one more doubling brings at most ``SETTLED`` new ones among its nearest,
+so vectors with close neighbours stop early and vectors without any go on, at last over all
+blocks. A task merges what it finds for a query over all its blocks before it is shuffled.
 
 The projections' cuts come from ``SAMPLE`` nodes, those with the smallest digests; every
 vector is indexed. Vectors that have no nearer neighbours than most, such as random
@@ -23,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,8 +32,9 @@ from pyspark.sql import functions as F
 from imgaudit.llm.common import flat_bytes, written
 from imgaudit.operators.ranking import with_position
 
-CURVES, DIMENSIONS, BITS, BLOCK = 16, 8, 4, 256
-SAMPLE = 4096
+CURVES, DIMENSIONS, BITS, BLOCK = 16, 8, 4, 512
+SAMPLE, SETTLED = 4096, 1
+HELD = 200_000  # found rows that a task holds before it merges them
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -144,9 +147,9 @@ def index_blocks(nodes: DataFrame, number: str, curves: int, dimensions: int, bi
     placed = with_position(keyed, ["key", "node"], ["curve"]).select(
         "node", "curve", F.floor(F.col("position") / block).cast("long").alias("block"))
     placed = written(placed, "places")
-    members = F.sort_array(F.collect_list(F.struct("node", "vector")))
-    blocks = placed.join(nodes.select("node", "vector"), "node").groupBy("curve", "block").agg(
-        members.alias("members"))
+    vectors = nodes.select("node", "vector", F.col("ids")[0].alias("first_id"))
+    members = F.sort_array(F.collect_list(F.struct("first_id", "node", "vector")))
+    blocks = placed.join(vectors, "node").groupBy("curve", "block").agg(members.alias("members"))
     return placed, written(blocks, "blocks")
 
 
@@ -177,23 +180,35 @@ def neighbours(embeddings: DataFrame, k: int = 10, every: int = 100, vec_id: str
     last = blocks.agg(F.max("block")).first()[0]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
         for batch in batches:
             for row in batch.to_pylist():
-                names = [m["node"] for m in row["members"]]
                 vectors = np.frombuffer(b"".join(m["vector"] for m in row["members"]), number)
                 queries = np.frombuffer(b"".join(q["vector"] for q in row["queries"]), number)
-                vectors = vectors.reshape(len(names), -1).astype(np.float64)
+                vectors = vectors.reshape(len(row["members"]), -1).astype(np.float64)
                 queries = queries.reshape(len(row["queries"]), -1).astype(np.float64)
-                out = [[], [], []]
-                for q, place, far in zip(row["queries"], *nearest(queries, vectors, k + 1)):
-                    out[0] += [q["node"]] * len(place)
-                    out[1] += [names[i] for i in place]
-                    out[2] += far.tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[0], pa.string()), pa.array(out[1], pa.string()),
-                     pa.array(out[2], pa.float64())], ["query", "node", "score"])
+                places, far = nearest(queries, vectors, k + 1)
+                counts = [len(p) for p in places]
+                place = np.concatenate(places)
+                held.append(pd.DataFrame({
+                    "query": np.repeat(np.array([q["node"] for q in row["queries"]], object), counts),
+                    "node": np.array([m["node"] for m in row["members"]], object)[place],
+                    "first_id": np.array([m["first_id"] for m in row["members"]])[place],
+                    "score": np.concatenate(far)}))
+                rows += len(place)
+                if rows > HELD:
+                    held = [merged(held)]
+                    rows = len(held[0])
+                    if rows > HELD // 2:  # that many queries: pass on what there is
+                        yield pa.RecordBatch.from_pandas(held[0], preserve_index=False)
+                        held, rows = [], 0
+        if held:
+            yield pa.RecordBatch.from_pandas(merged(held), preserve_index=False)
+
+    def merged(found: list[pd.DataFrame]) -> pd.DataFrame:
+        whole = pd.concat(found).drop_duplicates(["query", "node"])
+        return whole.sort_values(["query", "score", "first_id", "node"]).groupby("query").head(k + 1)
 
-    first_id = nodes.select("node", F.col("ids")[0].alias("first_id"))
     best, reach = None, 0
     while True:
         low, reach = reach, 2 * reach + 1 if reach else 1
@@ -204,19 +219,19 @@ def neighbours(embeddings: DataFrame, k: int = 10, every: int = 100, vec_id: str
             "curve", F.explode(new).alias("block"), F.struct("node", "vector").alias("query"))
         grouped = requests.groupBy("curve", "block").agg(F.collect_list("query").alias("queries"))
         found = grouped.join(blocks, ["curve", "block"]).select("members", "queries").mapInArrow(
-            measure, "query string, node string, score double")
-        found = found.groupBy("query", "node").agg(F.min("score").alias("score")).withColumn("new", F.lit(True))
+            measure, "query string, node string, first_id long, score double").withColumn("new", F.lit(True))
         if best is not None:
-            found = found.unionByName(best.withColumn("new", F.lit(False))).groupBy("query", "node").agg(
-                F.min("score").alias("score"), F.min("new").alias("new"))
+            found = found.unionByName(best.withColumn("new", F.lit(False)))
+        found = found.groupBy("query", "node", "first_id").agg(
+            F.min("score").alias("score"), F.min("new").alias("new"))
         order = Window.partitionBy("query").orderBy("score", "first_id", "node")
-        ranked = found.join(first_id, "node").withColumn("at", F.row_number().over(order)).filter(
-            F.col("at") <= k + 1)
-        ranked = written(ranked.select("query", "node", "score", "new"), "nearest")
-        best = ranked.select("query", "node", "score")
+        ranked = found.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= k + 1)
+        ranked = written(ranked.drop("at"), "nearest")
+        best = ranked.drop("new")
         if reach >= last:
             break
-        changed = ranked.filter("new").select(F.col("query").alias("node")).distinct()
+        changed = ranked.groupBy(F.col("query").alias("node")).agg(F.count_if("new").alias("n"))
+        changed = changed.filter(F.col("n") > SETTLED).select("node")
         open_ = written(open_.join(changed, "node", "left_semi"), "queries")
         if open_.isEmpty():
             break
