@@ -9,9 +9,10 @@ parts are small enough for a task; so depth adapts to each region.
 Candidates of the first round are neighbours in an order, which have the longest common
 prefixes, and the leader of the region; pairs whose signatures agree too little are left
 out. Links are confirmed on full sets. The second round takes every region whose nodes are
-still in several components, and every pair in it that was not yet looked at and lies across
-components, in blocks, so that no link of a region is missed, however large it is. A crowded
-group of near copies is one component after the first round and costs nothing in the second.
+still in several components, with their sets and in blocks: a node outside the region's main
+component is compared with all others, inside the tasks and without a row per pair. So no
+link of a region is missed, however large it is, while a crowded group of near copies is
+mostly one component after the first round and costs little in the second.
 
 Defined cases: a text without words, empty or null has the empty set and is linked with
 nothing; one to four words are one shingle; a row with a null id is read, but stands for
@@ -35,7 +36,7 @@ SHINGLE = 5
 HASHES, TREES, DEPTH = 64, 16, 4
 DEEPER = (8, 16, 32, 64)
 REGION = 2048
-NEIGHBOURS = 8
+NEIGHBOURS = 2
 LEAST_AGREEING = 40  # of 64; a pair at the 0.85 threshold has fewer with probability 1e-4
 FACTORS = mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -152,7 +153,7 @@ def plant(nodes: DataFrame) -> DataFrame:
         deeper = written(large.withColumn("part", region_key(depth)).drop("size"), "crowded")
         counts = deeper.groupBy("tree", "part").agg(F.count(F.lit(1)).alias("size"))
         crowded = deeper.join(counts, ["tree", "part"])
-    return written(leaves.select("tree", "region", "part", "size", "node", "signature"), "forest")
+    return written(leaves.select("tree", "region", "part", "node", "signature"), "forest")
 
 
 def _signatures(column) -> np.ndarray:
@@ -198,33 +199,47 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = rows.slice(max(0, rows.num_rows - NEIGHBOURS))
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs across components inside the groups of a task's sorted rows."""
+def _across(percent: int):
+    """All links across components inside the blocks of a task's sorted rows."""
 
-    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        signature = _signatures(rows["signature"])
+    def links(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         _, root = np.unique(np.array(rows["root"].to_pylist(), object), return_inverse=True)
-        least = np.argmax(np.bincount(root))  # the largest component is only a partner
-        for i in np.flatnonzero(root != least):
-            others = np.flatnonzero((root != root[i]) & ((root == least) | (np.arange(len(root)) > i)))
-            good = others[_agree(signature, np.full(len(others), i), others)]
-            if len(good):
-                yield _pair_batch(rows["node"], np.full(len(good), i), good)
-
-    held, group = [], None
-    for batch in batches:
-        key = np.array(batch["block"])
-        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-        for a, b in zip(cuts, cuts[1:]):
-            if a == b:
-                continue
-            if held and key[a] != group:
-                yield from pairs(pa.concat_tables(held))
-                held = []
-            group = key[a]
-            held.append(pa.Table.from_batches([batch.slice(a, b - a)]))
-    if held:
-        yield from pairs(pa.concat_tables(held))
+        main = np.argmax(np.bincount(root))  # its members are only partners
+        data, offsets = flat_bytes(rows["body"])
+        shingle, offsets = data.view(np.uint64), offsets // 8
+        size = np.diff(offsets)
+        order = np.argsort(shingle)
+        holder = np.repeat(np.arange(len(size)), size)[order]
+        ordered = shingle[order]
+        for i in np.flatnonzero(root != main):
+            own = shingle[offsets[i]:offsets[i + 1]]
+            low = np.searchsorted(ordered, own, "left")
+            count = np.searchsorted(ordered, own, "right") - low
+            held = holder[np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())]
+            same = np.bincount(held, minlength=len(size))
+            linked = (100 * same >= percent * (size[i] + size - same)) & (root != root[i])
+            if linked.any():  # one per component is enough to join them
+                partner = np.flatnonzero(linked)
+                partner = partner[np.unique(root[partner], return_index=True)[1]]
+                yield _pair_batch(rows["node"], np.full(len(partner), i), partner)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, block = [], None
+        for batch in batches:
+            key = np.array(batch["block"])
+            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if held and key[a] != block:
+                    yield from links(pa.concat_tables(held))
+                    held = []
+                block = key[a]
+                held.append(pa.Table.from_batches([batch.slice(a, b - a)]))
+        if held:
+            yield from links(pa.concat_tables(held))
+
+    return run
 
 
 def first_candidates(forest: DataFrame) -> DataFrame:
@@ -247,29 +262,6 @@ def first_candidates(forest: DataFrame) -> DataFrame:
     return near.unionByName(led).filter("a < b").distinct()
 
 
-def open_candidates(forest: DataFrame, roots: DataFrame) -> DataFrame:
-    """Every agreeing pair of a region that lies across components.
-
-    Regions are cut into blocks; a node outside the region's main component goes into all
-    blocks of its region, any other node into one, so each such pair meets in some block.
-    """
-    width = partitions(forest.sparkSession)
-    placed = forest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select(
-        "tree", "region", "node", "signature", "root")
-    shares = placed.groupBy("tree", "region", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed = shares.groupBy("tree", "region").agg(
-        F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("size"),
-        F.count(F.lit(1)).alias("roots")).filter("roots > 1").drop("roots")
-    blocks = F.ceil(F.col("size") / REGION).cast("int")
-    own = F.array(F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    everywhere = F.sequence(F.lit(0), blocks - 1)
-    spread = placed.join(mixed, ["tree", "region"]).withColumn(
-        "at", F.explode(F.when(F.col("root") == F.col("main"), own).otherwise(everywhere)))
-    blocked = spread.select(F.xxhash64("tree", "region", "at").alias("block"), "node", "root", "signature")
-    return (blocked.repartition(width, "block").sortWithinPartitions("block", "node")
-            .mapInArrow(_across, PAIRS).distinct())
-
-
 # ------------------------------------------------------------------ links and components
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, percent: int) -> DataFrame:
@@ -291,17 +283,51 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, documents: DataFrame, percent:
             "n_shingles", f"_{end}")
     fits = 100 * F.least("_a", "_b") >= percent * F.greatest("_a", "_b")
     pairs = written(pairs.filter(fits).select("a", "b"), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(
-        nodes.select("node", F.col("first_id").alias("_id")), "node")
-    bodies = documents.join(wanted, F.col("doc_id") == F.col("_id")).select("node", "body").mapInArrow(
-        _set_batches, "node binary, body binary")
-    sets = written(bodies.groupBy("node").agg(F.first("body").alias("body")), "sets")
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    sets = full_sets(ends, nodes, documents)
     x, y = (sets.select(F.col("node").alias(end), F.col("body").alias(name))
             for end, name in (("a", "x"), ("b", "y")))
     return written(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, PAIRS),
                    "links")
 
 
+def full_sets(wanted: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
+    """Sorted shingle hashes of the wanted nodes, from the whole text of one document each."""
+    ids = wanted.distinct().join(nodes.select("node", F.col("first_id").alias("_id")), "node")
+    bodies = documents.join(ids, F.col("doc_id") == F.col("_id")).select("node", "body").mapInArrow(
+        _set_batches, "node binary, body binary")
+    return written(bodies.groupBy("node").agg(F.first("body").alias("body")), "sets")
+
+
+def links_across(forest: DataFrame, roots: DataFrame, nodes: DataFrame, documents: DataFrame,
+                 percent: int) -> DataFrame:
+    """Links between components, found in every region that still holds several.
+
+    Regions are cut into blocks; a node outside the region's main component goes into all
+    blocks of its region, any other node into one, so each such pair meets in some block.
+    Regions in which the first round looked at every pair need no second look.
+    """
+    width = partitions(forest.sparkSession)
+    placed = forest.join(roots, "node", "left").select(
+        "tree", "region", "node", F.coalesce("root", "node").alias("root"))
+    shares = placed.groupBy("tree", "region", "root").agg(F.count(F.lit(1)).alias("n"))
+    several = shares.groupBy("tree", "region").agg(
+        F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("members"),
+        F.count(F.lit(1)).alias("roots")).filter(
+        (F.col("roots") > 1) & (F.col("members") > NEIGHBOURS + 1)).drop("roots")
+    open_ = written(placed.join(several, ["tree", "region"]), "open")
+    sets = full_sets(open_.select("node"), nodes, documents)
+    blocks = F.ceil(F.col("members") / REGION).cast("int")
+    own = F.array(F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    at = F.explode(F.when(F.col("root") == F.col("main"), own).otherwise(
+        F.sequence(F.lit(0), blocks - 1)))
+    spread = open_.select("tree", "region", "node", "root", at.alias("at"))
+    blocked = spread.select(F.xxhash64("tree", "region", "at").alias("block"), "node", "root")
+    return written(blocked.join(sets, "node").repartition(width, "block")
+                   .sortWithinPartitions("block", "node").select("block", "node", "root", "body")
+                   .mapInArrow(_across(percent), PAIRS).distinct(), "links")
+
+
 def components(links: DataFrame) -> DataFrame:
     """The smallest node each linked node can reach: ``node``, ``root``.
 
@@ -336,14 +362,11 @@ def near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc
         F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"),
         F.first("signature").alias("signature")), "nodes")
     forest = plant(nodes.select("node", "signature"))
-    tried = written(first_candidates(forest), "candidates")
-    links = confirmed(tried, nodes, plain, percent)
+    links = confirmed(first_candidates(forest), nodes, plain, percent)
     roots = components(links)
-    rest = open_candidates(forest, roots).join(tried, ["a", "b"], "left_anti")
-    rest = written(rest, "candidates")
-    if not rest.isEmpty():
-        links = links.unionByName(confirmed(rest, nodes, plain, percent))
-        roots = components(links)
+    across = links_across(forest, roots, nodes, plain, percent)
+    if not across.isEmpty():
+        roots = components(links.unionByName(across))
     named = nodes.select("node", "first_id").join(roots, "node", "left").withColumn(
         "root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("first_id").alias("_least"))
