@@ -13,9 +13,18 @@ from pyspark.sql import functions as F
 from imgaudit.session import configure, shared_dir
 
 
+ARROW_BYTES = "8m"  # of a batch that is passed to Python
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session with small Arrow batches, as the operators' arrays are some times larger."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+    return configure(spark)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A whole Parquet table, through Spark's own reader, so any Hadoop path works."""
-    return configure(spark).read.parquet(f"{folder}/{name}.parquet")
+    return prepared(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -37,7 +37,7 @@ SAMPLE, LONGEST = 1500, 20_000
 TOXIC_LANDMARKS, CLEAN_LANDMARKS = 160, 96
 WITNESSES, NEGATIVES, ROUNDS, PENALTY = 3, 6000, 4, 2.0
 COPIES = 4  # of each witness with a letter put in, so that the machine learns to bear it
-STRETCHED = 0.3  # weight of such words in the calibration, against that of all toxic texts
+STRETCHED = 0.1  # weight of such words in the calibration, against that of all toxic texts
 SPELLED = 4  # single letters in a row that read as one word
 THRESHOLD = 0.7
 LETTERS = 64
@@ -107,6 +107,20 @@ def read_words(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(marked, bounds, row)
 
 
+def read_texts(texts: list[bytes], block: int = 200) -> Words:
+    """The words of many texts, read some texts at a time."""
+    parts = []
+    for at in range(0, len(texts), block):
+        some = texts[at:at + block]
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in some])])
+        part = read_words(np.frombuffer(b"".join(some), np.uint8), offsets)
+        parts.append(Words(part.letters, part.bounds, part.row + at))
+    starts = np.cumsum([0] + [len(p.letters) for p in parts])
+    bounds = [p.bounds[:-1] + start for p, start in zip(parts, starts)]
+    return Words(np.concatenate([p.letters for p in parts]), np.concatenate([*bounds, starts[-1:]]),
+                 np.concatenate([p.row for p in parts]))
+
+
 def triples(found: Words) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
     """For every pair of offsets: word, code and weight of the triples that fit into a word."""
     word = np.repeat(np.arange(len(found.bounds) - 1), np.diff(found.bounds))
@@ -249,11 +263,10 @@ def learn(texts: list[tuple[bytes, int]], counts: dict) -> Model:
     if not (label == 1).any() or not (label == 0).any():
         certain = 0.0 if not (label == 1).any() else 1.0
         return Model(np.zeros(LETTERS ** 3, np.float32), 0.0, np.inf if certain else -np.inf, 0.0)
-    offsets = np.concatenate([[0], np.cumsum([len(t) for t, _ in texts])])
-    found = read_words(np.frombuffer(b"".join(t for t, _ in texts), np.uint8), offsets)
+    found = read_texts([t for t, _ in texts])
     _, kind = found.distinct()
     first = np.unique(kind, return_index=True)[1]
-    pairs = np.unique(np.stack([kind, found.row]), axis=1)
+    pairs = np.stack(np.divmod(np.unique(kind * len(texts) + found.row), len(texts)))
     toxic = label[pairs[1]] == 1
     n = len(first)
     in_toxic = np.bincount(pairs[0][toxic], minlength=n)
@@ -363,7 +376,7 @@ def score_rows(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarra
 def _text_scores(model: Model, column: pa.Array) -> np.ndarray:
     body = column.cast(pa.binary()).fill_null(b"")
     batch = pa.RecordBatch.from_arrays([body], ["body"])
-    parts = [score_rows(model, *flat_bytes(part["body"])) for part in slices(batch, "body", 4 << 20)]
+    parts = [score_rows(model, *flat_bytes(part["body"])) for part in slices(batch, "body", 1 << 20)]
     return np.concatenate(parts) if parts else np.zeros(0)
 
 
