@@ -5,8 +5,8 @@ curve, nodes are projected on other random directions, cut into cells of equal s
 the cuts shifted, and put in the order of the Hilbert curve through the cells. Spark ranks
 each order and cuts it into blocks. A query looks at its own block and its neighbours on
 every curve, measures exact distances there and merges the nearest. Its windows then double
-on all curves until one more doubling brings at most ``SETTLED`` new ones among its nearest,
-so vectors with close neighbours stop early and vectors without any go on, at last over all
+on all curves until ``QUIET`` doublings in a row bring nothing new among its nearest, so
+vectors with close neighbours stop early and vectors without any go on, at last over all
 blocks. A task merges what it finds for a query over all its blocks before it is shuffled.
 
 The projections' cuts come from ``SAMPLE`` nodes, those with the smallest digests; every
@@ -33,7 +33,7 @@ from imgaudit.llm.common import flat_bytes, written
 from imgaudit.operators.ranking import with_position
 
 CURVES, DIMENSIONS, BITS, BLOCK = 16, 8, 4, 512
-SAMPLE, SETTLED = 4096, 1
+SAMPLE, QUIET = 4096, 2
 HELD = 200_000  # found rows that a task holds before it merges them
 
 
@@ -174,7 +174,8 @@ def neighbours(embeddings: DataFrame, k: int = 10, every: int = 100, vec_id: str
     if nodes.isEmpty():
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     placed, blocks = index_blocks(nodes, number, curves, dimensions, bits, block)
-    open_ = written(asked.select("node").distinct().join(nodes.select("node", "vector"), "node"), "queries")
+    open_ = asked.select("node").distinct().join(nodes.select("node", "vector"), "node")
+    open_ = written(open_.withColumn("quiet", F.lit(0)), "queries")
     at = placed.join(open_.select("node"), "node")
     at = written(at.select("node", "curve", F.col("block").alias("home")), "homes")
     last = blocks.agg(F.max("block")).first()[0]
@@ -231,8 +232,9 @@ def neighbours(embeddings: DataFrame, k: int = 10, every: int = 100, vec_id: str
         if reach >= last:
             break
         changed = ranked.groupBy(F.col("query").alias("node")).agg(F.count_if("new").alias("n"))
-        changed = changed.filter(F.col("n") > SETTLED).select("node")
-        open_ = written(open_.join(changed, "node", "left_semi"), "queries")
+        quiet = F.when(F.col("n") > 0, 0).otherwise(F.col("quiet") + 1)
+        open_ = open_.join(changed, "node").select("node", "vector", quiet.alias("quiet"))
+        open_ = written(open_.filter(F.col("quiet") < QUIET), "queries")
         if open_.isEmpty():
             break
     listed = best.join(nodes.select("node", "ids"), "node").select(

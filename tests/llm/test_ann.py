@@ -70,6 +70,16 @@ def test_recall_over_blocks(spark):
     assert hits / len(want) >= 0.9
 
 
+def test_recall_of_scattered_vectors(spark):
+    """Random directions, many small blocks: a search goes on while doublings bring new ones."""
+    rng = np.random.default_rng(5)
+    vectors = rng.standard_normal((4000, 24)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    got, want = found(op.neighbours(table(spark, rows), curves=4, block=8)), brute_force(rows)
+    ids = {q: {got[q, n][0] for n in range(1, 11)} for q in {q for q, _ in got}}
+    assert sum(want[q, n][0] in ids[q] for q, n in want) / len(want) >= 0.99
+
+
 @pytest.mark.parametrize("dimensions, bits", [(1, 5), (2, 4), (3, 3), (5, 2)])
 def test_hilbert_curve(dimensions, bits):
     """The curve visits every cell once and moves by one cell at a time."""
