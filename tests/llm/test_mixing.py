@@ -96,3 +96,40 @@ def test_in_order_keeps_rows(documents):
     assert sorted(r.doc_id for r in got) == list(range(200))
     places = {r.doc_id: r.place for r in op.mixed(df, {"hot": 1, "cold": 1}).collect()}
     assert [places[r.doc_id] for r in got] == sorted(places.values())
+
+
+def on_time(found, weights):
+    """Every block in the mix lies in the window of the unrounded weights."""
+    exact = {name: Fraction(w) for name, w in weights.items()}
+    total = sum(exact.values())
+    for name, block, slot in found:
+        share = exact[name] / total
+        assert block < share * (slot + 1) and share * slot < block + 1
+
+
+@pytest.mark.parametrize("weights, blocks", [
+    ({f"s{i}": (10_000 / i) ** 0.7 for i in range(1, 21)}, {f"s{i}": 10_000 // i for i in range(1, 21)}),
+    ({"a": 1.0, "b": 0.0001}, {"a": 20_000, "b": 2}),
+    ({i: (1200 / (i + 1)) ** 0.7 for i in range(1200)}, {i: 1200 // (i + 1) for i in range(1200)}),
+])
+def test_unrounded_weights(weights, blocks):
+    whole = op.whole_weights(weights)
+    plan = list(op.exact_schedule(whole, blocks))
+    on_time(plan, weights)
+    assert len({slot for *_, slot in plan}) == len(plan) == sum(blocks.values()) + len(blocks)
+    slots = op.whole_slots(weights, op.PERIOD)
+    assert not op.keeps_windows(op.schedule(slots), slots, whole, blocks)
+
+
+def test_more_sources_than_slots(documents):
+    rows = [(i, "t", "hot") for i in range(800)] + [(1000 + i, "t", f"s{i}") for i in range(1200)]
+    found = op.mixed(documents(rows)).collect()
+    assert len(found) == len(rows) and len({r.place for r in found}) == len(rows)
+    on_time({(r.source, r.block, r.slot) for r in found}, op.tempered(Counter(r[2] for r in rows), 0.7))
+
+
+def test_rare_source(documents):
+    """A source below one slot of the period is not raised, so the mix does not end early."""
+    rows = [(i, "t", "a") for i in range(32_000)] + [(40_000, "t", "b")]
+    found = op.mixed(documents(rows), {"a": 1.0, "b": 0.0001}).collect()
+    assert all(r.in_mix for r in found if r.source == "a")
