@@ -10,7 +10,8 @@ window more. Blocks never leave their task, so nothing is shuffled and memory is
 
 Defined cases: a null or empty text is the end id alone; an empty table gives no rows; ties
 between partial partitions go to the older one; repeated rows are packed as often as they
-occur; a null id is carried through; other columns are not read.
+occur; the end text ``<|endoftext|>`` in a text is spelled out in ordinary ids, or with
+``special`` is the vocabulary's one id for it; a null id is carried through; other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import base64
 import heapq
 import zlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -32,25 +33,30 @@ WINDOWS = 64
 PIECE = 128
 SLACK = 4
 END = 0
+SPECIAL = {"<|endoftext|>": 50256}
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
 
 
 @cache
-def encoder(vocabulary: str):
-    """The byte-level vocabulary: a tokenizers file, or the same ranks for tiktoken."""
+def encoder(vocabulary: str, special: bool = False):
+    """The byte-level vocabulary: a tokenizers file, or the same ranks for tiktoken.
+
+    ``special`` takes a special token's text as its id, as tokenizers does by default.
+    """
     if vocabulary.endswith(".tiktoken"):
         import public_tokenizers
         import tiktoken
 
         with open(vocabulary, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        return tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN,
-                                 mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        encoding = tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
+                                     special_tokens=SPECIAL if special else {})
+        return partial(encoding.encode, allowed_special="all") if special else encoding.encode_ordinary
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(vocabulary)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = not special
     return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
 
@@ -99,12 +105,12 @@ def fit(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def pack(documents: DataFrame, vocabulary: str, text: str = "text", doc_id: str = "doc_id",
-         length: int = LENGTH, windows: int = WINDOWS, piece: int = PIECE) -> DataFrame:
+         length: int = LENGTH, windows: int = WINDOWS, piece: int = PIECE, special: bool = False) -> DataFrame:
     """One row per piece: where it lies in its document and in which sequence, at what offset."""
     room = windows * (length - SLACK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary)
+        encode = encoder(vocabulary, special)
         sequence = TaskContext.get().partitionId() << 40
         waiting, held, out = [], 0, []
 

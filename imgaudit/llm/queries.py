@@ -53,7 +53,7 @@ def op5_lsh_forest_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op6_karmarkar_karp_packing(spark: SparkSession, folder: str) -> DataFrame:
     # the rank file holds the same vocabulary and encodes several times faster
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return packing.pack(table(spark, folder, "documents"), vocabulary)
+    return packing.pack(table(spark, folder, "documents"), vocabulary, special=True)
 
 
 @query("""

@@ -8,7 +8,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from imgaudit.llm import packing as op
+from imgaudit.llm import queries
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -72,6 +74,21 @@ def test_same_ids_from_either_file(documents, reference):
     assert plain == op.pack(documents(rows), RANKS).collect()
 
 
+@pytest.mark.parametrize("stage", ["query", "pipeline"])
+def test_special_text_is_one_id(spark, documents, tmp_path, stage):
+    """As Tokenizer.from_file(...).encode(text, add_special_tokens=False) gives it by default."""
+    texts = ["<|endoftext|>", "a<|endoftext|>b", "a <|endoftext|> b", "<|endoftext|><|endoftext|>\n", " x  <|endoftext|>",
+             "<|endoftext|", "<|EndOfText|>", "it's  <|endoftext|>'s\n\n<|endoftext|>\n y", "é<|endoftext|>🙂  "]
+    rows = list(enumerate(texts))
+    if stage == "query":
+        documents(rows).write.parquet(f"{tmp_path}/documents.parquet")
+        found = queries.op6_karmarkar_karp_packing(spark, str(tmp_path)).collect()
+    else:
+        found = corpus_pipeline.as_sequences(spark, documents(rows), str(tmp_path)).collect()
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    check(rows, found, lambda text: [*tokenizer.encode(text, add_special_tokens=False).ids, 0])
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(1, 100), max_size=60), st.integers(100, 300))
 def test_fit(sizes, capacity):
