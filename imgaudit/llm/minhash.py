@@ -10,7 +10,8 @@ Candidates of the first round are neighbours in an order, which have the longest
 prefixes, and the leader of the region; pairs whose signatures agree too little are left
 out. Links are confirmed on full sets. The second round takes every region whose nodes are
 still in several components, with their sets and in blocks: a node outside the region's main
-component is compared with all others, inside the tasks and without a row per pair. So no
+component is compared with all others, inside the tasks and without a row per pair. Both
+sides are cut into chunks, and a block is a pair of chunks, whatever the region holds. So no
 link of a region is missed, however large it is, while a crowded group of near copies is
 mostly one component after the first round and costs little in the second.
 
@@ -36,6 +37,7 @@ SHINGLE = 5
 HASHES, TREES, DEPTH = 64, 16, 4
 DEEPER = (8, 16, 32, 64)
 REGION = 2048
+HELD = 1 << 22  # shingle holders that a task opens at a time
 NEIGHBOURS = 2
 LEAST_AGREEING = 40  # of 64; a pair at the 0.85 threshold has fewer with probability 1e-4
 FACTORS = mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -204,20 +206,28 @@ def _across(percent: int):
 
     def links(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         _, root = np.unique(np.array(rows["root"].to_pylist(), object), return_inverse=True)
-        main = np.argmax(np.bincount(root))  # its members are only partners
+        side = np.array(rows["side"])
         data, offsets = flat_bytes(rows["body"])
         shingle, offsets = data.view(np.uint64), offsets // 8
         size = np.diff(offsets)
         order = np.argsort(shingle)
         holder = np.repeat(np.arange(len(size)), size)[order]
         ordered = shingle[order]
-        for i in np.flatnonzero(root != main):
+        for i in np.flatnonzero(side != 1):
+            partners = (side == 1) | ((side == 2) & (side[i] == 2) & (np.arange(len(side)) > i))
+            partners &= (root != root[i]) & (
+                100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i]))
+            if not partners.any():
+                continue
             own = shingle[offsets[i]:offsets[i + 1]]
             low = np.searchsorted(ordered, own, "left")
             count = np.searchsorted(ordered, own, "right") - low
-            held = holder[np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())]
-            same = np.bincount(held, minlength=len(size))
-            linked = (100 * same >= percent * (size[i] + size - same)) & (root != root[i])
+            same, step = np.zeros(len(size), np.int64), max(1, HELD // len(size))
+            for at in range(0, len(own), step):
+                first, n = low[at:at + step], count[at:at + step]
+                held = holder[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                same += np.bincount(held, minlength=len(size))
+            linked = (100 * same >= percent * (size[i] + size - same)) & partners
             if linked.any():  # one per component is enough to join them
                 partner = np.flatnonzero(linked)
                 partner = partner[np.unique(root[partner], return_index=True)[1]]
@@ -303,8 +313,9 @@ def links_across(forest: DataFrame, roots: DataFrame, nodes: DataFrame, document
                  percent: int) -> DataFrame:
     """Links between components, found in every region that still holds several.
 
-    Regions are cut into blocks; a node outside the region's main component goes into all
-    blocks of its region, any other node into one, so each such pair meets in some block.
+    The region's main component and the nodes outside of it are cut into chunks. A block holds
+    two chunks outside, or one outside and one of the main component, so each such pair meets
+    in one block. Side 0 meets side 1; side 2 meets side 1 and itself.
     Regions in which the first round looked at every pair need no second look.
     """
     width = partitions(forest.sparkSession)
@@ -313,18 +324,33 @@ def links_across(forest: DataFrame, roots: DataFrame, nodes: DataFrame, document
     shares = placed.groupBy("tree", "region", "root").agg(F.count(F.lit(1)).alias("n"))
     several = shares.groupBy("tree", "region").agg(
         F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("members"),
+        F.max("n").alias("most"),
         F.count(F.lit(1)).alias("roots")).filter(
         (F.col("roots") > 1) & (F.col("members") > NEIGHBOURS + 1)).drop("roots")
     open_ = written(placed.join(several, ["tree", "region"]), "open")
     sets = full_sets(open_.select("node"), nodes, documents)
-    blocks = F.ceil(F.col("members") / REGION).cast("int")
-    own = F.array(F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    at = F.explode(F.when(F.col("root") == F.col("main"), own).otherwise(
-        F.sequence(F.lit(0), blocks - 1)))
-    spread = open_.select("tree", "region", "node", "root", at.alias("at"))
-    blocked = spread.select(F.xxhash64("tree", "region", "at").alias("block"), "node", "root")
+    mains = F.greatest(F.ceil(F.col("most") / REGION), F.lit(1)).cast("int")
+    others = F.ceil((F.col("members") - F.col("most")) / REGION).cast("int")
+
+    def block(kind, i, j, side):
+        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
+
+    def numbers(count):
+        return F.sequence(F.lit(0), count - 1)
+
+    mine = F.pmod(F.xxhash64("node"), F.when(F.col("root") == F.col("main"), mains).otherwise(others)).cast("int")
+    own = F.col("mine")
+    as_main = F.transform(numbers(others), lambda k: block("main", k, own, F.lit(1)))
+    as_other = F.concat(
+        F.transform(numbers(mains), lambda m: block("main", own, m, F.when(m == 0, 2).otherwise(0))),
+        F.transform(F.filter(numbers(others), lambda k: k != own), lambda k: block(
+            "others", F.least(own, k), F.greatest(own, k), F.when(own < k, 0).otherwise(1))))
+    at = F.explode(F.when(F.col("root") == F.col("main"), as_main).otherwise(as_other))
+    spread = open_.withColumn("mine", mine).select("tree", "region", "node", "root", at.alias("at"))
+    blocked = spread.select(F.xxhash64("tree", "region", "at.kind", "at.i", "at.j").alias("block"),
+                            "node", "root", "at.side")
     return written(blocked.join(sets, "node").repartition(width, "block")
-                   .sortWithinPartitions("block", "node").select("block", "node", "root", "body")
+                   .sortWithinPartitions("block", "node").select("block", "node", "root", "side", "body")
                    .mapInArrow(_across(percent), PAIRS).distinct(), "links")
 
 

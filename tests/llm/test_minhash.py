@@ -83,6 +83,31 @@ def test_links_the_first_round_misses(documents, monkeypatch):
     assert sorted(map(tuple, found), key=repr) == brute_force(rows)
 
 
+def test_lookalikes_below_the_threshold(documents, monkeypatch):
+    """Many roots in one region: no block grows with the region, and no link is lost."""
+    region, across = 12, op._across
+    monkeypatch.setattr(op, "REGION", region)
+    monkeypatch.setattr(op, "DEPTH", 1)
+    monkeypatch.setattr(op, "NEIGHBOURS", 1)
+
+    def bounded(percent):
+        run = across(percent)
+
+        def counted(batches):
+            batches = list(batches)
+            _, rows = np.unique([b for batch in batches for b in batch["block"].to_pylist()], return_counts=True)
+            assert max(rows, default=0) <= 5 * region, "a block grows with its region"
+            yield from run(iter(batches))
+        return counted
+
+    monkeypatch.setattr(op, "_across", bounded)
+    words = prose(77, 200)
+    rows = [(i, changed(words, *range(i % 7, 200, 14 + i % 5)) + f" n{i} " + " ".join(prose(1000 + i // 2, 25)))
+            for i in range(200)]
+    found = op.near_duplicates(documents(rows))
+    assert sorted(map(tuple, found.collect()), key=repr) == brute_force(rows)
+
+
 def test_whole_table(small):
     rows = [(r.doc_id, r.text) for r in small("documents").collect()]
     found = op.near_duplicates(small("documents")).collect()
