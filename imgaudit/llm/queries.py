@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from imgaudit.llm import (
-    ann, exact_dedup, host_trust, minhash, mixing, packing, pii, suffix_dedup, toxicity, warc)
+    ann, exact_dedup, host_trust, minhash, mixing, packing, periodic_runs, pii, suffix_dedup,
+    toxicity, warc)
 from imgaudit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +81,8 @@ def op9_string_kernel_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 def op10_warc_dictionary(spark: SparkSession, folder: str) -> DataFrame:
     records = warc.archive_round_trip(table(spark, folder, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.run_digests(table(spark, folder, "documents"))
