@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from imgaudit.llm import (
-    ann, exact_dedup, host_trust, minhash, mixing, packing, periodic_runs, pii, suffix_dedup,
-    toxicity, warc)
+    ann, exact_dedup, host_trust, language, minhash, mixing, packing, periodic_runs, pii,
+    suffix_dedup, toxicity, warc)
 from imgaudit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,9 @@ def op10_warc_dictionary(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return periodic_runs.run_digests(table(spark, folder, "documents"))
+
+
+@query()
+def op13_language_families(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return language.identify(documents, language.fit(documents))

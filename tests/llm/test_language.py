@@ -1,0 +1,112 @@
+"""Languages on held-out rows, and the linear machines against plain sums."""
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from imgaudit.llm import language
+from imgaudit.llm.queries import QUERIES
+
+WORDS = {
+    "en": "the and house water which through thing weather would light night".split(),
+    "de": "der und haus wasser welche durch ding wetter würde licht nacht".split(),
+    "nl": "het en huis water welke door ding weer zou licht nachten zijn".split(),
+    "fr": "le et maison eau laquelle à travers chose temps lumière nuit".split(),
+    "es": "el y casa agua cual través cosa tiempo luz noche niño".split(),
+}
+
+
+def _rows(per=60, seed=0):
+    rng = random.Random(seed)
+    rows = []
+    for n in range(per):
+        for lang, words in WORDS.items():
+            rows.append((len(rows), " ".join(rng.choice(words) for _ in range(rng.randrange(3, 60))), lang))
+    return rows
+
+
+def _frame(spark, rows):
+    return spark.createDataFrame([(*r, "s", 0) for r in rows],
+                                 "doc_id long, text string, lang string, held_out string, score int")
+
+
+def test_held_out_languages(spark):
+    frame = _frame(spark, _rows())
+    got = language.identify(frame, language.fit(frame)).join(frame.select("doc_id", "lang"), "doc_id")
+    assert got.filter("held_out and lang_pred = lang").count() >= 0.97 * got.filter("held_out").count()
+    assert got.filter("score <= 0 or score > 1").isEmpty()
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    assert got.filter(crc != F.col("held_out")).isEmpty()
+
+
+def test_given_table(spark, small):
+    docs = small("documents")
+    got = QUERIES["op13_language_families"](spark, "/root/testdata/sf0.001")
+    assert got.dtypes == [("doc_id", "bigint"), ("held_out", "boolean"), ("lang_pred", "string"), ("score", "double")]
+    both = got.join(docs.select("doc_id", "lang"), "doc_id")
+    assert got.count() == docs.count()
+    held = both.filter("held_out")
+    assert held.filter("lang = lang_pred").count() >= 0.95 * held.count()
+
+
+def test_held_out_rows_do_not_matter(spark):
+    rows = _rows(30)
+    frame = _frame(spark, rows)
+    odd = frame.withColumn("lang", F.when(language.held_out(F.col("doc_id")), F.lit("xx")).otherwise(F.col("lang")))
+    assert language.sample(frame) == language.sample(odd)
+
+
+def test_odd_texts(spark):
+    rows = _rows(30) + [(1000, None, "en"), (1001, "", "en"), (1002, "12 + 3 == 15!", "de"), (None, "the water", "en"),
+                        (1003, "x", "en"), (1004, "İ", "fr"), (1005, "\U0001F600 \U00010400 日本", None),
+                        (3, "der und das", "de")]
+    frame = _frame(spark, rows)
+    got = language.identify(frame, language.fit(frame))
+    assert got.count() == len(rows)
+    found = {r.doc_id: r for r in got.collect()}
+    for key in (1000, 1001, 1002):
+        assert (found[key].lang_pred, found[key].score) == ("und", 0.0)
+    for key in (1003, 1004, 1005):
+        assert found[key].lang_pred in WORDS and 0 < found[key].score <= 1
+    assert found[None].lang_pred == "en" and found[None].held_out is False
+
+
+def test_long_text_and_order_do_not_matter(spark):
+    model = language.learn([(lang, text) for _, text, lang in _rows(40)])
+    long = " ".join(WORDS["nl"]) * 60_000
+    texts = ["le et maison", long, "", "der und haus"]
+    langs, scores = language.classify(model, texts)
+    assert langs == ["fr", "nl", "und", "de"]
+    for text, lang, score in zip(texts, langs, scores):
+        one, alone = language.classify(model, [text])
+        assert one == [lang] and alone[0] == pytest.approx(score, abs=1e-4)
+
+
+def test_margins_are_plain_means():
+    rng = np.random.default_rng(0)
+    weights, bias = rng.normal(size=(language.BUCKETS, 3)).astype(np.float32), np.array([0.5, 0, -1])
+    cuts = np.array([0, 5, 6, 1_500_000, 1_500_003, 2_100_000])
+    bucket = rng.integers(0, language.BUCKETS, cuts[-1])
+    got = language._margins(weights, bias, bucket, cuts)
+    for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        assert np.allclose(got[i], weights[bucket[a:b]].astype(float).mean(0) + bias, atol=1e-6)
+
+
+def test_few_languages(spark):
+    empty = _frame(spark, _rows(1)).filter("doc_id < 0")
+    model = language.fit(empty)
+    assert language.identify(empty, model).count() == 0
+    assert language.classify(model, ["some text"])[0] == ["und"]
+    one = language.learn([("fr", "le et maison"), ("fr", "la nuit")])
+    assert language.classify(one, ["eau", "7"])[0] == ["fr", "und"]
+    assert language.classify(one, ["eau"])[1][0] == 1.0
+    same = language.learn([("en", "abc"), ("de", "abc")])
+    assert language.classify(same, ["abc"])[0][0] in ("en", "de")
+
+
+def test_families():
+    assert language.family("en-GB") == language.family("DE") == "germanic"
+    assert language.family("fr_CA") == language.family("es") != language.family("xx")
+    assert language.family("xx") != language.family("yy")
