@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from imgaudit.llm import (
-    ann, exact_dedup, host_trust, language, minhash, mixing, packing, periodic_runs, pii,
-    suffix_dedup, toxicity, warc)
+    ann, conversations, exact_dedup, host_trust, language, minhash, mixing, packing, periodic_runs,
+    pii, suffix_dedup, toxicity, warc)
 from imgaudit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +83,11 @@ def op10_warc_dictionary(spark: SparkSession, folder: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query()
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.audits(conversations.damaged(table(spark, folder, "conversations")))
+
+
 @query()
 def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return periodic_runs.run_digests(table(spark, folder, "documents"))
