@@ -8,8 +8,8 @@ and emptiest window are merged, the fullest window of one with the emptiest of t
 until one is left. Should a window exceed the capacity, the block is packed again into one
 window more. Blocks never leave their task, so nothing is shuffled and memory is a block.
 
-Defined cases: a null or empty text is the end id alone; an empty table gives no rows; ties
-between partial partitions go to the older one; repeated rows are packed as often as they
+Defined cases: a null or empty text is the end id alone; a text of any length is encoded whole,
+in one task, also one of millions of blanks; an empty table gives no rows; ties partial partitions go to the older one; repeated rows are packed as often as they
 occur; the end text ``<|endoftext|>`` in a text is spelled out in ordinary ids, or with
 ``special`` is the vocabulary's one id for it; a null id is carried through; other columns are not read.
 """
@@ -18,9 +18,10 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
-from functools import cache, partial
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ PIECE = 128
 SLACK = 4
 END = 0
 SPECIAL = {"<|endoftext|>": 50256}
+# the tokenizer's pattern steps back through a run of white space and gives up on a very long one
+LONG_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
 
@@ -51,8 +54,8 @@ def encoder(vocabulary: str, special: bool = False):
         with open(vocabulary, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         encoding = tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
-                                     special_tokens=SPECIAL if special else {})
-        return partial(encoding.encode, allowed_special="all") if special else encoding.encode_ordinary
+                                     special_tokens={})
+        return lambda text: _encode(encoding, text, special)
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(vocabulary)
@@ -60,6 +63,27 @@ def encoder(vocabulary: str, special: bool = False):
     return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def _encode(encoding, text: str, special: bool) -> list[int]:
+    """Ids of a text; special texts are cut out first, and long runs of white space by hand.
+
+    The pattern takes such a run as one piece, but for its last character where more follows.
+    """
+    parts = re.split("(" + "|".join(map(re.escape, SPECIAL)) + ")", text) if special else [text]
+    ids = []
+    for part in parts:
+        if special and part in SPECIAL:
+            ids.append(SPECIAL[part])
+            continue
+        at = 0
+        for run in LONG_BLANK.finditer(part):
+            end = run.end() - (run.end() < len(part))
+            ids += encoding.encode_ordinary(part[at:run.start()])
+            ids += encoding._encode_single_piece(part[run.start():end].encode())
+            at = end
+        ids += encoding.encode_ordinary(part[at:])
+    return ids
+
+
 def differencing(sizes: list[int], windows: int) -> list[list[int]]:
     """Indices of ``sizes`` in each of ``windows`` groups of near-equal total.
 

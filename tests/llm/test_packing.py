@@ -89,6 +89,37 @@ def test_special_text_is_one_id(spark, documents, tmp_path, stage):
     check(rows, found, lambda text: [*tokenizer.encode(text, add_special_tokens=False).ids, 0])
 
 
+@pytest.mark.parametrize("text", [
+    " " * 2_000_000, "\n" * 2_000_000, "a" + " \n" * 1_000_000 + "b", " " * 1500 + "<|endoftext|>" + "\t" * 1500 + "x",
+    "x" + "\n" * 1000 + " y" + "\u3000" * 1001 + "é", " " * 999 + "!" + "\x1c" * 1200 + " ." + "\x85" * 1000 + "\xa0"])
+def test_long_blanks(text):
+    """As the named tokenizer gives them, with its defaults and with special texts spelled out."""
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for special in (True, False):
+        tokenizer.encode_special_tokens = not special
+        assert [*op.encoder(RANKS, special)(text)] == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_text_of_blanks_is_packed(documents):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = [(1, " " * 2_000_000), (2, "a" + "\r\n" * 1_000_000)]
+    found = op.pack(documents(rows), RANKS, special=True).collect()
+    check(rows, found, lambda text: [*tokenizer.encode(text, add_special_tokens=False).ids, 0])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(" \n\t\x1c\x85\u3000ab.1é", max_size=40))
+def test_short_runs_cut_by_hand(text):
+    """The cut gives the same ids at any length; here of runs from two characters on."""
+    import re
+    whole, op.LONG_BLANK = op.LONG_BLANK, re.compile(op.LONG_BLANK.pattern.replace("1000", "2"))
+    try:
+        by_hand = [*op.encoder(RANKS)(text)]
+    finally:
+        op.LONG_BLANK = whole
+    assert by_hand == [*op.encoder(RANKS)(text)]
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(1, 100), max_size=60), st.integers(100, 300))
 def test_fit(sizes, capacity):
