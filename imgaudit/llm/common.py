@@ -40,6 +40,32 @@ def as_bytes(text: str | Column) -> Column:
     return F.coalesce(text, F.lit("")).cast("binary")
 
 
+def aside(documents: DataFrame, *columns: str) -> tuple[DataFrame, list[str]]:
+    """The table under inner column names, which meet no others, and those of the given columns."""
+    names = [f"column_{i}" for i in range(len(documents.columns))]
+    return documents.toDF(*names), [names[documents.columns.index(c)] for c in columns]
+
+
+def rows_left(documents: DataFrame, dropped: DataFrame, repeated: DataFrame, text: str,
+              doc_id: str) -> DataFrame:
+    """The rows but for the dropped ones, and one of each of the repeated; all columns as they were.
+
+    Both tables name rows by ``doc_id`` and ``text_hash`` (xxhash64 of the text's bytes).
+    """
+    inner, (own_text, own_id) = aside(documents, text, doc_id)
+    inner = inner.withColumn("_row", F.struct(F.col(own_id).cast("long").alias("i"),
+                                              F.xxhash64(as_bytes(own_text)).alias("h")))
+    row = F.struct(F.col("doc_id").cast("long").alias("i"), F.col("text_hash").alias("h"))
+    dropped = written(dropped.select(row.alias("_gone")), "dropped")
+    left = inner.join(dropped, F.col("_row") == F.col("_gone"), "left_anti")
+    repeated = written(repeated.select(row.alias("_again")), "repeated")
+    if not repeated.isEmpty():
+        same = F.col("_row") == F.col("_again")
+        left = left.join(repeated, same, "left_anti").unionByName(
+            left.join(repeated, same, "left_semi").dropDuplicates(["_row"]))
+    return left.drop("_row").toDF(*documents.columns)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

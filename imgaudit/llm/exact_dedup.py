@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from imgaudit.llm.common import as_bytes, partitions, written
+from imgaudit.llm.common import as_bytes, partitions, rows_left, written
 
 ENTRY = "_key long, _text binary, _top long, _n long"
 BATCH_BYTES = 32 << 20
@@ -146,22 +146,29 @@ def build_index(documents: DataFrame, text: str = "text", doc_id: str = "doc_id"
     return written(chained.withColumn("_sha256", F.sha2("_text", 256)), "index")
 
 
-def exact_groups(documents: DataFrame, text: str = "text", doc_id: str = "doc_id",
-                 capacity: int = BATCH_BYTES) -> DataFrame:
-    """Per document: the id that stays for its text, the group's size, and the text's hash."""
+def _decided(documents: DataFrame, text: str, doc_id: str, capacity: int) -> DataFrame:
     index = build_index(documents, text, doc_id, capacity)
     body = as_bytes(text)
     narrow = documents.select(F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("_key"),
                               F.sha2(body, 256).alias("_sha256"))
     return narrow.join(index.drop("_text"), ["_key", "_sha256"]).select(
-        "doc_id", F.col("_top").alias("keep_id"), F.col("_n").alias("group_size"),
-        F.col("doc_id").eqNullSafe(F.col("_top")).alias("kept"),
+        "doc_id", F.col("_key").alias("text_hash"), F.col("_top").alias("keep_id"),
+        F.col("_n").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("_top")).alias("kept"),
         F.col("_sha256").alias("text_sha256"))
 
 
+def exact_groups(documents: DataFrame, text: str = "text", doc_id: str = "doc_id",
+                 capacity: int = BATCH_BYTES) -> DataFrame:
+    """Per document: the id that stays for its text, the group's size, and the text's hash."""
+    return _decided(documents, text, doc_id, capacity).drop("text_hash")
+
+
 def drop_copies(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The documents whose id stays; all columns as they were."""
-    dropped = exact_groups(documents, text, doc_id).filter(~F.col("kept")).select(
-        F.col("doc_id").alias("_dropped"))
-    dropped = written(dropped, "dropped")
-    return documents.join(dropped, F.col(doc_id).eqNullSafe(F.col("_dropped")), "left_anti")
+    """One row of every text, with the id that stays; all columns as they were.
+
+    Rows are told apart by id and text, so rows of other texts that share an id are not touched.
+    """
+    found = written(_decided(documents, text, doc_id, BATCH_BYTES).select(
+        "doc_id", "text_hash", "kept", "group_size").filter("group_size > 1"), "decided")
+    again = found.filter("kept").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    return rows_left(documents, found.filter("not kept"), again, text, doc_id)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from imgaudit.llm.common import (
-    as_bytes, flat_bytes, lower_ascii, mix, partitions, slices, span_hashes, words, written)
+    as_bytes, flat_bytes, lower_ascii, mix, partitions, rows_left, slices, span_hashes, words, written)
 
 SHINGLE = 5
 HASHES, TREES, DEPTH = 64, 16, 4
@@ -42,7 +42,7 @@ NEIGHBOURS = 2
 LEAST_AGREEING = 40  # of 64; a pair at the 0.85 threshold has fewer with probability 1e-4
 FACTORS = mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 
-SIGNED = "doc_id long, n_shingles long, node binary, signature binary"
+SIGNED = "doc_id long, text_hash long, n_shingles long, node binary, signature binary"
 PAIRS = "a binary, b binary"
 
 
@@ -103,7 +103,7 @@ def _sign_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for part in slices(batch, "body"):
             size, node, signature = sign(*shingle_sets(*flat_bytes(part["body"])), part.num_rows)
             yield pa.RecordBatch.from_arrays(
-                [part["doc_id"], pa.array(size, pa.int64()), _fixed(node), _fixed(signature)],
+                [part["doc_id"], part["text_hash"], pa.array(size, pa.int64()), _fixed(node), _fixed(signature)],
                 [c.split()[0] for c in SIGNED.split(", ")])
 
 
@@ -378,11 +378,11 @@ def components(links: DataFrame) -> DataFrame:
         roots = new.select("node", "root")
 
 
-def near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc_id",
-                    percent: int = 85) -> DataFrame:
-    """Per document: size of its set, smallest id of its component, and whether that is its own."""
+def _classes(documents: DataFrame, text: str, doc_id: str, percent: int) -> DataFrame:
+    """Per document: id, hash of its text, size of its set, root of its component, and least id there."""
     plain = documents.select(F.col(doc_id).cast("long").alias("doc_id"), as_bytes(text).alias("body"))
-    signed = written(plain.mapInArrow(_sign_batches, SIGNED), "signed")
+    hashed = plain.select("doc_id", F.xxhash64("body").alias("text_hash"), "body")
+    signed = written(hashed.mapInArrow(_sign_batches, SIGNED), "signed")
     linkable = signed.filter("n_shingles > 0 and doc_id is not null")
     nodes = written(linkable.groupBy("node").agg(
         F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"),
@@ -396,17 +396,33 @@ def near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc
     named = nodes.select("node", "first_id").join(roots, "node", "left").withColumn(
         "root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("first_id").alias("_least"))
-    found = named.join(least, "root").select(F.col("node").alias("_node"), "_least")
+    found = named.join(least, "root").select(F.col("node").alias("_node"), "root", "_least")
     joined = signed.join(found, (F.col("node") == F.col("_node")) & F.col("doc_id").isNotNull()
                          & (F.col("n_shingles") > 0), "left")
-    return joined.select("doc_id", "n_shingles",
+    return joined.select("doc_id", "text_hash", "n_shingles", "root",
                          F.coalesce("_least", "doc_id").alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc_id",
+                    percent: int = 85) -> DataFrame:
+    """Per document: size of its set, smallest id of its component, and whether that is its own."""
+    return _classes(documents, text, doc_id, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def drop_near_copies(documents: DataFrame, text: str = "text", doc_id: str = "doc_id",
                      percent: int = 85) -> DataFrame:
-    """One document of each component; all columns as they were."""
-    found = near_duplicates(documents, text, doc_id, percent)
-    dropped = written(found.filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped")), "dropped")
-    return documents.join(dropped, F.col(doc_id) == F.col("_dropped"), "left_anti")
+    """One document of each component; all columns as they were.
+
+    Rows are told apart by id and text. If several rows of a component have its least id, the
+    one with the least hash of its text stays; equal rows count as one.
+    """
+    found = written(_classes(documents, text, doc_id, percent).drop("n_shingles", "component_id"), "classes")
+    linked = found.filter("kept and root is not null")
+    several = linked.groupBy("root").agg(F.min("text_hash").alias("_least"), F.count(F.lit(1)).alias("_n")).filter(
+        "_n > 1").withColumnRenamed("root", "_root")
+    shared = linked.join(several, F.col("root") == F.col("_root"))
+    dropped = found.filter("not kept").unionByName(shared.filter("text_hash != _least").select(*found.columns))
+    again = shared.filter("text_hash = _least").groupBy("doc_id", "text_hash").agg(
+        F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    return rows_left(documents, dropped, again, text, doc_id)

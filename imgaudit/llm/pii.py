@@ -26,7 +26,7 @@ from functools import partial, reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from imgaudit.llm.common import written
+from imgaudit.llm.common import aside, written
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL, HOST = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
@@ -316,7 +316,8 @@ def redact(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     parsed = F.transform(F.filter(F.split("spans", ","), lambda s: s != ""), lambda s: F.struct(
         F.split(s, ":")[1].cast("int").alias("start"), F.split(s, ":")[2].cast("int").alias("end"),
         F.split(s, ":")[0].alias("kind")))
-    body = F.coalesce(F.col(text), F.lit(""))
+    inner, (own_text, own_id) = aside(documents, text, doc_id)
+    body = F.coalesce(F.col(own_text), F.lit(""))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(done, s):
@@ -328,5 +329,5 @@ def redact(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
     cut = F.aggregate(F.array_sort(parsed), start, step, lambda done: F.concat(
         done["out"], F.substring(body, done["at"] + 1, F.char_length(body))))
-    return documents.join(spans, F.col(doc_id).eqNullSafe(F.col("_id"))).withColumn(text, cut).drop(
-        "_id", "spans")
+    joined = inner.join(spans, F.col(own_id).eqNullSafe(F.col("_id"))).withColumn(own_text, cut)
+    return joined.drop("_id", "spans").toDF(*documents.columns)

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from imgaudit.llm.common import as_bytes, flat_bytes, mix, partitions, span_hashes
+from imgaudit.llm.common import as_bytes, aside, flat_bytes, mix, partitions, span_hashes
 
 LENGTH = 50
 GRAM = 24
@@ -478,9 +478,10 @@ def without_repeats(documents: DataFrame, text: str = "text", doc_id: str = "doc
     """Per document the text that stays; bytes of a code point that was cut show as U+FFFD."""
     spans = remove_repeats(documents, text, doc_id).select(
         F.col("doc_id").alias("_id"), "removed", "n_bytes")
+    inner, (own_text, own_id) = aside(documents, text, doc_id)
     starts = F.concat(F.array(F.lit(0).cast("long")), F.col("removed.end"))
     ends = F.concat(F.col("removed.start"), F.array("n_bytes"))
-    kept = F.zip_with(starts, ends, lambda a, b: F.substring(as_bytes(text), a + 1, b - a))
-    return documents.join(spans, F.col(doc_id).eqNullSafe(F.col("_id"))).withColumn(
-        text, F.make_valid_utf8(F.unhex(F.array_join(F.transform(kept, F.hex), "")).cast("string"))).drop(
-        "_id", "removed", "n_bytes")
+    kept = F.zip_with(starts, ends, lambda a, b: F.substring(as_bytes(own_text), a + 1, b - a))
+    joined = inner.join(spans, F.col(own_id).eqNullSafe(F.col("_id"))).withColumn(
+        own_text, F.make_valid_utf8(F.unhex(F.array_join(F.transform(kept, F.hex), "")).cast("string")))
+    return joined.drop("_id", "removed", "n_bytes").toDF(*documents.columns)
