@@ -242,3 +242,53 @@ def test_cover_join(spark):
     with pytest.raises(ValueError):
         lookups.cover_join(spark.createDataFrame(images, schema.format("image")),
                            spark.createDataFrame(boxes, schema.format("box_id")), "page", 0.4)
+
+
+def test_cover_join_of_very_different_sizes(spark):
+    """Boxes of 8 to 100,000 pixels: at most four rows per box, and no pair is lost."""
+    rng = random.Random(6)
+
+    def some(n, sides):
+        out = []
+        for i in range(n):
+            w, h = rng.choice(sides), rng.choice(sides)
+            x, y = rng.choice([-w, 0, 64, rng.uniform(-500, 500)]), rng.choice([0.0, -8, rng.uniform(-500, 500)])
+            out.append((i, rng.choice(["p", "q", "r"]), float(x), float(y), float(x + w), float(y + h)))
+        return out
+
+    sides = [1, 1.5, 8, 9, 16, 64, 100, 1000, 1024, 20_000, 100_000, 65_536.5]
+    images, boxes = some(300, sides[:9]), some(600, sides) + [(900, "p", 0.0, 0.0, 0.5, 9.0)]
+    odd = [(901, "p", 0.0, 0.0, float("inf"), 5.0), (902, "p", float("nan"), 0.0, 9.0, 9.0), (903, None, 0.0, 0.0, 9.0, 9.0)]
+    schema = "{} int, page string, x0 double, y0 double, x1 double, y1 double"
+    frame = spark.createDataFrame(boxes + odd, schema.format("box_id"))
+    cells = lookups.box_cells(frame, "page")
+    assert cells.groupBy("box_id").count().agg({"count": "max"}).first()[0] <= 4
+    for share in (0.6, 0.8, 1.0):
+        found = lookups.cover_join(spark.createDataFrame(images + odd[:2], schema.format("image")), frame, "page", share)
+
+        def covers(a, b):
+            wide = max(0, min(a[4], b[4]) - max(a[2], b[2]))
+            high = max(0, min(a[5], b[5]) - max(a[3], b[3]))
+            return b[4] - b[2] >= 1 and wide * high >= (a[4] - a[2]) * (a[5] - a[3]) * share
+
+        want = [(a[0], b[0]) for a in images for b in boxes if a[1] == b[1] and covers(a, b)]
+        assert sorted((r.image, r.box_id) for r in found.collect()) == sorted(want) and len(want) > 500
+
+
+def test_cover_join_with_one_page_sized_box(spark):
+    """One box of 100,000 pixels among small ones makes four rows, not one per small cell."""
+    small = [(i, "p", i % 50 * 8, i // 50 * 8, i % 50 * 8 + 8, i // 50 * 8 + 8) for i in range(2000)]
+    schema = "{} int, page string, x0 int, y0 int, x1 int, y1 int"
+    frame = spark.createDataFrame(small + [(9999, "p", 0, 0, 100_000, 100_000)], schema.format("box_id"))
+    assert lookups.box_cells(frame, "page").filter("box_id = 9999").count() <= 4
+    assert lookups.box_cells(frame, "page").count() <= 4 * 2001
+    images = spark.createDataFrame(small[:100], schema.format("image"))
+    found = lookups.cover_join(images, frame, "page").collect()
+    assert sorted((r.image, r.box_id) for r in found) == sorted(
+        [(i, i) for i in range(100)] + [(i, 9999) for i in range(100)])
+
+
+def test_cover_join_of_empty_tables(spark):
+    schema = "{} int, page string, x0 int, y0 int, x1 int, y1 int"
+    images, boxes = (spark.createDataFrame([], schema.format(c)) for c in ("image", "box_id"))
+    assert lookups.cover_join(images, boxes, "page").count() == 0
