@@ -25,6 +25,7 @@ from imgaudit.operators.ranking import (
     with_position,
     within_edge,
 )
+from imgaudit.operators.row_fetch import fetch
 from imgaudit.session import stored
 
 def _lookup(table: Mapping[str, object], key: ColumnLike, default) -> Column:
@@ -73,20 +74,27 @@ def capped_corpus(df: DataFrame, order, cap: int | Mapping[str, int], real_cap:
     })
 
 
+def _addresses(address: tuple[str, str] | None) -> list[Column]:
+    return [] if address is None else [F.col(c).alias(name) for c, name in zip(address, ("_at_file", "_at_row"))]
+
+
 def stride_sample(df: DataFrame, stride: int | Mapping[str, int], order,
-                  source: str = "source", default: int = 1,
-                  needs: str | None = None) -> DataFrame:
+                  source: str = "source", default: int = 1, needs: str | None = None,
+                  address: tuple[str, str] | None = None) -> DataFrame:
     """Positions 0, s, 2s, ... of every source.
 
     Rows without a payload hold positions too, unless ``needs`` names the column that must
     not be null, as the picked image of a pair. Positions are taken on the source and the
-    order alone; the wide rows only pass a semi-join with what was kept.
+    order alone. With ``address``, the columns of a row's file and number in it, wide rows
+    are filtered where they are read; without, they pass a semi-join with what was kept.
     """
     df = df if needs is None else df.filter(F.col(needs).isNotNull())
     step = F.lit(stride) if isinstance(stride, int) else _lookup(stride, source, default)
-    narrow = df.select(source, order_value(order).alias("_order"))
-    kept = with_position(narrow, "_order", [source]).filter(
-        F.pmod(F.col("position"), step) == 0).select(source, "_order")
+    narrow = df.select(source, order_value(order).alias("_order"), *_addresses(address))
+    kept = with_position(narrow, "_order", [source]).filter(F.pmod(F.col("position"), step) == 0)
+    if address is not None:
+        return fetch(df, kept.select(F.col("_at_file").alias(address[0]), F.col("_at_row").alias(address[1])), address)
+    kept = kept.select(source, "_order")
     return null_safe_join(df.withColumn("_order", order_value(order)), kept,
                           [source, "_order"], "left_semi").drop("_order")
 
@@ -152,13 +160,14 @@ class Spec:
 
 
 def curate_sources(df: DataFrame, specs: Mapping[str, Spec], order, payload: str,
-                   source: str = "source",
-                   sides: Sequence[tuple[ColumnLike, ColumnLike]] = ()) -> DataFrame:
+                   source: str = "source", sides: Sequence[tuple[ColumnLike, ColumnLike]] = (),
+                   address: tuple[str, str] | None = None) -> DataFrame:
     """Curate many sources at once: filter, stride, drop rows without a payload, cap, hold out.
 
     ``sides`` are the (image, model) columns of pair rows. All choices are made on the
-    source, the order and whether there is a payload; the picked rows, at most the sum of
-    the caps, then find their payloads by one join.
+    source, the order and whether there is a payload. With ``address``, the columns of a
+    row's file and number in it, the picked rows are then taken where they are read; without,
+    they find their payloads by one join.
     """
     counts, image = F.lit(False), F.col(payload)
     for name, spec in specs.items():
@@ -171,14 +180,17 @@ def curate_sources(df: DataFrame, specs: Mapping[str, Spec], order, payload: str
     wanted = df.filter(F.col(source).isin(list(specs)) & counts).withColumn(payload, image)
     wanted = wanted.filter(~F.col(source).isin(pairs) | F.col(payload).isNotNull())
     narrow = wanted.select(source, order_value(order).alias("_order"),
-                           F.col(payload).isNotNull().alias("_has"))
+                           F.col(payload).isNotNull().alias("_has"), *_addresses(address))
     step = _lookup({k: s.stride for k, s in specs.items()}, source, 1)
     strided = with_position(narrow, "_order", [source]).filter(
-        (F.pmod(F.col("position"), step) == 0) & F.col("_has")).select(source, "_order")
+        (F.pmod(F.col("position"), step) == 0) & F.col("_has")).drop("_has", "position")
     caps = {k: s.train + s.holdout for k, s in specs.items()}
     capped = stored(first_n(stored(strided, "strided"), "_order", _lookup(caps, source, 0),
                             [source]), "curated")
     picked = tail_holdout(capped, {k: s.holdout for k, s in specs.items()}, "_order", source)
+    if address is not None:
+        return fetch(wanted, picked.select(F.col("_at_file").alias(address[0]), F.col("_at_row").alias(address[1]),
+                                           "split"), address)
     picked = picked.withColumnsRenamed({source: "_source", "_order": "_at"})
     same = (F.col(source) == F.col("_source")) & (order_value(order) == F.col("_at"))
     return wanted.join(picked, same).drop("_source", "_at")

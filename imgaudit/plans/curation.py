@@ -93,8 +93,8 @@ def group_report(t: Tables) -> DataFrame:
         FROM (SELECT ord, coalesce(model, 'none') AS source FROM shards))
     WHERE (rn - 1) % 7 = 0"""))
 def stride_sample(t: Tables) -> DataFrame:
-    named = views.shards(t).select("ord", F.coalesce("model", F.lit("none")).alias("source"))
-    return sampling.stride_sample(named, 7, "ord")
+    named = views.shard_rows(t).select("ord", F.coalesce("model", F.lit("none")).alias("source"), *views.ADDRESS)
+    return sampling.stride_sample(named, 7, "ord", address=views.ADDRESS).select("ord", "source")
 
 
 @query(sql("scores", """
@@ -199,13 +199,14 @@ _CAPTION = "th|en"
     FROM tailed"""))
 def curate_sources(t: Tables) -> DataFrame:
     """Sources of all kinds: plain, by caption, by date (here the file's number), and pairs."""
-    named = views.shards(t).withColumn("source", F.col("model")).withColumn("image", F.col("payload"))
+    named = views.shard_rows(t).withColumn("source", F.col("model")).withColumn("image", F.col("payload"))
     specs = {"org/src2": sampling.Spec(1, 30, 6),
              "org/src5": sampling.Spec(2, 20, 9, where=labels.text_match("payload", _CAPTION)),
              "org/src8": sampling.Spec(3, 100, 50, where=F.col("file").rlike("000[0-3]")),
              "org/src11": sampling.Spec(2, 40, 5, pair="recraft")}
     curated = sampling.curate_sources(named, specs, "ord", "image",
-                                      sides=[("payload", "model1"), ("file", "model2")])
+                                      sides=[("payload", "model1"), ("file", "model2")],
+                                      address=views.ADDRESS)
     return curated.select("ord", "source", F.md5("image").alias("image"), "split")
 
 

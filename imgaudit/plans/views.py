@@ -92,6 +92,15 @@ def shards(t: Tables) -> DataFrame:
     return t.documents.selectExpr(*_SHARDS)
 
 
+ADDRESS = ("stored_file", "stored_row")
+
+
+def shard_rows(t: Tables) -> DataFrame:
+    """The shards with the file that a row is read from and its number there."""
+    return t.documents.select("*", F.col("_metadata.file_path").alias(ADDRESS[0]),
+                              F.col("_metadata.row_index").alias(ADDRESS[1])).selectExpr(*_SHARDS, *ADDRESS)
+
+
 def cache(t: Tables) -> DataFrame:
     return t.pages.filter("page_id % 2 = 0").selectExpr(*_CACHE)
 
