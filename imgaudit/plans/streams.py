@@ -14,7 +14,7 @@ from imgaudit.plans.evidence import MINED
 from imgaudit.plans.registry import Tables, query, rounded
 from imgaudit.plans.views import sql
 from imgaudit.session import shared_dir
-from imgaudit.streaming import sinks, verdicts
+from imgaudit.streaming import sinks, stateful, verdicts
 
 
 def _event_stream(t: Tables) -> DataFrame:
@@ -69,6 +69,55 @@ def stream_retry(t: Tables) -> DataFrame:
     return retries.read(t.spark).select("event_id", "failures", "decision")
 
 
+@query(sql("verdict_events", """
+    runs AS (SELECT page, url, event_id, ts, error, sum(CASE WHEN error IS NULL THEN 1 ELSE 0 END) OVER (
+        PARTITION BY page, url ORDER BY event_id) AS run FROM verdict_events),
+    counted AS (SELECT *, sum(CASE WHEN error = 'fetch 503' THEN 1 ELSE 0 END) OVER (
+        PARTITION BY page, url, run ORDER BY event_id) AS failures,
+        row_number() OVER (PARTITION BY page, url ORDER BY event_id DESC) AS age FROM runs),
+    decided AS (SELECT *, CASE WHEN error IS NULL THEN 'ok' WHEN error = 'too-small' THEN 'never'
+        WHEN failures <= 3 THEN 'retry' ELSE 'give-up' END AS decision FROM counted)
+    SELECT event_id, CAST(failures AS BIGINT) AS failures, decision FROM decided
+    UNION ALL SELECT event_id, CAST(failures AS BIGINT), 'due' FROM decided
+    WHERE age = 1 AND decision = 'retry' AND epoch_ms(ts) + 3000 * failures
+        < (SELECT max(epoch_ms(ts)) FROM verdict_events)"""))
+def stream_due_retries(t: Tables) -> DataFrame:
+    """Decisions, and the retries that fall due by the events' own clock before their end."""
+    found = stateful.retries(_event_stream(t), clock="event", forget="3650 days")
+    return _run(t, "stream-due", found.select("event_id", "failures", "decision"),
+                "event_id long, failures long, decision string").drop("batch")
+
+
+_IN_FLIGHT = 900  # events between a request and its result
+
+
+@query(sql("verdict_events", f"""
+    after AS (SELECT a.event_id, min(b.event_id) AS following FROM verdict_events a
+        LEFT JOIN verdict_events b ON a.url = b.url AND b.event_id > a.event_id + {_IN_FLIGHT} GROUP BY ALL),
+    granted AS (SELECT e.event_id, e.url, e.error, e.score, n.following FROM verdict_events e
+        JOIN after n ON e.event_id = n.event_id),
+    leases AS (SELECT * FROM granted WHERE event_id IN (SELECT min(event_id) FROM verdict_events GROUP BY url)
+        UNION ALL SELECT g.* FROM leases l JOIN granted g ON g.event_id = l.following WHERE l.error IS NOT NULL),
+    owned AS (SELECT e.event_id, max(l.event_id) AS lease FROM verdict_events e
+        JOIN leases l ON l.url = e.url AND l.event_id <= e.event_id GROUP BY ALL)
+    SELECT o.event_id, CASE WHEN o.event_id = o.lease THEN 'infer'
+        WHEN o.event_id <= o.lease + {_IN_FLIGHT} THEN 'joined' ELSE 'cached' END AS action, o.lease,
+        round(CASE WHEN o.event_id > o.lease + {_IN_FLIGHT} THEN l.score END, 6) AS score
+    FROM owned o JOIN leases l ON l.event_id = o.lease
+    UNION ALL SELECT event_id, CASE WHEN error IS NULL THEN 'done' ELSE 'failed' END, event_id,
+        round(score, 6) FROM leases""").replace("WITH ", "WITH RECURSIVE ", 1))
+def stream_leases(t: Tables) -> DataFrame:
+    """Every event asks; its result, if it is the one that infers, comes some events later."""
+    events = _event_stream(t).withColumn("id", F.col("event_id"))
+    asked = events.select("url", "id", "ts", (F.col("id") * 2).alias("at"))
+    told = events.select("url", "id", "ts", "score", "error", ((F.col("id") + _IN_FLIGHT) * 2 + 1).alias("at"))
+    found = stateful.leases(asked, told, clock="event", lease="3650 days", keep="3650 days")
+    rows = _run(t, "stream-leases", found.select("id", "action", "lease", "score"),
+                "id long, action string, lease long, score double")
+    return rounded(rows.filter("action != 'ignored'").select(
+        F.col("id").alias("event_id"), "action", "lease", "score"), "score")
+
+
 @query(sql("verdict_events", """
     SELECT page, count(score) AS analyzed, count(*) FILTER (score >= 0.65e0) AS flagged
     FROM verdict_events GROUP BY page"""))
