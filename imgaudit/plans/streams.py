@@ -14,7 +14,7 @@ from imgaudit.plans.evidence import MINED
 from imgaudit.plans.registry import Tables, query, rounded
 from imgaudit.plans.views import sql
 from imgaudit.session import shared_dir
-from imgaudit.streaming import sinks, stateful, verdicts
+from imgaudit.streaming import pages, sinks, stateful, verdicts
 
 
 def _event_stream(t: Tables) -> DataFrame:
@@ -88,6 +88,23 @@ def stream_due_retries(t: Tables) -> DataFrame:
                 "event_id long, failures long, decision string").drop("batch")
 
 
+@query(sql("verdict_events", """
+    SELECT page, count(score) AS analyzed, count(*) FILTER (score >= 0.65e0) AS flagged
+    FROM verdict_events GROUP BY page"""))
+def stream_page_windows(t: Tables) -> DataFrame:
+    """Days that end behind the watermark are folded into the base table; no row comes late."""
+    root = shared_dir(t.spark, "stream-windows")
+    events = views.verdict_events(t).withColumn("ts", F.col("ts").cast("timestamp"))
+    last = events.agg(F.max("event_id") + 1).scalar()
+    for i in range(4):  # files of rising time: each append is newer than the one before
+        events.filter(F.floor(F.col("event_id") * 4 / last) == i).write.mode("append").parquet(f"{root}/input")
+    arriving = t.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/input")
+    totals = pages.PageTotals(f"{root}/totals", "15 days", every=2)
+    sinks.drain(pages.windowed_page_stats(arriving, "ts", "15 days", "1 day"), totals.write,
+                f"{root}/checkpoint", "update")
+    return totals.read(t.spark)
+
+
 _IN_FLIGHT = 900  # events between a request and its result
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from imgaudit import schemas
 from imgaudit.operators import serving
-from imgaudit.streaming import sinks, verdicts
+from imgaudit.streaming import pages, sinks, verdicts
 
 EVENTS = "event_id long, ts timestamp, page long, url string, error string, score double"
 
@@ -132,3 +132,54 @@ def test_mirror_restores_only_matching_entries(spark):
                                    "url string, score double, seq long, model_version string")
     restored = serving.restore_cache(cache, mirror, "m1").collect()
     assert {(r.url, r.score) for r in restored} == {("a", 0.1), ("b", 0.9)}
+
+
+def _hours(start, stop):
+    """Events of ``start`` to ``stop`` hours, every ten minutes, of five pages and one without an id."""
+    rows = []
+    for i in range(start * 6, stop * 6):
+        score = None if i % 4 == 0 else (i * 37 % 100) / 100
+        rows.append((i, f"2025-01-{1 + i // 144:02d} {i // 6 % 24:02d}:{i % 6 * 10:02d}:00",
+                     (0, 1, 2, 3, None)[i % 5], f"u{i}", None, score))
+    return rows
+
+
+def test_page_windows_end_and_totals_stay(spark, tmp_path):
+    """Twenty batches, half of them after a restart: state stays as small, totals equal the batch query."""
+    feed, root, rows = str(tmp_path / "feed"), str(tmp_path / "totals"), []
+    (tmp_path / "feed").mkdir()
+    totals = pages.PageTotals(root, "3 hours", every=4)
+    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(feed)
+    seen = []
+    for start in (0, 10):
+        for i in range(start, start + 10):
+            new = _hours(i * 4, i * 4 + 4) + (_hours(i * 4 - 2, i * 4 - 1) if i else [])  # an hour twice, in time
+            rows += new
+            spark.createDataFrame(new, EVENTS.replace("timestamp", "string")).coalesce(1).withColumn(
+                "ts", F.to_timestamp("ts")).write.mode("append").parquet(feed)
+        query = sinks.start(pages.windowed_page_stats(stream, "ts", "3 hours", "1 hour"), totals.write,
+                            str(tmp_path / "checkpoint"), "update")
+        query.awaitTermination()
+        seen += [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert len(seen) >= 20 and max(seen) <= 5 * (4 + 3 + 4 + 1)
+    frame = spark.createDataFrame(rows, EVENTS.replace("timestamp", "string"))
+    want = sorted(map(tuple, verdicts.running_page_stats(frame).collect()), key=repr)
+    assert sorted(map(tuple, totals.read(spark).collect()), key=repr) == want
+    import os
+    kinds = [name.split("-")[0] for name in os.listdir(root)]
+    assert kinds.count("open") <= 2 and kinds.count("base") <= 2 and kinds.count("closed") <= 8
+
+
+def test_page_window_batch_may_be_repeated(spark, tmp_path):
+    totals = pages.PageTotals(str(tmp_path / "t"), "1 hour", every=2)
+
+    def batch(*rows):
+        return spark.createDataFrame(rows, "start string, end string, page long, analyzed long, flagged long").withColumns(
+            {c: F.to_timestamp(c) for c in ("start", "end")})
+    first = batch(("2025-01-01 00:00", "2025-01-01 01:00", 1, 5, 1), ("2025-01-01 01:00", "2025-01-01 02:00", 1, 2, 0))
+    second = batch(("2025-01-01 01:00", "2025-01-01 02:00", 1, 4, 2), ("2025-01-01 05:00", "2025-01-01 06:00", 2, 1, 1))
+    third = batch(("2025-01-01 05:00", "2025-01-01 06:00", 2, 3, 1))
+    for i, rows in enumerate((first, first, second, second, third, third)):
+        totals.write(rows, i // 2)
+    assert sorted(map(tuple, totals.read(spark).collect())) == [(1, 9, 3), (2, 3, 1)]
+    assert pages.PageTotals(str(tmp_path / "none"), "1 hour").read(spark).count() == 0
