@@ -94,6 +94,10 @@ def band_sizes(scores: DataFrame, bias: float = 0.0, band_lo: float = fixed.TTA_
 
 # ------------------------------------------------------------------ tensors
 
+BAND = 32  # outputs per block of the filter matrix
+STACK_BYTES = 4 << 20  # pixels resampled together
+
+
 @lru_cache(maxsize=256)
 def triangle_taps(source: int, size: int, start: int, count: int) -> tuple[np.ndarray, np.ndarray]:
     """Where ``count`` outputs from ``start`` read, and with which weights; rows sum to one.
@@ -111,28 +115,63 @@ def triangle_taps(source: int, size: int, start: int, count: int) -> tuple[np.nd
     return np.minimum(taps, source - 1), weights / weights.sum(axis=1, keepdims=True)
 
 
-def _resample(pixels: np.ndarray, taps: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Weighted sums of whole rows, one tap after the other."""
-    out = np.zeros((len(taps), *pixels.shape[1:]), np.float64)
-    for tap, weight in zip(taps.T, weights.T):
-        out += weight.reshape(-1, *[1] * (pixels.ndim - 1)) * pixels[tap]
+@lru_cache(maxsize=256)
+def triangle_bands(source: int, size: int, start: int, count: int) -> list[tuple[slice, slice, np.ndarray]]:
+    """The filter as blocks of a banded matrix: outputs, the inputs they read, and the weights.
+
+    ``BAND`` neighbouring outputs read nearly the same inputs, so a block is mostly filled.
+    """
+    taps, weights = triangle_taps(source, size, start, count)
+    bands = []
+    for at in range(0, count, BAND):
+        out = slice(at, min(at + BAND, count))
+        low, high = int(taps[out].min()), int(taps[out].max()) + 1
+        block = np.zeros((out.stop - at, high - low))
+        np.add.at(block, (np.arange(out.stop - at)[:, None], taps[out] - low), weights[out])
+        bands.append((out, slice(low, high), block))
+    return bands
+
+
+def _resample(images: np.ndarray, bands: list[tuple[slice, slice, np.ndarray]]) -> np.ndarray:
+    """Weighted sums along the second axis of a stack of images, one matrix product a band."""
+    count, _, *rest = images.shape
+    out = np.empty((count, bands[-1][0].stop, *rest))
+    flat = out.reshape(count, out.shape[1], -1)
+    for rows, read, block in bands:
+        np.matmul(block, images[:, read].reshape(count, read.stop - read.start, -1).astype(np.float64),
+                  out=flat[:, rows])
     return out
 
 
-def input_tensor(pixels: np.ndarray, shorter: int, crop: int, mean: np.ndarray,
-                 std: np.ndarray) -> np.ndarray:
-    """Resize, centre-crop and normalise one RGB image; channels first.
+def input_tensors(pixels: np.ndarray, shorter: int, crop: int, mean: np.ndarray,
+                  std: np.ndarray) -> np.ndarray:
+    """Resize, centre-crop and normalise a stack of RGB images of one size; channels first.
 
-    Only the rows and columns inside the crop are resampled.
+    Only the rows and columns that the crop reads are resampled.
     """
-    height, width = pixels.shape[:2]
+    height, width = pixels.shape[1:3]
     scale = shorter / min(height, width)
     rows, cols = (max(crop, int(np.floor(side * scale + 0.5))) for side in (height, width))
-    y0, x0 = (rows - crop) // 2, (cols - crop) // 2
-    high = _resample(pixels, *triangle_taps(height, rows, y0, crop))
-    small = _resample(high.swapaxes(0, 1), *triangle_taps(width, cols, x0, crop)).swapaxes(0, 1)
+    across = triangle_bands(width, cols, (cols - crop) // 2, crop)
+    left, right = min(read.start for _, read, _ in across), max(read.stop for _, read, _ in across)
+    across = [(out, slice(read.start - left, read.stop - left), block) for out, read, block in across]
+    high = _resample(pixels[:, :, left:right], triangle_bands(height, rows, (rows - crop) // 2, crop))
+    small = _resample(np.ascontiguousarray(high.swapaxes(1, 2)), across)  # image, column, row, channel
     whole = np.clip(np.floor(small + 0.5), 0, 255)
-    return ((whole / 255.0 - mean) / std).transpose(2, 0, 1).astype(np.float32)
+    return ((whole / 255.0 - mean) / std).transpose(0, 3, 2, 1).astype(np.float32)
+
+
+def _one_size(batch: pa.RecordBatch) -> Iterator[tuple[list[int], np.ndarray]]:
+    """Row numbers and pixels (RGB) of the batch's images, size by size, some megabytes at a time."""
+    sizes: dict[tuple, list[int]] = {}
+    for i, shape in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)))):
+        sizes.setdefault(shape, []).append(i)
+    for shape, rows in sizes.items():
+        together = max(1, STACK_BYTES // max(1, int(np.prod(shape))))
+        for at in range(0, len(rows), together):
+            part = rows[at:at + together]
+            pixels = np.stack([np.frombuffer(batch.column(4)[i].as_buffer(), np.uint8).reshape(shape) for i in part])
+            yield part, pixels[..., 2::-1] if shape[2] >= 3 else np.repeat(pixels, 3, axis=3)
 
 
 def prepare_tensors(images: DataFrame, shorter: int = fixed.RESIZE_SHORTER_SIDE,
@@ -140,7 +179,8 @@ def prepare_tensors(images: DataFrame, shorter: int = fixed.RESIZE_SHORTER_SIDE,
                     key: str = "path") -> DataFrame:
     """Decoded images (key, height, width, channels, data in BGR) -> (key, tensor).
 
-    The tensor is 3 x crop x crop, flattened. Keep Arrow batches small for large images
+    The tensor is 3 x crop x crop, flattened. Images of one size that come in the same Arrow
+    batch are resampled together. Keep batches small for large images
     (``spark.sql.execution.arrow.maxRecordsPerBatch``).
     """
     mean, std = (np.asarray(v) for v in fixed.NORM_PRESETS[preset])
@@ -148,15 +188,12 @@ def prepare_tensors(images: DataFrame, shorter: int = fixed.RESIZE_SHORTER_SIDE,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                _, height, width, channels, data = (c[i] for c in batch.columns)
-                shape = (height.as_py(), width.as_py(), channels.as_py())
-                pixels = np.frombuffer(data.as_buffer(), np.uint8).reshape(shape)
-                rgb = pixels[..., 2::-1] if shape[2] >= 3 else np.repeat(pixels, 3, axis=2)
-                tensor = input_tensor(rgb, shorter, crop, mean, std).ravel()
+            for rows, pixels in _one_size(batch):
+                tensors = input_tensors(pixels, shorter, crop, mean, std).reshape(len(rows), -1)
+                ends = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * tensors.shape[1])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, 1),
-                     pa.array([tensor], pa.list_(pa.float32()))], names=[key, "tensor"])
+                    [batch.column(0).take(pa.array(rows)),
+                     pa.ListArray.from_arrays(ends, pa.array(tensors.ravel()))], names=[key, "tensor"])
 
     return images.select(key, "height", "width", "channels", "data").mapInArrow(
         run, f"{key} {key_type}, tensor array<float>")

@@ -155,18 +155,18 @@ def c2pa_search(t: Tables) -> DataFrame:
 _WIDE = 64
 
 
-def _rasters(t: Tables, rows: int = 1) -> DataFrame:
-    """Each document's whole text as a grey image, 64 pixels wide, padded with blanks.
+def _rasters(t: Tables, rows: int = 1, channels: int = 1) -> DataFrame:
+    """Each document's whole text as an image, 64 pixels wide, padded with blanks.
 
-    Heights are multiples of ``rows``.
+    Heights are multiples of ``rows``; a pixel is one byte, or several of them as its channels.
     """
     content = F.encode("text", "utf-8")
-    height = (F.ceil(F.octet_length(content) / (rows * _WIDE)) * rows).cast("int")
+    height = (F.ceil(F.octet_length(content) / (rows * channels * _WIDE)) * rows).cast("int")
     raster = t.documents.select("doc_id", content.alias("data"), height.alias("height"))
-    padded = F.expr(f"rpad(data, height * {_WIDE}, X'20')")
+    padded = F.expr(f"rpad(data, height * {channels * _WIDE}, X'20')")
     return raster.filter("height > 0").select(
         F.col("doc_id").cast("string").alias("path"), "height", F.lit(_WIDE).alias("width"),
-        F.lit(1).alias("channels"), padded.alias("data"))
+        F.lit(channels).alias("channels"), padded.alias("data"))
 
 
 _STATS = f"""
@@ -256,6 +256,35 @@ def prepare_tensors(t: Tables) -> DataFrame:
     return tensors.select("path", F.size("tensor").alias("n"), F.round(total, 3).alias("total"))
 
 
+@query("""
+    WITH raw AS (SELECT doc_id, hex(encode(text)) AS hx, octet_length(encode(text)) AS len
+        FROM documents WHERE text <> ''),
+    sized AS (SELECT *, CAST(ceil(len/12288e0) AS BIGINT)*64 AS h FROM raw),
+    dims AS (SELECT DISTINCT h, greatest(24, floor(h*(32e0/least(h, 64)) + 0.5e0)) AS rows,
+        greatest(24, floor(64*(32e0/least(h, 64)) + 0.5e0)) AS cols FROM sized),
+    axes AS (SELECT h, 'y' AS axis, h AS n, rows AS size FROM dims
+        UNION ALL SELECT h, 'x', 64, cols FROM dims),
+    outs AS (SELECT *, unnest(range(24)) AS i FROM axes),
+    centred AS (SELECT *, ((CAST(size AS BIGINT) - 24)//2 + i + 0.5e0)*(n/size) AS c,
+        greatest(n/size, 1e0) AS width FROM outs),
+    taps AS (SELECT *, unnest(range(CAST(greatest(0, floor(c - width)) AS BIGINT),
+        CAST(least(n, ceil(c + width) + 1) AS BIGINT))) AS k FROM centred),
+    reach AS (SELECT h, axis, i, k, greatest(0e0, 1 - abs(k + 0.5e0 - c)/width) AS w FROM taps),
+    weights AS (SELECT h, axis, i, k, w / sum(w) OVER (PARTITION BY h, axis, i) AS w FROM reach),
+    values AS (SELECT s.doc_id, c.c, y.i AS yi, x.i AS xi, sum(y.w*x.w*CASE WHEN (y.k*64 + x.k)*3 + 2 - c.c < s.len
+            THEN CAST(CAST(concat('0x', substr(s.hx, 2*((y.k*64 + x.k)*3 + 2 - c.c) + 1, 2)) AS INT) AS DOUBLE)
+            ELSE 32e0 END) AS v
+        FROM sized s JOIN weights y ON y.h = s.h AND y.axis = 'y' AND y.w > 0
+            JOIN weights x ON x.h = s.h AND x.axis = 'x' AND x.w > 0, (SELECT unnest(range(3)) AS c) c GROUP BY ALL)
+    SELECT CAST(doc_id AS VARCHAR) AS path, md5(string_agg(CAST(CAST(least(255, greatest(0, floor(v + 0.5e0)))
+        AS INT) AS VARCHAR), ',' ORDER BY c, yi, xi)) AS levels FROM values GROUP BY doc_id""")
+def prepare_tensor_values(t: Tables) -> DataFrame:
+    """Coloured images that are mostly not square; every value counts, by place and channel."""
+    tensors = scoring.prepare_tensors(_rasters(t, 64, 3), shorter=32, crop=24, preset="half")
+    level = F.transform("tensor", lambda v: F.round((v.cast("double") * 0.5 + 0.5) * 255).cast("int").cast("string"))
+    return tensors.select("path", F.md5(F.array_join(level, ",")).alias("levels"))
+
+
 # ------------------------------------------------------------------ reports
 
 _WORDS = ("CASE WHEN issue % 7 = 0 THEN concat(said, ' maybe 1050%') WHEN issue % 7 = 1 THEN "

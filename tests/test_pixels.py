@@ -85,6 +85,37 @@ def test_prepare_tensors(spark, folder, shorter, crop):
         assert np.allclose(tensor[:, i, j], expected, atol=1.01 / 255 / std.min())
 
 
+def test_tensors_of_mixed_sizes_in_one_batch(spark):
+    """Every value of coloured, non-square and grey images, against the dense filter matrix."""
+    rng = np.random.default_rng(8)
+    shapes = [(40, 70, 3), (70, 40, 3), (40, 70, 3), (64, 64, 1), (33, 200, 4), (24, 24, 3), (300, 41, 3), (40, 70, 1)]
+    images = [rng.integers(0, 256, shape).astype(np.uint8) for shape in shapes]
+    df = spark.createDataFrame([(i, *p.shape, bytearray(p.tobytes())) for i, p in enumerate(images)],
+                               "path int, height int, width int, channels int, data binary").coalesce(1)
+    found = {r.path: np.asarray(r.tensor, np.float32) for r in scoring.prepare_tensors(df, 30, 24, "half").collect()}
+    assert len(found) == len(images)
+
+    def dense(source, size):
+        scale = source / size
+        k, at = np.arange(source), np.arange(size)[:, None]
+        w = np.clip(1 - np.abs(k + 0.5 - (at + 0.5) * scale) / max(scale, 1.0), 0, None)
+        return w / w.sum(1, keepdims=True)
+
+    for i, p in enumerate(images):
+        rgb = (p[..., 2::-1] if p.shape[2] >= 3 else np.repeat(p, 3, 2)).astype(float)
+        scale = 30 / min(p.shape[:2])
+        rows, cols = (max(24, int(np.floor(s * scale + 0.5))) for s in p.shape[:2])
+        y, x = (rows - 24) // 2, (cols - 24) // 2
+        whole = np.einsum("yh,xw,hwc->cyx", dense(p.shape[0], rows)[y:y + 24], dense(p.shape[1], cols)[x:x + 24], rgb)
+        level = np.round((found[i].reshape(3, 24, 24).astype(float) * 0.5 + 0.5) * 255)
+        assert np.abs(level - whole).max() <= 0.5 + 1e-6
+
+
+def test_no_images(spark):
+    df = spark.createDataFrame([], "path int, height int, width int, channels int, data binary")
+    assert scoring.prepare_tensors(df).count() == 0
+
+
 def test_score_table_marks_unusable_inputs(spark):
     rows = [(1, [1.0, 2.0]), (2, None), (3, [1.0]), (4, [0.0, None])]
     df = spark.createDataFrame(rows, "id int, x array<double>")
