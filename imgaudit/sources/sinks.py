@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
@@ -11,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from imgaudit.session import stored
-from imgaudit.sources.files import exists
+from imgaudit.sources.claims import Claim
+from imgaudit.sources.files import exists, remove, rename
 
 
 def materialize(df: DataFrame, root: str, mode: str = "error") -> None:
@@ -20,13 +22,31 @@ def materialize(df: DataFrame, root: str, mode: str = "error") -> None:
     named.write.mode(mode).partitionBy("subset", "cls").parquet(root)
 
 
-def run_stage(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+def run_stage(spark: SparkSession, path: str, build: Callable[[], DataFrame], lease: float = 60.0,
+              poll: float = 1.0) -> DataFrame:
     """Build and write a table unless a finished write is already there; then read it.
 
-    The writer leaves its ``_SUCCESS`` marker last, so a broken write is done again.
+    Of several drivers one builds, under a claim beside the table, and the others wait. If it is
+    lost, its claim runs out after ``lease`` seconds and another takes over. A table is written
+    to a folder of its driver's own and gets its name when it is complete, so a driver that
+    comes back late changes nothing; a broken write is done again.
     """
-    if not exists(spark, f"{path}/_SUCCESS"):
-        build().write.mode("overwrite").parquet(path)
+    done, claim = f"{path}/_SUCCESS", Claim(spark, f"{path}-claim", lease)
+    while not exists(spark, done):
+        if not claim.take():
+            time.sleep(poll)
+            continue
+        try:
+            if not exists(spark, done):
+                own = f"{path}-{claim.owner}"
+                build().write.mode("overwrite").parquet(own)
+                if claim.held():
+                    if not exists(spark, done):
+                        remove(spark, path)
+                        rename(spark, own, path)
+                remove(spark, own)
+        finally:
+            claim.release()
     return spark.read.parquet(path)
 
 

@@ -3,6 +3,8 @@
 import json
 import tempfile
 import os
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from imgaudit import schemas
 from imgaudit.operators import reports
 from imgaudit.session import clear, shared_dir, stored
-from imgaudit.sources import issues, manifests, sinks
+from imgaudit.sources import claims, issues, manifests, sinks
 
 
 @pytest.fixture(scope="module")
@@ -49,6 +51,57 @@ def test_stage_runs_once_and_again_after_a_broken_write(spark, manifest, tmp_pat
     assert len(runs) == 2
 
 
+def test_drivers_that_start_together_build_once(spark, manifest, tmp_path):
+    path, runs, counts = str(tmp_path / "stage"), [], []
+
+    def build():
+        runs.append(1)
+        time.sleep(2)
+        return manifest
+
+    def driver():
+        counts.append(sinks.run_stage(spark, path, build, lease=30, poll=0.2).count())
+
+    threads = [threading.Thread(target=driver) for _ in range(4)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join(120)
+    assert len(runs) == 1 and counts == [2] * 4
+    assert [name for name in os.listdir(tmp_path) if not name.startswith(".")] == ["stage"]
+
+
+def test_claim_of_a_lost_driver_is_taken_over(spark, manifest, tmp_path):
+    path = str(tmp_path / "stage")
+    lost = claims.Claim(spark, f"{path}-claim", lease=3)
+    assert lost.take() and not claims.Claim(spark, f"{path}-claim", lease=3).take()
+    time.sleep(5)
+    assert lost.held()  # a living driver's claim goes on
+    lost._done.set()  # and now it is gone
+    started = time.time()
+    assert sinks.run_stage(spark, path, lambda: manifest, lease=3, poll=0.2).count() == 2
+    assert time.time() - started > 1 and not lost.held()
+
+
+def test_late_driver_changes_nothing(spark, manifest, tmp_path):
+    """Its claim was lost while it was building, and another has finished meanwhile."""
+    path = str(tmp_path / "stage")
+
+    def build():
+        os.remove(f"{path}-claim")
+        sinks.run_stage(spark, path, lambda: manifest.limit(1))
+        return manifest
+    assert sinks.run_stage(spark, path, build).count() == 1
+    assert [name for name in os.listdir(tmp_path) if not name.startswith(".")] == ["stage"]
+
+
+def test_failed_build_leaves_no_claim(spark, manifest, tmp_path):
+    path = str(tmp_path / "stage")
+    with pytest.raises(ZeroDivisionError):
+        sinks.run_stage(spark, path, lambda: 1 // 0)
+    assert sinks.run_stage(spark, path, lambda: manifest).count() == 2
+
+
 def test_only_named_stages_run(spark, manifest, tmp_path):
     stages = {name: lambda: manifest for name in ("a", "b", "c")}
     assert set(sinks.run_stages(spark, str(tmp_path), stages, ["b"])) == {"b"}
