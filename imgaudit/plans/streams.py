@@ -8,7 +8,6 @@ from pyspark.sql.types import StructField, StructType, TimestampType
 
 from imgaudit import schemas
 from imgaudit.functions.web import tag_pattern
-from imgaudit.operators.ranking import first_n
 from imgaudit.plans import views
 from imgaudit.plans.evidence import MINED
 from imgaudit.plans.registry import Tables, query, rounded
@@ -160,7 +159,7 @@ def stream_mirror(t: Tables) -> DataFrame:
     mirrors = [sinks.Mirror(f"{root}/mirror", lambda _, v=v: v, n) for v, n in (("old", 50), ("cur", 400))]
     sinks.drain(events, mirrors[0].write, f"{root}/checkpoint-old")
     sinks.drain(events, lambda batch, i: mirrors[1].write(batch, i + 3), f"{root}/checkpoint-cur")
-    kept = first_n(mirrors[1].read(t.spark, 5), "seq", 390, last=True)
+    kept = mirrors[1].read(t.spark, 5).orderBy(F.desc("seq")).limit(390)
     return rounded(kept, "score")
 
 

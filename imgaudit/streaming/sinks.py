@@ -10,7 +10,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from imgaudit import schemas
 from imgaudit.operators.lookups import valid_cache
-from imgaudit.operators.ranking import first_n
 from imgaudit.operators.reports import label_changes
 from imgaudit.operators.serving import retry_plan
 from imgaudit.sources.files import exists, names, remove
@@ -81,9 +80,9 @@ class Mirror:
             F.min_by("score", "seq").alias("score"), F.min("seq").alias("seq")).withColumn(
             "model_version", stamp)
         added = fresh.join(kept.select("url"), "url", "left_anti")
-        # only the rows that stay move to the one file
-        first_n(kept.unionByName(added), "seq", self.capacity, last=True).repartition(
-            1).write.mode("overwrite").parquet(self.path(batch_id))
+        # a top-k: every task sends its newest entries only, at most the capacity
+        kept.unionByName(added).orderBy(F.desc("seq"), "url").limit(self.capacity).write.mode(
+            "overwrite").parquet(self.path(batch_id))
         remove(spark, self.path(batch_id - 2))
 
 
