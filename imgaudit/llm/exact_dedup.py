@@ -17,8 +17,9 @@ neither read nor changed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -31,67 +32,71 @@ BATCH_BYTES = 32 << 20
 
 
 class Directory:
-    """Slots of the index by leading key bits; several slots may share one bucket."""
-
-    def __init__(self) -> None:
-        self.depth, self.slots, self.local = 0, [0], [0]
-
-    def double(self) -> None:
-        self.slots = [bucket for bucket in self.slots for _ in (0, 1)]
-        self.depth += 1
-
-    def split(self, bucket: int) -> int:
-        """Give the upper half of a bucket's slots to a new bucket, which is returned."""
-        if self.local[bucket] == self.depth:
-            self.double()
-        own = [i for i, b in enumerate(self.slots) if b == bucket]
-        self.local[bucket] += 1
-        self.local.append(self.local[bucket])
-        for i in own[len(own) // 2:]:
-            self.slots[i] = len(self.local) - 1
-        return len(self.local) - 1
-
-    def prefix(self, bucket: int) -> int:
-        """The leading key bits, as many as the bucket's local depth, of its keys."""
-        return self.slots.index(bucket) >> (self.depth - self.local[bucket])
-
-    def bucket(self, key):
-        """The bucket of a key column."""
+    """Buckets by leading key bits; a bucket of few bits has a run of slots, one of all bits one.
+
+    A bucket is its local depth and that many leading bits, so its slots are a range that need
+    not be written down: doubling the directory costs nothing and a split makes two buckets.
+    """
+
+    def __init__(self, local: np.ndarray, prefix: np.ndarray) -> None:
+        """Buckets in the order of their keys."""
+        self.local, self.prefix = local, prefix
+        self.depth = int(local.max(initial=0))
+
+    @property
+    def slots(self) -> list[int]:
+        """The bucket of every slot, written out."""
+        return np.repeat(np.arange(len(self.local)), 1 << (self.depth - self.local)).tolist()
+
+    def bucket(self, keys: np.ndarray) -> np.ndarray:
+        """The buckets of 64-bit keys, as their leading bits fall into the buckets' ranges."""
         if not self.depth:
-            return F.lit(0)
-        slot = F.shiftrightunsigned(key, 64 - self.depth).cast("int")
-        return F.get(F.lit(self.slots), slot)
+            return np.zeros(len(keys), np.int64)
+        slot = (keys.view(np.uint64) >> np.uint64(64 - self.depth)).astype(np.int64)
+        first = self.prefix << (self.depth - self.local)
+        return np.searchsorted(first, slot, "right") - 1
+
 
+def grow(counts: Mapping[int, int], bits: int, capacity: int) -> Directory:
+    """Split from one bucket until none is overfull; counts: bytes by leading ``bits`` bits.
 
-def grow(counts: dict[int, int], bits: int, capacity: int) -> Directory:
-    """Split from one bucket until none is overfull; counts: bytes by leading ``bits`` bits."""
-    totals = {}
+    All overfull buckets of a depth are split at once. A bucket's bytes are a difference of
+    running sums, so a split costs a binary search, whatever the size of the directory.
+    """
+    keys = np.fromiter(counts.keys(), np.int64, len(counts))
+    order = np.argsort(keys)
+    keys = keys[order]
+    below = np.concatenate([[0], np.cumsum(np.fromiter(counts.values(), np.int64, len(counts))[order])])
+
+    def size(prefix: np.ndarray, depth: int) -> np.ndarray:
+        ends = [np.searchsorted(keys, (prefix + step) << (bits - depth)) for step in (0, 1)]
+        return below[ends[1]] - below[ends[0]]
+
+    full, kept = np.zeros(1, np.int64), []
     for depth in range(bits + 1):
-        for prefix, size in counts.items():
-            at = (depth, prefix >> (bits - depth))
-            totals[at] = totals.get(at, 0) + size
-    directory, waiting = Directory(), [(0, 0, 0)]
-    while waiting:
-        bucket, depth, prefix = waiting.pop()
-        if depth < bits and totals.get((depth, prefix), 0) > capacity:
-            new = directory.split(bucket)
-            waiting += [(bucket, depth + 1, 2 * prefix), (new, depth + 1, 2 * prefix + 1)]
-    return directory
+        over = size(full, depth) > capacity if depth < bits else np.zeros(len(full), bool)
+        kept.append((np.full((~over).sum(), depth), full[~over]))
+        full = (2 * full[over][:, None] + np.arange(2)).ravel()
+        if not len(full):
+            break
+    local, prefix = (np.concatenate(c).astype(np.int64) for c in zip(*kept))
+    order = np.argsort(prefix << (local.max(initial=0) - local), kind="stable")
+    return Directory(local[order], prefix[order])
 
 
 def build_directory(keyed: DataFrame, capacity: int) -> Directory:
     """The directory for all rows of ``keyed`` (``_key``, ``_size``), from bytes per prefix.
 
     The histogram has a few prefixes per bucket, as many as the index has buckets, each of
-    ``capacity`` bytes, so what the driver holds is the directory itself.
+    ``capacity`` bytes: the driver gets and the tasks hold some numbers per bucket.
     """
     distinct = written(keyed.groupBy("_key").agg(F.max("_size").alias("_size")), "keys")
     total = distinct.agg(F.sum("_size")).first()[0] or 0
     capacity = max(1, min(capacity, total // (4 * partitions(keyed.sparkSession)) + 1))
     bits = min(40, (2 * total // capacity).bit_length())
     prefix = F.shiftrightunsigned("_key", 64 - bits) if bits else F.lit(0).cast("long")
-    counts = distinct.groupBy(prefix.alias("p")).agg(F.sum("_size").alias("s")).collect()
-    return grow({row.p: row.s for row in counts}, bits, capacity)
+    counts = distinct.groupBy(prefix.alias("p")).agg(F.sum("_size").alias("s")).toArrow()
+    return grow(dict(zip(counts["p"].to_pylist(), counts["s"].to_pylist())), bits, capacity)
 
 
 def _merge(entries: pa.Table) -> pa.Table:
@@ -138,8 +143,13 @@ def build_index(documents: DataFrame, text: str = "text", doc_id: str = "doc_id"
                             F.col(doc_id).cast("long").alias("_top"), F.lit(1).cast("long").alias("_n"))
     directory = build_directory(
         rows.select("_key", F.octet_length("_text").cast("long").alias("_size")), capacity)
-    owned = (rows.mapInArrow(_merge_batches, ENTRY)
-             .withColumn("_bucket", directory.bucket(F.col("_key")))
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _merge_batches(batches):
+            keys = batch.column("_key").to_numpy(zero_copy_only=False)
+            yield batch.append_column("_bucket", pa.array(directory.bucket(keys), pa.int64()))
+
+    owned = (rows.mapInArrow(merged, ENTRY + ", _bucket long")
              .repartition(partitions(documents.sparkSession), "_bucket")
              .sortWithinPartitions("_key").drop("_bucket"))
     chained = owned.mapInArrow(_chain, ENTRY)

@@ -1,6 +1,8 @@
 import hashlib
+import time
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -58,6 +60,28 @@ def test_directory(counts, capacity):
     assert grown.depth == max(grown.local)
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(-2**63, 2**63 - 1), min_size=1, max_size=60), st.integers(1, 5))
+def test_bucket_of_a_key(keys, capacity):
+    """Every key lies in the bucket whose leading bits it has."""
+    bits = 12
+    prefixes = [(k % 2**64) >> (64 - bits) for k in keys]
+    grown = op.grow({p: prefixes.count(p) for p in prefixes}, bits, capacity)
+    for key, bucket in zip(keys, grown.bucket(np.array(keys, np.int64)).tolist()):
+        local = int(grown.local[bucket])
+        assert (key % 2**64) >> (64 - local) == grown.prefix[bucket] if local else True
+
+
+def test_a_million_buckets_take_seconds():
+    started = time.time()
+    rng = np.random.default_rng(0)
+    prefixes = np.unique(rng.integers(0, 1 << 22, 1 << 22))
+    grown = op.grow(dict(zip(prefixes.tolist(), np.full(len(prefixes), 10).tolist())), 22, 30)
+    assert len(grown.local) > 1_000_000 and time.time() - started < 20
+    keys = rng.integers(-2**63, 2**63 - 1, 100_000)
+    assert grown.bucket(keys).max() < len(grown.local) and time.time() - started < 25
+
+
 def test_colliding_keys_are_told_apart_by_bytes():
     """Texts that share a key, cut over batches in every place, stay separate records."""
     schema = pa.schema([("_key", pa.int64()), ("_text", pa.binary()), ("_top", pa.int64()),
