@@ -6,7 +6,11 @@ compressed with that dictionary, so a reader can start at any record. Files are
 under a new name and listed in a manifest only when their task has ended; the reader takes
 listed files alone, so a retried task leaves nothing that is read twice.
 
-Defined cases: a null payload counts as empty; a null url leaves the target header out; of
+Records follow WARC 1.1: a response holds an HTTP response whose body is the payload, a revisit
+has no block and names the profile of equal payload digests. All records of a run have one date,
+that of the run, as pages come without one.
+
+Defined cases: a payload of any length is one record, held by one task; a null payload counts as empty; a null url leaves the target header out; of
 equal payloads the smallest id is a response and the others revisit it, while rows that
 repeat that smallest id are responses too; a null id is written as such and is a response
 only if its payload has no other id; an empty table gives no archive and no rows; other
@@ -20,6 +24,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 import zstandard
@@ -34,6 +39,10 @@ SKIPPABLE = 0x184D2A5D
 ARCHIVE_BYTES = 16 << 20
 DICTIONARY_BYTES = 64 << 10
 SAMPLE_BYTES = 4 << 20
+HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
+# Fixed value: the standard's name for revisits of an equal payload.
+REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+SALTS = 16  # parts that a very common payload is looked up in
 RECORDS = ("page_id long, payload_bytes long, payload_digest string, record_type string, "
            "refers_to long, url string, payload binary")
 
@@ -51,14 +60,18 @@ def _from_urn(value: str | None) -> int | None:
     return int(number) if number else None
 
 
-def format_record(page_id: int | None, url: str | None, payload: bytes, first: int | None) -> bytes:
+def format_record(page_id: int | None, url: str | None, payload: bytes, first: int | None,
+                  date: str = "1970-01-01T00:00:00Z") -> bytes:
     """One WARC record; ``first`` is the id it revisits, or null for a response."""
-    body = payload if first is None else b""
+    body = HTTP_HEAD % len(payload) + payload if first is None else b""
     head = {"WARC-Type": "response" if first is None else "revisit",
-            "WARC-Record-ID": _urn(page_id), "WARC-Payload-Digest": f"sha1:{payload_digest(payload)}",
+            "WARC-Record-ID": _urn(page_id), "WARC-Date": date,
+            "WARC-Payload-Digest": f"sha1:{payload_digest(payload)}",
             "X-Payload-Length": str(len(payload)), "Content-Length": str(len(body))}
-    if first is not None:
-        head["WARC-Refers-To"] = _urn(first)
+    if first is None:
+        head["Content-Type"] = "application/http; msgtype=response"
+    else:
+        head |= {"WARC-Refers-To": _urn(first), "WARC-Profile": REVISIT_PROFILE}
     if url is not None:
         head["WARC-Target-URI"] = url.replace("\r", "%0D").replace("\n", "%0A")
     lines = "".join(f"{name}: {value}\r\n" for name, value in head.items())
@@ -69,7 +82,7 @@ def parse_record(record: bytes) -> tuple:
     """The values of ``RECORDS``; a response's length and digest come from its body."""
     top, _, rest = record.partition(b"\r\n\r\n")
     head = dict(line.split(": ", 1) for line in top.decode().split("\r\n")[1:])
-    payload = rest[:int(head["Content-Length"])]
+    payload = rest[:int(head["Content-Length"])].partition(b"\r\n\r\n")[2]
     response = head["WARC-Type"] == "response"
     length = len(payload) if response else int(head["X-Payload-Length"])
     digest = (payload_digest(payload) if response
@@ -117,15 +130,19 @@ def decided(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     body = as_bytes(payload)
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"),
                         body.alias("payload"), F.sha2(body, 256).alias("_key"))
+    # decided on hashes and ids alone; pages of a very common payload meet its first in several parts
     firsts = rows.filter(F.octet_length("payload") >= min_bytes).groupBy("_key").agg(
-        F.min("page_id").alias("_first"))
+        F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(
+        "_key", "_first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
     revisits = ~F.col("_first").eqNullSafe(F.col("page_id"))
-    return rows.join(firsts, "_key", "left").select(
+    return salted.join(firsts, ["_key", "_salt"], "left").select(
         "page_id", "url", "payload", F.when(revisits, F.col("_first")).alias("first"))
 
 
 def write_archives(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write the decided pages as archives into ``folder``; returns the manifest."""
+    date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = fs.FileSystem.from_uri(folder)
@@ -141,7 +158,7 @@ def write_archives(rows: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BY
         held, size = [], 0
         for batch in batches:
             for row in zip(*(column for column in batch.columns)):
-                held.append(format_record(*(value.as_py() for value in row)))
+                held.append(format_record(*(value.as_py() for value in row), date))
                 size += len(held[-1])
                 if size >= archive_bytes:
                     yield flush(held)

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+from datetime import datetime
 
 import pytest
 
@@ -69,3 +70,52 @@ def test_all_pages(spark, small):
     rows = [(r.page_id, r.url, r.html) for r in small("pages").collect()]
     found = op.archive_round_trip(small("pages")).collect()
     assert sorted([tuple(r)[:6] for r in found], key=repr) == brute_force(rows)
+
+
+def read_standard(data):
+    """Records by the standard alone: version, named fields, block by its length, two line ends."""
+    records = []
+    while data:
+        line, data = data.split(b"\r\n", 1)
+        assert line == b"WARC/1.1"
+        fields = {}
+        while True:
+            line, data = data.split(b"\r\n", 1)
+            if not line:
+                break
+            name, value = line.decode().split(":", 1)
+            assert name.lower() not in fields
+            fields[name.lower()] = value.strip()
+        size = int(fields["content-length"])
+        block, data = data[:size], data[size:]
+        assert data[:4] == b"\r\n\r\n"
+        data = data[4:]
+        for name in ("warc-record-id", "warc-date", "warc-type"):  # mandatory, besides the length
+            assert fields[name]
+        datetime.strptime(fields["warc-date"], "%Y-%m-%dT%H:%M:%SZ")
+        assert fields["warc-record-id"].startswith("<") and fields["warc-record-id"].endswith(">")
+        payload = None
+        if fields["warc-type"] == "revisit":
+            assert "revisit" in fields["warc-profile"] and block == b"" and fields["warc-refers-to"]
+        else:
+            assert fields["content-type"].startswith("application/http")
+            status, rest = block.split(b"\r\n", 1)
+            assert status.startswith(b"HTTP/1.1 200")
+            head, payload = rest.split(b"\r\n\r\n", 1)
+            http = dict(h.decode().split(": ") for h in head.split(b"\r\n"))
+            assert int(http["Content-Length"]) == len(payload)
+            sha = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+            assert fields["warc-payload-digest"] == f"sha1:{sha}"
+        records.append((fields, payload))
+    return records
+
+
+def test_archives_follow_the_standard(spark, tmp_path):
+    rows = [(1, "http://a/", "same"), (2, None, "same"), (3, "u\r\nX: 1", None), (4, "http://d/", "\r\n\r\né"), (5, "x", "")]
+    manifest = op.write_archives(op.decided(pages(spark, rows)), str(tmp_path / "w"))
+    data = b"".join(b"".join(op.unpack_archive((tmp_path / "w" / r.name).read_bytes())) for r in manifest.collect())
+    found = {f["warc-record-id"]: (f, p) for f, p in read_standard(data)}
+    assert len(found) == 5
+    assert {i: found[f"<urn:page:{i}>"][1] for i in range(1, 6)} == {
+        1: b"same", 2: None, 3: b"", 4: "\r\n\r\né".encode(), 5: None}
+    assert found["<urn:page:2>"][0]["warc-refers-to"] == "<urn:page:1>"
