@@ -67,7 +67,9 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     """Links from one host to another: ``source``, ``target``, number of links."""
     links = pages.select(host_of(F.col(url)).alias("source"), F.explode(F.regexp_extract_all(
         F.coalesce(F.col(html), F.lit("")), F.lit(LINK), F.lit(1))).alias("link"))
-    absolute = F.when(F.startswith("link", F.lit("//")), F.concat(F.lit("http:"), "link")).otherwise(F.col("link"))
+    # any other link is relative, also one that holds a whole url further on
+    absolute = F.when(F.startswith("link", F.lit("//")), F.concat(F.lit("http:"), "link")).when(
+        F.col("link").rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), F.col("link"))
     named = links.select("source", host_of(absolute).alias("target"))
     return named.filter("source <> '' and target <> '' and source <> target").groupBy(
         "source", "target").agg(F.count(F.lit(1)).alias("links"))

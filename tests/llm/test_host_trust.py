@@ -100,6 +100,15 @@ def test_spam_that_links_to_blocked_hosts_is_blocked(spark):
     assert found == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow"}
 
 
+def test_relative_links_are_no_edges(spark):
+    bad = "http://bad.net/es/1"
+    links = [f"/out?u={bad}", f"?to={bad}", f"#{bad}", f"page:{bad}", f"3x://{bad}", f"a b://bad.net/", "out//bad.net/"]
+    rows = [(1, bad, "")] + [(2 + i, f"http://h{i}.org/", f'<a href="{link}">x</a>') for i, link in enumerate(links)]
+    assert op.host_edges(pages(spark, rows)).count() == 0
+    found = op.host_edges(pages(spark, [(1, "http://a.org/", '<a href="HTTPS://B.org"><a href="//c.org/?u=http://d.org">')]))
+    assert sorted(map(tuple, found.collect())) == [("a.org", "b.org", 1), ("a.org", "c.org", 1)]
+
+
 def test_whole_table(small):
     rows = [(r.page_id, r.url, r.html) for r in small("pages").collect()]
     assert rows_of(op.url_verdicts(small("pages"))) == brute_force(rows, {})
