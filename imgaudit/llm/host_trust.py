@@ -4,8 +4,9 @@ A rule names a host and the start of a path; it fits the host and its subdomains
 longest rule that fits a url decides. Hosts with urls that rules allow are trusted seeds,
 and hosts with urls that rules block are distrusted seeds, each by its share of such urls.
 Links between pages of different hosts, counted per pair of hosts, carry trust forward and
-distrust backward, both as personalised PageRank. A host is blocked where distrust exceeds
-trust by the factor ``BLOCKING``; its urls without a rule follow.
+distrust backward, both as personalised PageRank, until what is still on its way is at most
+``TOLERANCE`` of all mass. A host is blocked where distrust exceeds trust by the factor
+``BLOCKING``; its urls without a rule follow.
 
 Links are found and counted in Spark, and every step joins and aggregates host edges, one
 row per pair of hosts. A hub's edges are spread by salting its rank.
@@ -14,12 +15,14 @@ Defined cases: a null url, or one without ``://``, has an empty host and path, n
 is allowed; an empty host is no node; relative links and links to the same host are no
 edges; a null html has no links; ties between rules cannot occur, as a rule is one (host,
 path) and the longer of two that fit wins; repeated pages count each; a host without
-trust and distrust is allowed; an empty table gives no rows; other columns are not read.
+trust and distrust is allowed; an empty table gives no rows; very long texts are read whole,
+in time linear in their length; other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +31,9 @@ from imgaudit.llm.common import written
 
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
          ("net", "/es/", "block"), ("net", "/fr/", "block"))
-DAMPING, STEPS, BLOCKING, SALTS = 0.85, 12, 1.0, 16
-LINK = r"(?i)<a\s[^>]*?href\s*=\s*[\"']?([^\"'\s>]+)"
+DAMPING, TOLERANCE, BLOCKING, SALTS = 0.85, 1e-4, 1.0, 16
+FOLDED = 16  # steps whose masses are added up together
+ANCHOR, LINK = r"(?i)<a\s", r"(?i)^[^>]*?href\s*=\s*[\"']?([^\"'\s>]+)"
 
 
 def host_of(url: Column) -> Column:
@@ -65,8 +69,10 @@ def judged(pages: DataFrame, rules: Sequence[tuple[str, str, str]], page_id: str
 
 def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Links from one host to another: ``source``, ``target``, number of links."""
-    links = pages.select(host_of(F.col(url)).alias("source"), F.explode(F.regexp_extract_all(
-        F.coalesce(F.col(html), F.lit("")), F.lit(LINK), F.lit(1))).alias("link"))
+    # every piece belongs to one anchor, so unclosed anchors are not read again and again
+    pieces = F.split(F.coalesce(F.col(html), F.lit("")), ANCHOR, -1)
+    anchors = pages.select(host_of(F.col(url)).alias("source"), F.posexplode(pieces).alias("at", "piece"))
+    links = anchors.filter("at > 0").select("source", F.regexp_extract("piece", LINK, 1).alias("link"))
     # any other link is relative, also one that holds a whole url further on
     absolute = F.when(F.startswith("link", F.lit("//")), F.concat(F.lit("http:"), "link")).when(
         F.col("link").rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), F.col("link"))
@@ -78,8 +84,9 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
 def propagate(edges: DataFrame, seeds: DataFrame, start: str, end: str) -> DataFrame:
     """Personalised PageRank along edges from ``start`` to ``end``: ``host``, ``mass``.
 
-    Mass that reaches a host without edges goes back to the seeds, as in a random walk that
-    starts anew. Each step is a join on the salted host and a sum that is combined per task.
+    Mass that reaches a host without edges goes back to the seeds. That only scales the
+    masses, so each step moves the mass of the last one on, a join on the salted host and a
+    sum that is combined per task, and the sum over all steps is scaled to 1 at the end.
     """
     total = seeds.agg(F.sum("mass")).first()[0] or 0.0
     if not total:
@@ -90,19 +97,22 @@ def propagate(edges: DataFrame, seeds: DataFrame, start: str, end: str) -> DataF
     shares = written(edges.withColumnRenamed(start, "host").join(weights, "host").select(
         "host", F.col(end).alias("to"), (F.col("links") / F.col("all")).alias("share"),
         salt.alias("salt")), "shares")
-    if shares.isEmpty():
-        return seeds
-    senders = shares.select("host").distinct().withColumn("_sends", F.lit(True))
-    rank = seeds
-    for _ in range(STEPS):
-        salted = rank.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        moved = shares.join(salted, ["host", "salt"]).groupBy(F.col("to").alias("host")).agg(
-            F.sum(F.col("mass") * F.col("share")).alias("mass"))
-        lost = rank.join(senders, "host", "left_anti").agg(F.coalesce(F.sum("mass"), F.lit(0.0))).first()[0]
-        back = seeds.select("host", (F.col("mass") * F.lit(1 - DAMPING + DAMPING * lost)).alias("mass"))
-        sent = moved.select("host", (F.col("mass") * F.lit(DAMPING)).alias("mass"))
-        rank = written(back.unionByName(sent).groupBy("host").agg(F.sum("mass").alias("mass")), "rank")
-    return rank
+    added, moving, sent = [seeds], seeds, 1.0
+    while True:
+        salted = moving.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        moving = written(shares.join(salted, ["host", "salt"]).groupBy(F.col("to").alias("host")).agg(
+            F.sum(F.col("mass") * F.col("share") * F.lit(DAMPING)).alias("mass")), "moving")
+        left = moving.agg(F.sum("mass")).first()[0] or 0.0
+        sent += left
+        added.append(moving)
+        if left <= TOLERANCE * (1 - DAMPING) * sent:  # all later steps add at most left / (1 - DAMPING)
+            return _sums(added).select("host", (F.col("mass") / F.lit(sent)).alias("mass"))
+        if len(added) > FOLDED:
+            added = [written(_sums(added), "mass")]
+
+
+def _sums(parts: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts).groupBy("host").agg(F.sum("mass").alias("mass"))
 
 
 def host_scores(rows: DataFrame, edges: DataFrame) -> DataFrame:
