@@ -3,10 +3,14 @@
 All work on rows is built-in functions. Four exact patterns give the base spans. Two wide
 generators, one for addresses and one for numbers, propose candidates that may overlap the
 base and each other; every candidate has a few small integer features of its format and of
-the characters around it. Spark counts candidates by feature values and by whether they
-overlap a base span; trees are boosted on these counts, which are as many as there are
-feature values and not rows. A threshold per generator is calibrated on documents that the
-trees have not seen. Candidates at or above it that overlap no base span are added.
+the characters around it. What the base misses has no labels, so base spans are spelled
+anew where they stand, in every style of ``STYLES``, and these are the positives. Candidates
+that overlap no base span are unlabelled. Of those with the same features, as many as there
+are positives may be hidden data; only the excess is negative.
+
+Spark counts both by feature values; trees are boosted on these counts, which are as many as
+there are feature values and not rows. A threshold per generator is calibrated on documents
+that the trees have not seen. Candidates at or above it that overlap no base span are added.
 
 Patterns are written so that each run of characters is tried once: repeats give nothing
 back, and a match may only start where a run starts or where the last match ended. That
@@ -14,7 +18,9 @@ keeps their leftmost matches and makes the time linear.
 
 Defined cases: a null or empty text has no spans; positions count code points; rows that
 repeat an id are read each on its own; a null id is carried through; without any candidate
-nothing is added; an empty table gives no rows; other columns are not read.
+nothing is added; spans of different kinds at one place are all listed, by kind; very long
+texts and texts of many spans are read whole, in time linear in their length but for a sort
+of their spans; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -46,11 +52,22 @@ GENERATORS = {
 FEATURES = {
     "digits": (8, 9, 11, 13, 16, 17, 20), "signs": (1, 2, 3, 4, 6), "longest_group": (4, 5, 7, 10, 16),
     "luhn": (1,), "bracket": (1,), "dotted_quad": (1,), "letter_before": (1,), "letter_after": (1,),
-    "quoted": (1,), "named": (1,),
+    "quoted": (1,), "named": (1,), "spelled_at": (1,), "spelled_dot": (1,), "dated": (1,),
+}
+#: Kind to (generator, the span's value spelled anew); a value that keeps its form gives none.
+STYLES = {
+    "email": ("address", lambda v: [F.concat(F.substring_index(v, "@", 1), F.lit(at), F.regexp_replace(
+        F.substring_index(v, "@", -1), r"\.", dot)) for at, dot in (
+            (" at ", " dot "), (" (at) ", " (dot) "), ("[at]", "[dot]"), (" (at) ", "."), ("@", " dot "))]),
+    "phone": ("number", lambda v: [F.when(v.rlike(r"[\x20().-]"), F.regexp_replace(v, start, "")) for start in (
+        r"^\+", r"^\+[0-9]{1,3}[\x20.-]+(?=[(0-9])")]),
+    "card": ("number", lambda v: [F.regexp_replace(
+        only_digits(v), "([0-9]{4})(?=[0-9])", "$1" + sign) for sign in ("\\.", "/", ":")]),
 }
 NAMED = "(?i)(?:phone|tel|call|mobile|fax|card|visa|mail|contact|address|ip)[^\\p{L}0-9]*$"
 SPAN = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
 ROUNDS, RESTING, RATE, PRECISION, CONTEXT = 15, 4, 0.5, 0.99, 24
+RUN = 256  # numbers in a block of running totals
 
 
 # ------------------------------------------------------------------ spans
@@ -66,18 +83,49 @@ def matches(text: Column, pattern: str, gate: Column | None = None) -> Column:
     gaps = F.when(F.size(found) > 0, F.split(text, pattern, -1)).otherwise(none)
     zipped = F.arrays_zip(found.alias("value"), gaps.alias("gap"),
                           F.slice(gaps, 2, F.size(found)).alias("next"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
 
-    def step(done, m):
-        first = done["at"] + F.char_length(m["gap"])
-        last = first + F.char_length(m["value"])
-        span = F.struct(first.alias("start"), last.alias("end"), m["value"].alias("value"),
+    def placed(m, last):
+        return F.struct((last - F.char_length(m["value"])).alias("start"), last.alias("end"),
+                        m["value"].alias("value"),
                         F.substring(m["gap"], -CONTEXT, CONTEXT).alias("before"),
                         F.substring(m["next"], 1, 1).alias("after"))
-        return F.struct(last.alias("at"), F.concat(done["spans"], F.array(span)).alias("spans"))
 
-    real = F.filter(zipped, lambda m: m["value"].isNotNull())
-    return F.aggregate(real, start, step, lambda done: done["spans"])
+    def spans(real):
+        lengths = F.transform(real, lambda m: F.char_length(m["gap"]) + F.char_length(m["value"]))
+        return F.zip_with(real, running(lengths, lambda a, b: a + b), placed)
+
+    return let(F.filter(zipped, lambda m: m["value"].isNotNull()), spans).cast(SPAN)
+
+
+def let(value: Column, use) -> Column:
+    """A column of a value that is worked out once, also where ``use`` reads it in a lambda."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running(numbers: Column, combine) -> Column:
+    """Running totals of integers under ``combine``, which must have 0 as its neutral element.
+
+    Totals grow an array within blocks, and blocks are then put in line, so that the time is
+    linear where one array that grows over all numbers would take the square.
+    """
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    lined = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("out"))
+
+    def step(done, n):
+        return let(combine(done["at"], n), lambda at: F.struct(
+            at.alias("at"), F.concat(done["out"], F.array(at)).alias("out")))
+
+    def line(done, block):
+        shifted = F.transform(block["out"], lambda n: combine(done["at"], n))
+        return F.struct(combine(done["at"], block["at"]).alias("at"),
+                        F.concat(done["out"], F.array(shifted)).alias("out"))
+
+    def over(own):
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(own), F.lit(1)), F.lit(RUN))
+        blocks = F.transform(firsts, lambda i: F.aggregate(F.slice(own, i, RUN), start, step))
+        return F.flatten(F.aggregate(blocks, lined, line, lambda done: done["out"]))
+
+    return let(numbers, over)
 
 
 def luhn(digits: Column) -> Column:
@@ -116,7 +164,7 @@ def with_base(documents: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 # ------------------------------------------------------------------ candidates
 
-def features(span: Column) -> Column:
+def features(span: Column | dict[str, Column]) -> Column:
     """The feature values of a candidate, each cut into steps, in the order of ``FEATURES``."""
     value, digits = span["value"], only_digits(span["value"])
     groups = F.transform(F.split(value, "[^0-9]+"), lambda g: F.char_length(g))
@@ -125,12 +173,15 @@ def features(span: Column) -> Column:
         "signs": F.char_length(value) - F.char_length(digits),
         "longest_group": F.array_max(groups),
         "luhn": luhn(digits),
-        "bracket": value.rlike("[()]"),
+        "bracket": value.rlike(r"[()\[\]]"),
         "dotted_quad": value.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"),
         "letter_before": span["before"].rlike(r"\p{L}$"),
         "letter_after": span["after"].rlike(r"^\p{L}"),
         "quoted": span["before"].rlike("[\"'=]\\s?[A-Za-z0-9]{0,20}$"),
         "named": span["before"].rlike(NAMED),
+        "spelled_at": ~F.contains(value, F.lit("@")),
+        "spelled_dot": value.rlike(r"(?:[\x20(\[])dot(?:[\x20)\]])"),
+        "dated": value.rlike(r"(?:^|[^0-9])(?:19|20)[0-9]{2}(?:[^0-9]|$)"),
     }
 
     def cut(bounds, number):
@@ -141,8 +192,23 @@ def features(span: Column) -> Column:
                       for name, bounds in FEATURES.items()])
 
 
-def overlaps(span: Column, spans: Column) -> Column:
-    return F.exists(spans, lambda s: (s["start"] < span["end"]) & (span["start"] < s["end"]))
+def overlapping(spans: Column, base: Column) -> Column:
+    """Per span, whether it overlaps a base span; the spans must be sorted and apart.
+
+    In the order of base starts and span ends, a span overlaps a base span if one of those
+    that start before its end ends after its start.
+    """
+    ends = F.transform(spans, lambda s: F.struct(
+        s["end"].alias("at"), F.lit(0).alias("base"), s["start"].alias("other")))
+    starts = F.transform(base, lambda b: F.struct(
+        b["start"].alias("at"), F.lit(1).alias("base"), b["end"].alias("other")))
+
+    def judged(events):
+        reach = running(F.transform(events, lambda e: e["base"] * e["other"]), F.greatest)
+        met = F.zip_with(events, reach, lambda e, end: F.when(e["base"] == 0, end > e["other"]))
+        return F.filter(met, lambda known: known.isNotNull())
+
+    return let(F.array_sort(F.concat(ends, starts)), judged)
 
 
 def kind_of(generator: str, span: Column) -> Column:
@@ -159,13 +225,25 @@ def with_candidates(rows: DataFrame) -> DataFrame:
     base = F.concat(*KINDS)
     gates = {"address": body.rlike(AT), "number": body.rlike("[0-9]")}
 
-    def candidate(name, s):
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), kind_of(name, s).alias("kind"),
-                        features(s).alias("features"), overlaps(s, base).alias("known"))
+    def candidates(name, found):
+        return F.zip_with(found, overlapping(found, base), lambda s, known: F.struct(
+            s["start"].alias("start"), s["end"].alias("end"), kind_of(name, s).alias("kind"),
+            features(s).alias("features"), known.alias("known")))
+
+    def anew(styles, s):
+        """Features of one span in all its styles; those still in the base's form are left out."""
+        spelled = F.filter(F.array(*styles(s["value"])), lambda v: v.isNotNull() & ~v.startswith("+"))
+        return F.transform(spelled, lambda v: features(
+            {"value": v, "before": s["before"], "after": s["after"]}))
+
+    def respelled(name):
+        return F.concat(*[F.flatten(F.transform(F.col(kind), partial(anew, styles)))
+                          for kind, (generator, styles) in STYLES.items() if generator == name])
 
     return rows.withColumns({
-        name: F.transform(matches(body, pattern, gates[name]), partial(candidate, name))
-        for name, pattern in GENERATORS.items()})
+        name: let(matches(body, pattern, gates[name]), partial(candidates, name))
+        for name, pattern in GENERATORS.items()} | {
+        f"{name}_anew": respelled(name) for name in GENERATORS})
 
 
 # ------------------------------------------------------------------ boosted trees
@@ -232,20 +310,33 @@ def as_column(trees: list, values: Column) -> Column:
     return reduce(lambda a, b: a + b, [branch(tree) for tree in trees], F.lit(0.0))
 
 
+def excess(counts: Sequence[tuple[Sequence[int], float, float]]) -> list:
+    """(features, positives, negatives) of (features, positives, unlabelled).
+
+    As many of the unlabelled as there are positives may be hidden data.
+    """
+    return [(values, good, max(0.0, free - good)) for values, good, free in counts]
+
+
 def calibrated(trees: list, counts: Sequence[tuple[Sequence[int], float, float]]) -> float:
-    """The margin from which on unseen candidates are right often enough.
+    """The margin from which on unseen candidates are right often enough, from unlabelled counts.
 
-    It lies halfway between the last group of them that is and the next one below; where
-    all of them together are right often enough, every candidate passes.
+    Groups of equal margin are taken from the highest down; it lies halfway between the last
+    group that holds more positives than negatives, with all so far right often enough, and
+    the next one below. It is infinite if there is none.
     """
-    scored = sorted(((sum(evaluate(t, c[0]) for t in trees), c[1], c[2]) for c in counts), reverse=True)
+    levels = {}
+    for values, good, free in counts:
+        margin = sum(evaluate(t, values) for t in trees)
+        g, f = levels.get(margin, (0.0, 0.0))
+        levels[margin] = (g + good, f + free)
+    order = sorted(levels, reverse=True)
     best, good, bad = math.inf, 0.0, 0.0
-    for i, (margin, g, b) in enumerate(scored):
+    for i, margin in enumerate(order):
+        (_, g, b), = excess([((), *levels[margin])])
         good, bad = good + g, bad + b
-        last = i + 1 == len(scored) or scored[i + 1][0] < margin
-        if last and good >= PRECISION * (good + bad):
-            below = scored[i + 1][0] if i + 1 < len(scored) else -math.inf
-            best = (margin + below) / 2
+        if g > b and good >= PRECISION * (good + bad):
+            best = (margin + order[i + 1]) / 2 if i + 1 < len(order) else margin
     return best
 
 
@@ -256,20 +347,25 @@ def fit(rows: DataFrame) -> dict[str, tuple[list, float]]:
     """
     unseen = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
-    def tagged(name, c):
-        return F.struct(F.lit(name).alias("generator"), c["features"].alias("features"),
-                        c["known"].alias("known"))
+    def tagged(name, anew, values):
+        return F.struct(F.lit(name).alias("generator"), values.alias("features"), F.lit(anew).alias("anew"))
+
+    def free(name, c):
+        return tagged(name, False, c["features"])
 
-    named = F.concat(*[F.transform(F.col(name), partial(tagged, name)) for name in GENERATORS])
+    named = F.concat(*[F.concat(
+        F.transform(F.col(f"{name}_anew"), partial(tagged, name, True)),
+        F.transform(F.filter(F.col(name), lambda c: ~c["known"]), partial(free, name)))
+        for name in GENERATORS])
     counted = rows.select(unseen.alias("unseen"), F.explode(named).alias("c")).groupBy(
         "unseen", "c.generator", "c.features").agg(
-        F.count_if("c.known").alias("good"), F.count_if(~F.col("c.known")).alias("bad")).collect()
+        F.count_if("c.anew").alias("good"), F.count_if(~F.col("c.anew")).alias("free")).collect()
     models = {}
     for name in GENERATORS:
         own = [r for r in counted if r.generator == name]
-        seen, held = ([(r.features, float(r.good), float(r.bad)) for r in sorted(own, key=repr)
+        seen, held = ([(r.features, float(r.good), float(r.free)) for r in sorted(own, key=repr)
                        if r.unseen == flag] for flag in (False, True))
-        trees = boost(seen) if seen else []
+        trees = boost(excess(seen)) if seen else []
         models[name] = (trees, calibrated(trees, held) if trees else math.inf)
     return models
 
@@ -282,8 +378,8 @@ def personal_data(documents: DataFrame, text: str = "text", doc_id: str = "doc_i
         return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
 
     found = with_candidates(with_base(documents, text, doc_id))
-    found = written(found.select("doc_id", *[places(F.col(k)).alias(k) for k in KINDS], *GENERATORS),
-                    "candidates")
+    found = written(found.select("doc_id", *[places(F.col(k)).alias(k) for k in KINDS], *GENERATORS,
+                                 *[f"{name}_anew" for name in GENERATORS]), "candidates")
     models = fit(found)
 
     def accepted(trees, least, c):
@@ -293,7 +389,7 @@ def personal_data(documents: DataFrame, text: str = "text", doc_id: str = "doc_i
         F.filter(F.col(name), partial(accepted, trees, least)),
         lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
         for name, (trees, least) in models.items()])
-    rows = found.withColumn("_added", F.array_distinct(added))
+    rows = found.withColumn("_added", added)  # generators give different kinds, so none is there twice
 
     def spell(kind, spans):
         return F.transform(spans, lambda s: F.concat_ws(":", F.lit(kind), s["start"], s["end"]))
@@ -318,16 +414,21 @@ def redact(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
         F.split(s, ":")[0].alias("kind")))
     inner, (own_text, own_id) = aside(documents, text, doc_id)
     body = F.coalesce(F.col(own_text), F.lit(""))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(done, s):
-        fresh = s["start"] >= done["at"]
-        gap = F.substring(body, done["at"] + 1, F.greatest(s["start"] - done["at"], F.lit(0)))
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.concat(
-            done["out"], F.when(fresh, F.concat(gap, F.lit("["), s["kind"], F.lit("]"))).otherwise("")
-        ).alias("out"))
 
-    cut = F.aggregate(F.array_sort(parsed), start, step, lambda done: F.concat(
-        done["out"], F.substring(body, done["at"] + 1, F.char_length(body))))
+    def piece(wide, at, to):
+        """Code points [at, to) of a text whose code points take four bytes each."""
+        return F.decode(F.substring(wide, 4 * at + 1, 4 * (to - at)), "UTF-32")
+
+    def pieces(own):
+        ordered, wide = own["spans"], own["wide"]
+        reach = running(F.transform(ordered, lambda s: s["end"]), F.greatest)
+        before = F.concat(F.array(F.lit(0)), reach)  # one more than spans, the last one for the rest
+        cut = F.transform(F.filter(F.arrays_zip(ordered.alias("s"), before.alias("at")), lambda z: (
+            z["s"].isNull() | (z["s"]["start"] >= z["at"]))), lambda z: F.concat(
+            piece(wide, z["at"], F.coalesce(z["s"]["start"], (F.length(wide) / 4).cast("int"))),
+            F.coalesce(F.concat(F.lit("["), z["s"]["kind"], F.lit("]")), F.lit(""))))
+        return F.array_join(cut, "")
+
+    cut = let(F.struct(F.array_sort(parsed).alias("spans"), F.encode(body, "UTF-32").alias("wide")), pieces)
     joined = inner.join(spans, F.col(own_id).eqNullSafe(F.col("_id"))).withColumn(own_text, cut)
     return joined.drop("_id", "spans").toDF(*documents.columns)

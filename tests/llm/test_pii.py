@@ -1,5 +1,7 @@
 import hashlib
 import re
+import time
+from itertools import accumulate
 
 import pytest
 from hypothesis import given, settings
@@ -125,3 +127,49 @@ def test_trees_separate_and_calibrate():
     for values, good, _ in counts:
         assert (sum(op.evaluate(t, values) for t in trees) >= least) == (good > 0)
     assert op.calibrated(trees, [((0,) * width, 1.0, 99.0)]) == float("inf")
+    assert op.calibrated(trees, [((6, *[0] * (width - 1)), 900.0, 0.0), ((0,) * width, 0.0, 800.0)]) > -1
+
+
+@pytest.mark.parametrize("every", [3, 50])
+def test_respelled_addresses_are_found(documents, every):
+    """Hidden addresses are found, however many there are; ordinary words and numbers are left."""
+    def said(i):
+        if i % every:
+            return f"write to jo.{i}@mail{i % 7}.org now"
+        return f"write to jo.{i} " + ("at", "(at)")[i % 2] + f" mail{i % 7} " + ("dot", "(dot)")[i % 2] + " org now"
+
+    rows = [(i, said(i)) for i in range(600)]
+    rows += [(1000 + i, f"he was at home.Then part {i * 977}-{i} of 2024-01-{i % 28 + 1:02} {i % 24}:30:00 "
+              f"and order {10 ** 10 + i * 7919}") for i in range(300)]
+    rows += [(2000 + i, f"call +{1 + i % 60} 20{i % 10} 55{i % 10}-{1000 + i}") for i in range(200)]
+    found = {r.doc_id: r for r in op.personal_data(documents(rows)).collect()}
+    hidden = [i for i in range(600) if i % every == 0]
+    assert sum(found[i].spans.startswith("email:9:") and found[i].n_added == 1 for i in hidden) >= 0.9 * len(hidden)
+    assert [rows_ for i in range(600) if i % every and (rows_ := found[i].n_added)] == []
+    assert [found[i].spans for i in range(1000, 1300) if found[i].n_added] == []
+
+
+def test_many_spans_in_one_text(documents):
+    """50,000 addresses in one text: linear time, and every one is counted and cut out."""
+    text = " ".join(f"a{i}@b{i % 9}.org" for i in range(50_000))
+    df = documents([(1, text), (2, None)])
+    began = time.monotonic()
+    rows = {r.doc_id: r for r in op.personal_data(df).collect()}
+    assert time.monotonic() - began < 60
+    assert rows[1].n_email == 50_000 and base_columns(op.personal_data(df)) == expected([(1, text), (2, None)])
+    out = {r.doc_id: r.text for r in op.redact(df).collect()}
+    assert out == {1: " ".join(["[email]"] * 50_000), 2: ""}
+
+
+def test_redact_counts_code_points(documents):
+    df = documents([(1, "😀é a@b.com ß 10.0.0.1😀"), (2, "x@y.zz"), (3, "+ 4111 1111 1111 1111, a")])
+    out = {r.doc_id: r.text for r in op.redact(df).collect()}
+    assert out == {1: "😀é [email] ß [ip]😀", 2: "[email]", 3: "+ [card], a"}
+
+
+def test_running_totals(spark):
+    numbers = [(i * 7919) % 101 for i in range(1000)]
+    for own in ([], numbers[:1], numbers[:256], numbers[:257], numbers):
+        row = spark.createDataFrame([(own,)], "n array<int>").select(
+            op.running(F.col("n"), lambda a, b: a + b).alias("sum"), op.running(F.col("n"), F.greatest).alias("top")).first()
+        assert row["sum"] == list(accumulate(own)) and row.top == list(accumulate(own, max))
