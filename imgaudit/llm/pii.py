@@ -4,9 +4,9 @@ All work on rows is built-in functions. Four exact patterns give the base spans.
 generators, one for addresses and one for numbers, propose candidates that may overlap the
 base and each other; every candidate has a few small integer features of its format and of
 the characters around it. What the base misses has no labels, so base spans are spelled
-anew where they stand, in every style of ``STYLES``, and these are the positives. Candidates
-that overlap no base span are unlabelled. Of those with the same features, as many as there
-are positives may be hidden data; only the excess is negative.
+anew where they stand, each in the style of ``STYLES`` that a hash of it chooses, and these
+are the positives. Candidates that overlap no base span are unlabelled. In one style as many
+may be hidden as base spans are spelled in all styles together; only the excess is negative.
 
 Spark counts both by feature values; trees are boosted on these counts, which are as many as
 there are feature values and not rows. A threshold per generator is calibrated on documents
@@ -64,6 +64,7 @@ STYLES = {
     "card": ("number", lambda v: [F.regexp_replace(
         only_digits(v), "([0-9]{4})(?=[0-9])", "$1" + sign) for sign in ("\\.", "/", ":")]),
 }
+HIDDEN = {"address": 5, "number": 2}  # unlabelled per positive that may be hidden: the styles of a span
 NAMED = "(?i)(?:phone|tel|call|mobile|fax|card|visa|mail|contact|address|ip)[^\\p{L}0-9]*$"
 SPAN = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
 ROUNDS, RESTING, RATE, PRECISION, CONTEXT = 15, 4, 0.5, 0.99, 24
@@ -231,9 +232,12 @@ def with_candidates(rows: DataFrame) -> DataFrame:
             features(s).alias("features"), known.alias("known")))
 
     def anew(styles, s):
-        """Features of one span in all its styles; those still in the base's form are left out."""
+        """Features of one span in one of its styles; none if all are still in the base's form."""
         spelled = F.filter(F.array(*styles(s["value"])), lambda v: v.isNotNull() & ~v.startswith("+"))
-        return F.transform(spelled, lambda v: features(
+        turn = F.crc32(s["value"].cast("binary"))
+        one = let(spelled, lambda own: F.slice(
+            own, (turn % F.greatest(F.size(own), F.lit(1)) + 1).cast("int"), 1))
+        return F.transform(one, lambda v: features(
             {"value": v, "before": s["before"], "after": s["after"]}))
 
     def respelled(name):
@@ -310,15 +314,16 @@ def as_column(trees: list, values: Column) -> Column:
     return reduce(lambda a, b: a + b, [branch(tree) for tree in trees], F.lit(0.0))
 
 
-def excess(counts: Sequence[tuple[Sequence[int], float, float]]) -> list:
+def excess(counts: Sequence[tuple[Sequence[int], float, float]], styles: int) -> list:
     """(features, positives, negatives) of (features, positives, unlabelled).
 
-    As many of the unlabelled as there are positives may be hidden data.
+    A positive stands for one of each style, and as many of the unlabelled may be hidden data.
     """
-    return [(values, good, max(0.0, free - good)) for values, good, free in counts]
+    return [(values, good, max(0.0, free - styles * good)) for values, good, free in counts]
 
 
-def calibrated(trees: list, counts: Sequence[tuple[Sequence[int], float, float]]) -> float:
+def calibrated(trees: list, counts: Sequence[tuple[Sequence[int], float, float]],
+               styles: int = 1) -> float:
     """The margin from which on unseen candidates are right often enough, from unlabelled counts.
 
     Groups of equal margin are taken from the highest down; it lies halfway between the last
@@ -333,7 +338,7 @@ def calibrated(trees: list, counts: Sequence[tuple[Sequence[int], float, float]]
     order = sorted(levels, reverse=True)
     best, good, bad = math.inf, 0.0, 0.0
     for i, margin in enumerate(order):
-        (_, g, b), = excess([((), *levels[margin])])
+        (_, g, b), = excess([((), *levels[margin])], styles)
         good, bad = good + g, bad + b
         if g > b and good >= PRECISION * (good + bad):
             best = (margin + order[i + 1]) / 2 if i + 1 < len(order) else margin
@@ -365,8 +370,8 @@ def fit(rows: DataFrame) -> dict[str, tuple[list, float]]:
         own = [r for r in counted if r.generator == name]
         seen, held = ([(r.features, float(r.good), float(r.free)) for r in sorted(own, key=repr)
                        if r.unseen == flag] for flag in (False, True))
-        trees = boost(excess(seen)) if seen else []
-        models[name] = (trees, calibrated(trees, held) if trees else math.inf)
+        trees = boost(excess(seen, HIDDEN[name])) if seen else []
+        models[name] = (trees, calibrated(trees, held, HIDDEN[name]) if trees else math.inf)
     return models
 
 

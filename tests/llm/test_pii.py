@@ -154,9 +154,8 @@ def test_many_spans_in_one_text(documents):
     text = " ".join(f"a{i}@b{i % 9}.org" for i in range(50_000))
     df = documents([(1, text), (2, None)])
     began = time.monotonic()
-    rows = {r.doc_id: r for r in op.personal_data(df).collect()}
+    assert base_columns(op.personal_data(df)) == expected([(1, text), (2, None)])
     assert time.monotonic() - began < 60
-    assert rows[1].n_email == 50_000 and base_columns(op.personal_data(df)) == expected([(1, text), (2, None)])
     out = {r.doc_id: r.text for r in op.redact(df).collect()}
     assert out == {1: " ".join(["[email]"] * 50_000), 2: ""}
 
