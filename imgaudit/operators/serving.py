@@ -41,9 +41,13 @@ def snapshot_mirror(cache: DataFrame, version: Column | str | None, capacity: in
     return first_n(cache, "seq", capacity, last=True).withColumn("model_version", version)
 
 
-def restore_cache(cache: DataFrame, mirror: DataFrame, installed: Column | str | None) -> DataFrame:
-    """A cache plus the mirror's valid entries for urls it does not hold yet."""
-    restored = valid_cache(mirror, installed).join(cache.select("url"), "url", "left_anti")
+def restore_cache(cache: DataFrame, mirror: DataFrame, installed: Column | str | None,
+                  key: str = "url") -> DataFrame:
+    """A cache plus the mirror's valid entries whose key it does not hold yet.
+
+    The key says what one entry is: a url, or the entry's number where urls may recur.
+    """
+    restored = valid_cache(mirror, installed).join(cache.select(key), key, "left_anti")
     return cache.unionByName(restored, allowMissingColumns=True)
 
 

@@ -1,8 +1,10 @@
 """Streams against their batch twins, over several micro-batches."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as driver
 from imgaudit import schemas
 from imgaudit.operators import serving
 from imgaudit.streaming import pages, sinks, verdicts
@@ -134,6 +136,17 @@ def test_mirror_restores_only_matching_entries(spark):
     assert {(r.url, r.score) for r in restored} == {("a", 0.1), ("b", 0.9)}
 
 
+def test_restored_query_keeps_rows_that_share_a_url(spark, tmp_path):
+    pages = [(0, "a"), (2, "a"), (4, None), (6, "b"), (8, "c"), (12, None), (14, "b"), (16, "a"), (18, "a"), (22, None)]
+    spark.createDataFrame([(*p, "") for p in pages], "page_id long, url string, html string").write.parquet(
+        f"{tmp_path}/pages.parquet")
+    found = driver.queries()["invalidate_on_model_change"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = con.execute(driver.oracle_sql()["invalidate_on_model_change"]).fetchall()
+    assert sorted(r.seq for r in found.collect()) == sorted(seq for seq, _ in want) and len(want) == 9
+
+
 def _hours(start, stop):
     """Events of ``start`` to ``stop`` hours, every ten minutes, of five pages and one without an id."""
     rows = []
