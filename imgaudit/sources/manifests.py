@@ -5,7 +5,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from imgaudit import schemas
@@ -42,6 +42,19 @@ def scan_shards(spark: SparkSession, paths: Sequence[str], columns: Sequence[str
         F.col("_metadata.row_index").alias("row_index"))
 
 
+def with_position(shards: DataFrame, order: str, name: str = "position") -> DataFrame:
+    """Scanned shards with each row's number over all files, those of least ``order`` first.
+
+    One row per file is counted and sent to the readers; no wide row is shuffled. File names are
+    not compared: ``part-10`` may come after ``part-9``. Files without an ordered row come first.
+    """
+    files = shards.groupBy("file").agg(F.min(order).alias("_least"), F.count(F.lit(1)).alias("_rows"))
+    before = Window.orderBy("_least", "file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select("file", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    placed = shards.join(F.broadcast(starts), "file")
+    return placed.select(*shards.columns, (F.col("_start") + F.col("row_index")).alias(name))
+
+
 def scan_image_dir(spark: SparkSession, root: str, prefix: str = "",
                    extensions: tuple[str, ...] = IMAGE_EXTENSIONS,
                    content: bool = True) -> DataFrame:

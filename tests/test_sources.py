@@ -9,6 +9,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as driver
 from imgaudit import schemas
 from imgaudit.operators import reports
 from imgaudit.session import clear, shared_dir, stored
@@ -37,6 +38,21 @@ def test_missing_manifest(spark, manifest, tmp_path):
         manifests.load_manifests(spark, paths).count()
 
 
+def test_positions_run_on_over_files(spark, tmp_path):
+    """Files of several sizes, one empty, whose names do not sort as their rows do."""
+    schema = "doc_id long, source string, lang string"
+    for name, low, high in (("part-10", 0, 7), ("part-9", 7, 8), ("part-1", 8, 300), ("part-0", 300, 300), ("part-2", 300, 311)):
+        folder = tmp_path / "one" / name
+        spark.createDataFrame([(i, f"s{i % 3}", None) for i in range(low, high)], schema).coalesce(1).write.parquet(str(folder))
+        (tmp_path / "documents.parquet").mkdir(exist_ok=True)
+        next(folder.glob("*.parquet")).rename(tmp_path / "documents.parquet" / f"{name}.parquet")
+    rows = driver.queries()["scan_shards"](spark, str(tmp_path))
+    assert sorted(rows.columns) == ["doc_id", "lang", "row_index", "source"]
+    assert sorted((r.doc_id, r.row_index) for r in rows.collect()) == [(i, i) for i in range(311)]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
 def test_stage_runs_once_and_again_after_a_broken_write(spark, manifest, tmp_path):
     path, runs = f"{tmp_path}/stage", []
 
