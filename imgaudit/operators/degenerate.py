@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from imgaudit.functions.common import ColumnLike, col
 from imgaudit.operators.ranking import order_value, with_range
+from imgaudit.session import small_batches
 
 MIN_VARIANCE = 4.0
 MIN_CORRELATION = 0.15
@@ -116,6 +117,7 @@ def image_stats(images: DataFrame, row_step: Callable[[int], int] = every_row) -
     One image is one row. All pixel rows are read, or only every ``row_step(height)``-th.
     """
     schema = "path string, " + ", ".join(f"{name} double" for name in SUMS)
+    small_batches(images.sparkSession)
     sums = images.select("path", "height", "width", "channels", "data").mapInArrow(
         _luma_sums(row_step), schema)
     return with_statistics(sums).select("path", "variance", "correlation")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from imgaudit import fixed_values as fixed
 from imgaudit.functions.images import model_geometry, native_crop
 from imgaudit.functions.verdicts import calibrated_score, in_band
+from imgaudit.session import small_batches
 
 Scorer = Callable[[np.ndarray], np.ndarray]
 
@@ -95,7 +96,7 @@ def band_sizes(scores: DataFrame, bias: float = 0.0, band_lo: float = fixed.TTA_
 # ------------------------------------------------------------------ tensors
 
 BAND = 32  # outputs per block of the filter matrix
-STACK_BYTES = 4 << 20  # pixels resampled together
+STACK_BYTES = 4 << 20  # pixels, or values of tensors, resampled together
 
 
 @lru_cache(maxsize=256)
@@ -161,13 +162,17 @@ def input_tensors(pixels: np.ndarray, shorter: int, crop: int, mean: np.ndarray,
     return ((whole / 255.0 - mean) / std).transpose(0, 3, 2, 1).astype(np.float32)
 
 
-def _one_size(batch: pa.RecordBatch) -> Iterator[tuple[list[int], np.ndarray]]:
-    """Row numbers and pixels (RGB) of the batch's images, size by size, some megabytes at a time."""
+def _one_size(batch: pa.RecordBatch, crop: int) -> Iterator[tuple[list[int], np.ndarray]]:
+    """Row numbers and pixels (RGB) of the batch's images, size by size.
+
+    Some megabytes at a time, both of the pixels and of the tensors that are made of them.
+    """
     sizes: dict[tuple, list[int]] = {}
     for i, shape in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)))):
         sizes.setdefault(shape, []).append(i)
     for shape, rows in sizes.items():
-        together = max(1, STACK_BYTES // max(1, int(np.prod(shape))))
+        height, width, channels = shape
+        together = max(1, STACK_BYTES // max(height * width * max(channels, 3), 3 * crop * crop * 8))
         for at in range(0, len(rows), together):
             part = rows[at:at + together]
             pixels = np.stack([np.frombuffer(batch.column(4)[i].as_buffer(), np.uint8).reshape(shape) for i in part])
@@ -180,15 +185,15 @@ def prepare_tensors(images: DataFrame, shorter: int = fixed.RESIZE_SHORTER_SIDE,
     """Decoded images (key, height, width, channels, data in BGR) -> (key, tensor).
 
     The tensor is 3 x crop x crop, flattened. Images of one size that come in the same Arrow
-    batch are resampled together. Keep batches small for large images
-    (``spark.sql.execution.arrow.maxRecordsPerBatch``).
+    batch are resampled together.
     """
+    small_batches(images.sparkSession)
     mean, std = (np.asarray(v) for v in fixed.NORM_PRESETS[preset])
     key_type = images.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, pixels in _one_size(batch):
+            for rows, pixels in _one_size(batch, crop):
                 tensors = input_tensors(pixels, shorter, crop, mean, std).reshape(len(rows), -1)
                 ends = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * tensors.shape[1])
                 yield pa.RecordBatch.from_arrays(

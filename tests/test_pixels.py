@@ -4,11 +4,13 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from image_files import png
 from imgaudit import fixed_values as fixed
+from imgaudit import session
 from imgaudit.operators import degenerate, scoring
 from imgaudit.sources import manifests
 
@@ -111,6 +113,42 @@ def test_tensors_of_mixed_sizes_in_one_batch(spark):
         assert np.abs(level - whole).max() <= 0.5 + 1e-6
 
 
+def _largest_batch(df):
+    def sizes(batches):
+        import pyarrow as pa
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+    return df.mapInArrow(sizes, "n long").agg({"n": "max"}).first()[0]
+
+
+@pytest.mark.parametrize("step", [scoring.prepare_tensors, degenerate.image_stats])
+def test_wide_rows_come_in_small_batches(spark, step):
+    """A worker's memory does not grow with the rows of its task; a bound of the session's own stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    images = spark.range(600).coalesce(1).selectExpr(
+        "CAST(id AS STRING) AS path", "40 AS height", "1000 AS width", "1 AS channels",
+        "CAST(repeat('x', 40000) AS BINARY) AS data", "data AS content")
+    spark.conf.unset(name)
+    step(images)
+    assert _largest_batch(images.select("path", "data")) <= 2 * session.BATCH_BYTES
+    spark.conf.set(name, "1000000")
+    step(images)
+    assert spark.conf.get(name) == "1000000" and _largest_batch(images.select("path", "data")) <= 2_000_000
+    spark.conf.unset(name)
+
+
+@pytest.mark.parametrize("side, channels, crop", [(8, 1, 224), (64, 1, 24), (500, 3, 24), (3000, 1, 224)])
+def test_stacks_stay_small(side, channels, crop):
+    """Neither the pixels nor the tensors of images that are resampled together pass some megabytes."""
+    data = bytes(side * side * channels)
+    batch = pa.RecordBatch.from_pydict({"path": list(range(40)), "height": [side] * 40, "width": [side] * 40,
+                                        "channels": [channels] * 40, "data": [data] * 40})
+    stacks = list(scoring._one_size(batch, crop))
+    assert sorted(i for rows, _ in stacks for i in rows) == list(range(40))
+    assert all(len(rows) == 1 or max(pixels.size, len(rows) * 3 * crop * crop * 8) <= scoring.STACK_BYTES
+               for rows, pixels in stacks)
+
+
 def test_no_images(spark):
     df = spark.createDataFrame([], "path int, height int, width int, channels int, data binary")
     assert scoring.prepare_tensors(df).count() == 0
