@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from image_files import png
 from imgaudit import fixed_values as fixed
 from imgaudit import session
-from imgaudit.operators import degenerate, scoring
+from imgaudit.operators import degenerate, forensics, scoring
 from imgaudit.sources import manifests
 
 
@@ -121,7 +121,7 @@ def _largest_batch(df):
     return df.mapInArrow(sizes, "n long").agg({"n": "max"}).first()[0]
 
 
-@pytest.mark.parametrize("step", [scoring.prepare_tensors, degenerate.image_stats])
+@pytest.mark.parametrize("step", [scoring.prepare_tensors, degenerate.image_stats, forensics.with_chunks])
 def test_wide_rows_come_in_small_batches(spark, step):
     """A worker's memory does not grow with the rows of its task; a bound of the session's own stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
