@@ -52,10 +52,10 @@ _FILES = [
 ]
 
 
-def _image_files(t: Tables) -> DataFrame:
-    """Each document's whole text wrapped as an image file."""
+def _image_files(t: Tables, *more: str) -> DataFrame:
+    """Each document's whole text wrapped as an image file, with more columns of the document."""
     kinds = " ".join(f"WHEN {i} THEN {expr}" for i, expr in enumerate(_FILES))
-    return t.documents.selectExpr("doc_id", f"CASE doc_id % 8 {kinds} END AS content")
+    return t.documents.selectExpr("doc_id", *more, f"CASE doc_id % 8 {kinds} END AS content")
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 8 IN (4, 5) THEN '.jpg' WHEN doc_id % 8 = 7 THEN '.webp'
@@ -75,10 +75,10 @@ def scan_image_dir(t: Tables) -> DataFrame:
     ending = F.when(F.col("doc_id") % 7 == 0, ".txt").when(kind.isin(4, 5), ".JPG").when(
         kind == 7, ".webp").otherwise(".png")
     hidden = F.when(F.col("doc_id") % 9 == 0, ".").otherwise("")
-    files = _image_files(t).join(t.documents.select("doc_id", "source"), "doc_id")
     root = shared_dir(t.spark, "image-dir")
-    sinks.write_files(files.withColumn("name", F.concat("source", F.lit("/"), hidden, F.col("doc_id").cast(
-        "string"), ending)), root)
+    files = _image_files(t, "source").withColumn("name", F.concat("source", F.lit("/"), hidden, F.col("doc_id").cast(
+        "string"), ending))
+    sinks.write_files(files, root)
     found = manifests.scan_image_dir(t.spark, root, "sb_", content=False)
     return found.select("source", images.basename("path").alias("name"))
 

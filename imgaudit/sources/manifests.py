@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -55,14 +56,28 @@ def with_position(shards: DataFrame, order: str, name: str = "position") -> Data
     return placed.select(*shards.columns, (F.col("_start") + F.col("row_index")).alias(name))
 
 
+@contextmanager
+def _folders_listed_by_tasks(spark: SparkSession) -> Iterator[None]:
+    """Spark lists up to 32 folders one after the other on the driver; here, from two on, as a job."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.threshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def scan_image_dir(spark: SparkSession, root: str, prefix: str = "",
                    extensions: tuple[str, ...] = IMAGE_EXTENSIONS,
                    content: bool = True) -> DataFrame:
     """Image files below a folder; ``source`` is a prefix plus the parent folder's name.
 
-    Hidden files are left out. Without ``content`` the files are listed but not read.
+    Hidden files are left out. Without ``content`` the files are listed but not read. The
+    folders below ``root`` are listed by tasks, however few they are.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    with _folders_listed_by_tasks(spark):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     kept = files.filter(has_extension("path", extensions) & ~is_hidden("path"))
     columns = ["path", "length", "modificationTime"] + (["content"] if content else [])
     return kept.select(*columns, F.concat(F.lit(prefix), parent_name("path")).alias("source"))

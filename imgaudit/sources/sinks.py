@@ -80,11 +80,14 @@ def write_files(df: DataFrame, root: str, name: str = "name", content: str = "co
     """
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, top = fs.FileSystem.from_uri(root)
-        done = 0
+        done, made = 0, set()
         for batch in batches:
             for path, body in zip(batch.column(0).to_pylist(), batch.column(1)):
                 target = f"{top}/{path}"
-                system.create_dir(target.rpartition("/")[0], recursive=True)
+                folder = target.rpartition("/")[0]
+                if folder not in made:
+                    system.create_dir(folder, recursive=True)
+                    made.add(folder)
                 part = f"{target}.{uuid.uuid4().hex}.part"
                 with system.open_output_stream(part) as out:
                     out.write(body.as_buffer())

@@ -8,11 +8,35 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as driver
 from image_files import png
 from imgaudit import fixed_values as fixed
 from imgaudit import session
 from imgaudit.operators import degenerate, forensics, scoring
-from imgaudit.sources import manifests
+from imgaudit.sources import manifests, sinks
+
+
+def test_folders_are_listed_by_tasks(spark, folder):
+    """Two folders already make a Spark job, and the session's setting is as it was."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.threshold"
+    before, tracker = spark.conf.get(name), spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("listing", "listing")
+    found = manifests.scan_image_dir(spark, folder, "sb_", content=False)
+    assert tracker.getJobIdsForGroup("listing") and spark.conf.get(name) == before
+    spark.sparkContext.setJobGroup("other", "other")
+    assert sorted(r.source for r in found.collect()) == ["sb_gen_a", "sb_gen_a", "sb_gen_b"]
+
+
+def test_written_files_cross_no_exchange(spark, monkeypatch):
+    """The folder scan's query writes whole texts from where they are read."""
+    plans, write = [], sinks.write_files
+
+    def seen(files, *more):
+        plans.append(files._jdf.queryExecution().executedPlan().toString())
+        return write(files, *more)
+    monkeypatch.setattr(sinks, "write_files", seen)
+    driver.queries()["scan_image_dir"](spark, "/root/testdata/sf0.001")
+    assert len(plans) == 1 and "Exchange" not in plans[0]
 
 
 @pytest.fixture(scope="module")
