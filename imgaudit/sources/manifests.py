@@ -13,6 +13,7 @@ from imgaudit import schemas
 from imgaudit.functions.images import has_extension, is_hidden, parent_name
 from imgaudit.sources.files import exists
 
+LISTING_TASKS = 8  # per core, where files are not read
 IMAGE_EXTENSIONS = (".png", ".jpg", ".jpeg", ".webp", ".tif", ".tiff")
 
 
@@ -80,6 +81,8 @@ def scan_image_dir(spark: SparkSession, root: str, prefix: str = "",
         files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     kept = files.filter(has_extension("path", extensions) & ~is_hidden("path"))
     columns = ["path", "length", "modificationTime"] + (["content"] if content else [])
+    if not content:  # Spark deals some thirty files to a partition, as if each were read
+        kept = kept.coalesce(LISTING_TASKS * spark.sparkContext.defaultParallelism)
     return kept.select(*columns, F.concat(F.lit(prefix), parent_name("path")).alias("source"))
 
 

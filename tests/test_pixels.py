@@ -27,6 +27,21 @@ def test_folders_are_listed_by_tasks(spark, folder):
     assert sorted(r.source for r in found.collect()) == ["sb_gen_a", "sb_gen_a", "sb_gen_b"]
 
 
+def test_listed_files_share_tasks(spark, tmp_path):
+    """Files that are not read do not make a task for every few of them."""
+    count = 10 * manifests.LISTING_TASKS * spark.sparkContext.defaultParallelism // 8
+    (tmp_path / "gen_a").mkdir()
+    for i in range(count):
+        (tmp_path / "gen_a" / f"{i}.png").write_bytes(b"x")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1")
+    try:
+        found = manifests.scan_image_dir(spark, str(tmp_path), content=False)
+        assert found.rdd.getNumPartitions() <= manifests.LISTING_TASKS * spark.sparkContext.defaultParallelism < count
+        assert found.count() == count
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_written_files_cross_no_exchange(spark, monkeypatch):
     """The folder scan's query writes whole texts from where they are read."""
     plans, write = [], sinks.write_files
