@@ -1,6 +1,7 @@
 """Caps, strides and splits: rules pinned on small tables, invariants on larger ones."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -292,3 +293,35 @@ def test_cover_join_of_empty_tables(spark):
     schema = "{} int, page string, x0 int, y0 int, x1 int, y1 int"
     images, boxes = (spark.createDataFrame([], schema.format(c)) for c in ("image", "box_id"))
     assert lookups.cover_join(images, boxes, "page").count() == 0
+
+
+@pytest.mark.parametrize("most", [65_536, 40])
+def test_cover_join_of_equal_boxes_in_crowded_cells(spark, monkeypatch, most):
+    """Equal boxes and images, also without an id, lose and double no pair when cells are dealt to parts."""
+    monkeypatch.setattr(lookups, "CROWDED", most)
+    monkeypatch.setattr(lookups, "BLOCK", 16)
+    sides = [(0.0, 0.0, 100.0, 100.0), (-0.0, 0.0, 100.0, 100.0), (50.0, 60.0, 120.0, 130.0), (-9.0, -9.0, 900.0, 900.0)]
+    images = [(None if i % 50 == 0 else i, "p", *sides[i % 3]) for i in range(200)]
+    boxes = [(None if i % 70 == 0 else i, "p" if i % 9 else None, *sides[i % 4]) for i in range(300)]
+    schema = "{} int, page string, x0 double, y0 double, x1 double, y1 double"
+    found = lookups.cover_join(spark.createDataFrame(images, schema.format("image")),
+                               spark.createDataFrame(boxes, schema.format("box_id")), "page").collect()
+
+    def covers(a, b):
+        wide, high = (max(0, min(a[c + 2], b[c + 2]) - max(a[c], b[c])) for c in (2, 3))
+        return wide * high >= (a[4] - a[2]) * (a[5] - a[3]) * 0.8
+
+    want = [(a[0], b[0]) for a in images for b in boxes if a[1] == b[1] and covers(a, b)]
+    assert Counter((r.image, r.box_id) for r in found) == Counter(want) and len(want) > 20_000
+
+
+def test_cover_join_writes_pairs_of_equal_boxes_in_few_bytes(spark, tmp_path):
+    images = spark.range(1500).selectExpr("id AS image", "id % 3 AS page", "id * 37 % 50 AS x0", "id * 53 % 50 AS y0",
+                                          "id * 37 % 50 + 20 AS x1", "id * 53 % 50 + 20 AS y1")
+    boxes = spark.range(12_000).selectExpr("id AS box_id", "id % 3 AS page", "id % 20 AS x0", "id % 10 AS y0",
+                                           "id % 20 + 60 AS x1", "id % 10 + 60 AS y1")
+    out = str(tmp_path / "pairs")
+    lookups.cover_join(images, boxes, "page").select("image", "box_id").write.parquet(out)
+    pairs = spark.read.parquet(out).count()
+    assert pairs > 3_000_000
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < pairs * 0.5
