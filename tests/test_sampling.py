@@ -1,6 +1,7 @@
 """Caps, strides and splits: rules pinned on small tables, invariants on larger ones."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -325,3 +326,15 @@ def test_cover_join_writes_pairs_of_equal_boxes_in_few_bytes(spark, tmp_path):
     pairs = spark.read.parquet(out).count()
     assert pairs > 3_000_000
     assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < pairs * 0.5
+
+
+def test_cover_join_spells_pairs_out_apart_from_the_join(spark):
+    """Compiled into one loop, all pairs of a block with the images of its cell would be held before the first is returned."""
+    images, boxes = (spark.range(50).selectExpr(f"id AS {name}", "id % 2 AS page", "0 AS x0", "0 AS y0", "9 AS x1", "9 AS y1")
+                     for name in ("image", "box_id"))
+    found = lookups.cover_join(images, boxes, "page")
+    assert len(found.collect()) == 2 * 25 * 25
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    spelled = re.findall(r"\*\((\d+)\) Generate explode\(_ids", plan)
+    joined = re.findall(r"\*\((\d+)\) SortMergeJoin \[page[^]]*_ipart", plan)
+    assert spelled and joined and not set(spelled) & set(joined)
