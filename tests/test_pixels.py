@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
@@ -42,6 +43,46 @@ def test_listed_files_share_tasks(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_listed_files_are_not_held_by_the_driver(spark, tmp_path):
+    """The driver knows the parts of the written list, not the files."""
+    for name in ("gen_a", "gen_b"):
+        (tmp_path / name).mkdir()
+        for i in range(200):
+            (tmp_path / name / f"{i}.png").write_bytes(b"x")
+    found = manifests.scan_image_dir(spark, str(tmp_path), content=False)
+    assert found.count() == 400 and len(found.inputFiles()) < 100
+
+
+@pytest.mark.parametrize("rows", [10_000, 3])
+def test_listed_files_are_those_that_are_read(spark, tmp_path, monkeypatch, rows):
+    """Paths, lengths and times are those of Spark's own reader, for odd names, links and patterns too."""
+    monkeypatch.setattr(manifests, "LISTING_ROWS", rows)
+    names = ["top.png", "a/b.png", "a/c d%20.png", "a/[e].PNG", "a/b/\u00e4.jpg", "a/.h.png", "a/_h.png", "a/_k=1.png", "a/x=1/y.png",
+             ".git/a.png", "_tmp/a.png", "_q=1/a.png", "_metadata_1/a.png", "a/_metadata_1.png", "a/z.png._COPYING_", "a/n.txt"]
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x" * len(name))
+    (tmp_path / "a" / "empty.png").write_bytes(b"")
+    (tmp_path / "none").mkdir()
+    os.symlink(tmp_path / "a" / "b.png", tmp_path / "none" / "link.png")
+    os.symlink(tmp_path / "gone.png", tmp_path / "none" / "broken.png")
+    os.symlink(tmp_path / "a" / "x=1", tmp_path / "linked")
+    with open(os.fsencode(tmp_path) + b"/a/\xff.png", "wb") as out:
+        out.write(b"x")
+    endings = (".png", ".jpg", "_")
+    for root in (tmp_path, f"file://{tmp_path}/", tmp_path / "a", tmp_path / "a" / "b.png", tmp_path / "none", f"{tmp_path}/*", f"{tmp_path}/{{a,top}}*",
+                 tmp_path / ".git"):
+        listed, read = (manifests.scan_image_dir(spark, str(root), "sb_", endings, content).drop("content") for content in (False, True))
+        assert listed.dtypes == read.dtypes
+        assert sorted(listed.collect()) == sorted(read.collect()), root
+    assert manifests.scan_image_dir(spark, str(tmp_path), content=False).count() >= 8
+    (tmp_path / "nothing").mkdir()
+    assert manifests.scan_image_dir(spark, str(tmp_path / "nothing"), content=False).count() == 0
+    for content in (False, True):
+        with pytest.raises(AnalysisException):
+            manifests.scan_image_dir(spark, str(tmp_path / "absent"), content=content)
+
+
 def test_written_files_cross_no_exchange(spark, monkeypatch):
     """The folder scan's query writes whole texts from where they are read."""
     plans, write = [], sinks.write_files
